@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import judgments, sparse
+from ..operators import dense, embed, fusion, judgments, labels, metrics, ranking, sparse
 from ..sources import testdata as td
 
 K = 25  # list depth used by label generation and the benchmark
@@ -157,3 +157,259 @@ def bm25_pairs(spark, sf_dir):
     pairs = _qrels(spark, sf_dir, idx).select("query_id", "doc_id")
     out = sparse.score_pairs(idx, td.queries(spark, sf_dir), pairs)
     return out.select("query_id", "doc_id", r6("score"))
+
+
+# ---------------------------------------------------------------- dense (vectors and hashed text)
+
+DIM = embed.DEFAULT_DIM
+EXPERTS = ("sparse", "dense")
+
+
+def sql_hashed(name: str, source: str, dim: int = DIM) -> str:
+    """CTEs ``{name}`` = long-form normalised hashed vectors ``(id, dim, value)`` of ``source(id, term)``."""
+    return f"""
+{name}_raw AS (
+  SELECT id, ((('0x' || substr(md5(term), 1, 8))::UBIGINT) % {dim})::INTEGER AS dim,
+         sum(CASE WHEN ((('0x' || substr(md5(term), 9, 1))::INTEGER) % 2) = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS value
+  FROM ({source}) GROUP BY 1, 2),
+{name} AS (
+  SELECT r.id, r.dim, r.value / n.norm AS value
+  FROM {name}_raw r JOIN (SELECT id, sqrt(sum(value * value)) AS norm FROM {name}_raw GROUP BY id) n USING (id)
+  WHERE r.value <> 0 AND n.norm > 0)"""
+
+
+SQL_DOC_TERMS = r"SELECT doc_id AS id, unnest(regexp_extract_all(lower(' ' || text), '[\p{L}\p{N}]+')) AS term FROM documents"
+SQL_QUERY_TERMS = r"SELECT item_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark"
+SQL_DENSE_CTE = (
+    sql_hashed("hd", SQL_DOC_TERMS)
+    + ","
+    + sql_hashed("hq", SQL_QUERY_TERMS)
+    + """,
+dense_scores AS (
+  SELECT q.id AS query_id, d.id AS doc_id, sum(q.value * d.value) AS score
+  FROM hq q JOIN hd d USING (dim) GROUP BY 1, 2),
+dense_run AS (
+  SELECT query_id, doc_id, score,
+         row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank
+  FROM dense_scores QUALIFY rank <= 25)
+"""
+)
+
+
+def _experts(spark, sf_dir):
+    """Shared lazy inputs: corpus, queries, sparse index, both expert runs, graded qrels."""
+    corpus = td.corpus(spark, sf_dir)
+    queries = td.queries(spark, sf_dir)
+    idx = sparse.build_index(corpus)
+    sparse_run = sparse.search(idx, queries, k=K, expert="sparse")
+    dense_run = dense.knn(embed.embed_queries(queries, DIM), embed.embed_corpus(corpus, DIM), k=K, expert="dense")
+    q = judgments.graded_qrels(
+        judgments.containing_documents(corpus, queries, idx), td.labels(spark, sf_dir)
+    )
+    return corpus, queries, idx, sparse_run, dense_run, q
+
+
+@register(
+    "hashed_embedding",
+    "WITH" + sql_hashed("hd", SQL_DOC_TERMS) + "\nSELECT id AS doc_id, dim, round(value, 6) AS value FROM hd",
+)
+def hashed_embedding(spark, sf_dir):
+    corpus = td.corpus(spark, sf_dir)
+    long = embed.hashed_terms(corpus.select("doc_id", F.concat(F.lit(" "), F.col("text")).alias("t")), "doc_id", F.col("t"), DIM)
+    return long.select(F.col("id").alias("doc_id"), "dim", r6("value"))
+
+
+@register(
+    "dense_topk",
+    """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
+nv AS (SELECT vec_id, CASE WHEN nrm > 0 THEN list_transform(e, lambda x: x / nrm) ELSE e END AS e
+       FROM (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS nrm FROM v)),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_inner_product(a.e, b.e) AS score
+      FROM nv a JOIN nv b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank
+      FROM s QUALIFY rank <= 10)
+SELECT query_id, doc_id, rank::INTEGER AS rank, round(score, 6) AS score FROM r
+""",
+)
+def dense_topk(spark, sf_dir):
+    """Leave-one-out 10-NN of every vector of ``embeddings`` among all the others."""
+    v = td.vectors(spark, sf_dir)
+    run = dense.knn(
+        v.select(F.col("id").alias("query_id"), "embedding"),
+        v.select(F.col("id").alias("doc_id"), "embedding"),
+        k=10,
+        exclude_self=True,
+        expert=None,
+    )
+    return run.select("query_id", "doc_id", F.col("rank").cast("int"), r6("score"))
+
+
+@register(
+    "dense_hashed_topk",
+    "WITH" + SQL_DENSE_CTE + "SELECT query_id, doc_id, rank::INTEGER AS rank, round(score, 6) AS score FROM dense_run",
+)
+def dense_hashed_topk(spark, sf_dir):
+    """Dense expert: hashed-vector inner product of every benchmark passage against every document."""
+    _, _, _, _, run, _ = _experts(spark, sf_dir)
+    return run.select("query_id", "doc_id", F.col("rank").cast("int"), r6("score"))
+
+
+@register(
+    "dense_pairs",
+    "WITH"
+    + SQL_DENSE_CTE
+    + ","
+    + SQL_QRELS_CTE
+    + """SELECT r.query_id, r.doc_id, round(coalesce(s.score, 0.0), 6) AS score
+FROM qrels r LEFT JOIN dense_scores s ON s.query_id = r.query_id AND s.doc_id = r.doc_id""",
+)
+def dense_pairs(spark, sf_dir):
+    corpus, queries, _, _, _, q = _experts(spark, sf_dir)
+    out = dense.score_pairs(
+        embed.embed_queries(queries, DIM), embed.embed_corpus(corpus, DIM), q.select("query_id", "doc_id")
+    )
+    return out.select("query_id", "doc_id", r6("score"))
+
+
+# ---------------------------------------------------------------- rank matrix, labels, fusion, metrics
+
+SQL_ALL_CTE = "WITH" + SQL_BM25_CTE + "," + SQL_DENSE_CTE + "," + SQL_QRELS_CTE + """,
+runs AS (SELECT query_id, 'sparse' AS expert, doc_id, rank FROM sparse_run
+         UNION ALL SELECT query_id, 'dense' AS expert, doc_id, rank FROM dense_run),
+judged AS (SELECT DISTINCT query_id FROM qrels),
+rr AS (SELECT r.query_id, r.expert, r.doc_id, r.rank, coalesce(q.relevance, 0) AS rel,
+              count(*) OVER (PARTITION BY r.query_id, r.doc_id) AS cnt
+       FROM runs r LEFT JOIN qrels q ON q.query_id = r.query_id AND q.doc_id = r.doc_id
+       WHERE r.query_id IN (SELECT query_id FROM judged)),
+es AS (SELECT query_id, expert, sum(1.0::DOUBLE / rank * rel / cnt) AS score FROM rr GROUP BY 1, 2),
+expert_scores AS (
+  SELECT j.query_id, e.expert, e.expert_pos, coalesce(es.score, 0.0) AS score
+  FROM judged j CROSS JOIN (VALUES ('sparse', 0), ('dense', 1)) e(expert, expert_pos)
+  LEFT JOIN es ON es.query_id = j.query_id AND es.expert = e.expert),
+normed AS (
+  SELECT *, CASE WHEN sum(score) OVER w > 0 THEN score / sum(score) OVER w ELSE score END AS l1,
+            exp(score) / sum(exp(score)) OVER w AS softmax
+  FROM expert_scores WINDOW w AS (PARTITION BY query_id)),
+wide AS (
+  SELECT n.query_id, b.text AS query,
+         max(CASE WHEN expert = 'sparse' THEN score END) AS sparse,
+         max(CASE WHEN expert = 'dense' THEN score END) AS dense,
+         max(CASE WHEN expert = 'sparse' THEN l1 END) AS sparse_l1,
+         max(CASE WHEN expert = 'dense' THEN l1 END) AS dense_l1,
+         max(CASE WHEN expert = 'sparse' THEN softmax END) AS sparse_softmax,
+         max(CASE WHEN expert = 'dense' THEN softmax END) AS dense_softmax
+  FROM normed n JOIN benchmark b ON b.item_id = n.query_id GROUP BY n.query_id, b.text),
+fw AS (SELECT query_id, expert, 0.5::DOUBLE AS weight FROM judged CROSS JOIN (VALUES ('sparse'), ('dense')) e(expert)),
+fscored AS (
+  SELECT r.query_id, r.doc_id, sum(w.weight / r.rank) AS score,
+         min(CASE WHEN r.expert = 'sparse' THEN 0 ELSE 1 END * 1000000 + r.rank) AS first_seen
+  FROM runs r JOIN fw w ON w.query_id = r.query_id AND w.expert = r.expert GROUP BY 1, 2),
+fused_run AS (
+  SELECT query_id, doc_id, score,
+         row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, first_seen, doc_id) AS rank
+  FROM fscored QUALIFY rank <= 25),
+model_runs AS (
+  SELECT query_id, 'sparse' AS model, doc_id, rank FROM sparse_run
+  UNION ALL SELECT query_id, 'dense', doc_id, rank FROM dense_run
+  UNION ALL SELECT query_id, 'fused', doc_id, rank FROM fused_run),
+ks AS (SELECT * FROM (VALUES (1), (5), (10), (25)) t(k)),
+nj AS (SELECT query_id, count(*) AS n_judged FROM qrels GROUP BY 1),
+hits AS (SELECT m.query_id, m.model, k.k, sum(q.relevance) AS rel_at_k
+         FROM model_runs m JOIN qrels q ON q.query_id = m.query_id AND q.doc_id = m.doc_id
+         JOIN ks k ON m.rank <= k.k GROUP BY 1, 2, 3),
+mpq AS (
+  SELECT md.model, nj.query_id, ks.k,
+         coalesce(h.rel_at_k, 0)::DOUBLE / ks.k AS precision,
+         CASE WHEN nj.n_judged > 0 THEN coalesce(h.rel_at_k, 0)::DOUBLE / nj.n_judged ELSE 0.0 END AS recall
+  FROM nj CROSS JOIN (VALUES ('sparse'), ('dense'), ('fused')) md(model) CROSS JOIN ks
+  LEFT JOIN hits h ON h.query_id = nj.query_id AND h.model = md.model AND h.k = ks.k)
+"""
+
+
+def _label_inputs(spark, sf_dir):
+    corpus, queries, idx, sr, dr, q = _experts(spark, sf_dir)
+    judged = judgments.judged_queries(queries, q)
+    runs = sr.unionByName(dr)
+    return corpus, queries, judged, runs, sr, dr, q
+
+
+@register(
+    "rank_matrix",
+    "WITH" + SQL_BM25_CTE + "," + SQL_DENSE_CTE + """
+SELECT coalesce(s.query_id, d.query_id) AS query_id, coalesce(s.doc_id, d.doc_id) AS doc_id,
+       coalesce(s.rank, 0)::INTEGER AS sparse_rank, coalesce(d.rank, 0)::INTEGER AS dense_rank
+FROM sparse_run s FULL OUTER JOIN dense_run d ON s.query_id = d.query_id AND s.doc_id = d.doc_id""",
+)
+def rank_matrix(spark, sf_dir):
+    _, _, _, sr, dr, _ = _experts(spark, sf_dir)
+    m = ranking.rank_matrix(sr.unionByName(dr), EXPERTS)
+    return m.select("query_id", "doc_id", *[F.col(f"{e}_rank").cast("int") for e in EXPERTS])
+
+
+@register(
+    "expert_scores",
+    SQL_ALL_CTE + "SELECT query_id, expert, round(score, 6) AS score FROM expert_scores",
+)
+def expert_scores(spark, sf_dir):
+    _, _, judged, runs, _, _, q = _label_inputs(spark, sf_dir)
+    s = labels.expert_scores(runs, q, judged, EXPERTS, K)
+    return s.select("query_id", "expert", r6("score"))
+
+
+SCORE_COLS = ["sparse", "dense", "sparse_l1", "dense_l1", "sparse_softmax", "dense_softmax"]
+
+
+@register(
+    "expert_scores_norm",
+    SQL_ALL_CTE
+    + "SELECT query_id, query, "
+    + ", ".join(f"round({c}, 6) AS {c}" for c in SCORE_COLS)
+    + " FROM wide",
+)
+def expert_scores_norm(spark, sf_dir):
+    _, queries, _, runs, _, _, q = _label_inputs(spark, sf_dir)
+    t = labels.score_table(runs, q, queries, EXPERTS, K)
+    return t.select("query_id", "query", *[r6(c) for c in SCORE_COLS])
+
+
+@register(
+    "fused_topk",
+    SQL_ALL_CTE + "SELECT query_id, doc_id, rank::INTEGER AS rank, round(score, 6) AS score FROM fused_run",
+)
+def fused_topk(spark, sf_dir):
+    """Fusion with equal weights (0.5, 0.5) for every judged query."""
+    _, _, judged, runs, _, _, _ = _label_inputs(spark, sf_dir)
+    w = fusion.fixed_weights(judged, {"sparse": 0.5, "dense": 0.5})
+    f = fusion.fuse(runs, w, EXPERTS, K)
+    return f.select("query_id", "doc_id", F.col("rank").cast("int"), r6("score"))
+
+
+def _model_runs(spark, sf_dir):
+    _, _, judged, runs, sr, dr, q = _label_inputs(spark, sf_dir)
+    w = fusion.fixed_weights(judged, {"sparse": 0.5, "dense": 0.5})
+    fused = fusion.fuse(runs, w, EXPERTS, K).withColumn("model", F.lit("fused"))
+    per = lambda r, m: r.select("query_id", F.lit(m).alias("model"), "doc_id", "rank")
+    return per(sr, "sparse").unionByName(per(dr, "dense")).unionByName(fused.select("query_id", "model", "doc_id", "rank")), q
+
+
+@register(
+    "metrics_per_query",
+    SQL_ALL_CTE + "SELECT model, query_id, k, round(precision, 6) AS precision, round(recall, 6) AS recall FROM mpq",
+)
+def metrics_per_query(spark, sf_dir):
+    runs, q = _model_runs(spark, sf_dir)
+    m = metrics.per_query(runs, q, ("sparse", "dense", "fused"))
+    return m.select("model", "query_id", "k", r6("precision"), r6("recall"))
+
+
+@register(
+    "metrics_summary",
+    SQL_ALL_CTE
+    + """SELECT model, k, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall,
+       count(*) AS n_queries FROM mpq GROUP BY model, k""",
+)
+def metrics_summary(spark, sf_dir):
+    runs, q = _model_runs(spark, sf_dir)
+    s = metrics.summary(metrics.per_query(runs, q, ("sparse", "dense", "fused")))
+    return s.select("model", "k", r6("precision"), r6("recall"), "n_queries")
