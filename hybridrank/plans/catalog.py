@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dense, embed, fusion, judgments, labels, metrics, ranking, sparse
+from ..operators import dense, embed, fusion, judgments, labels, metrics, prepare, ranking, router, sparse
 from ..sources import testdata as td
 
 K = 25  # list depth used by label generation and the benchmark
@@ -413,3 +413,181 @@ def metrics_summary(spark, sf_dir):
     runs, q = _model_runs(spark, sf_dir)
     s = metrics.summary(metrics.per_query(runs, q, ("sparse", "dense", "fused")))
     return s.select("model", "k", r6("precision"), r6("recall"), "n_queries")
+
+
+# ---------------------------------------------------------------- judgements look-up
+
+@register(
+    "qrels_judgment",
+    "WITH" + SQL_BM25_CTE + "," + SQL_QRELS_CTE + """
+SELECT s.query_id, s.doc_id, s.rank::INTEGER AS rank, coalesce(q.relevance, 0)::INTEGER AS relevance
+FROM sparse_run s LEFT JOIN qrels q ON q.query_id = s.query_id AND q.doc_id = s.doc_id""",
+)
+def qrels_judgment(spark, sf_dir):
+    """Relevance (0 when unjudged) of every (query, document) in the BM25 top-k."""
+    _, _, _, sr, _, q = _experts(spark, sf_dir)
+    j = judgments.judgments(sr.select("query_id", "doc_id", "rank"), q)
+    return j.select("query_id", "doc_id", F.col("rank").cast("int"), F.col("relevance").cast("int"))
+
+
+# ---------------------------------------------------------------- router data preparation
+
+SEED = 42
+TRAIN_FRACTION = 0.8
+SQL_H = "(('0x' || substr(md5('42' || query_id::VARCHAR), 1, 8))::UBIGINT)"
+SQL_PREP_CTE = SQL_ALL_CTE + f""",
+clean AS (
+  SELECT * FROM wide
+  WHERE sparse IS NOT NULL AND NOT isnan(sparse) AND dense IS NOT NULL AND NOT isnan(dense)
+    AND (sparse <> 0 OR dense <> 0)),
+splits AS (SELECT *, CASE WHEN {SQL_H} < {int(TRAIN_FRACTION * 4294967296)} THEN 'train' ELSE 'test' END AS split FROM clean)
+"""
+
+
+def _score_table(spark, sf_dir):
+    _, queries, _, runs, _, _, q = _label_inputs(spark, sf_dir)
+    return labels.score_table(runs, q, queries, EXPERTS, K)
+
+
+@register(
+    "clean_scores",
+    SQL_PREP_CTE + "SELECT query_id, query, " + ", ".join(f"round({c}, 6) AS {c}" for c in SCORE_COLS) + " FROM clean",
+)
+def clean_scores(spark, sf_dir):
+    t = prepare.clean(_score_table(spark, sf_dir), EXPERTS)
+    return t.select("query_id", "query", *[r6(c) for c in SCORE_COLS])
+
+
+@register("split_train_test", SQL_PREP_CTE + "SELECT query_id, split FROM splits")
+def split_train_test(spark, sf_dir):
+    t = prepare.clean(_score_table(spark, sf_dir), EXPERTS)
+    train, test = prepare.split(t, TRAIN_FRACTION, SEED, "query_id")
+    return train.select("query_id", F.lit("train").alias("split")).unionByName(
+        test.select("query_id", F.lit("test").alias("split"))
+    )
+
+
+@register(
+    "deleak",
+    SQL_PREP_CTE
+    + """SELECT c.query_id, c.query FROM clean c
+WHERE NOT EXISTS (SELECT 1 FROM splits t WHERE t.split = 'test' AND t.query = c.query)""",
+)
+def deleak(spark, sf_dir):
+    """All clean rows used as training data, minus every query text of the test split."""
+    t = prepare.clean(_score_table(spark, sf_dir), EXPERTS)
+    _, test = prepare.split(t, TRAIN_FRACTION, SEED, "query_id")
+    return prepare.deleak(t, test, "query").select("query_id", "query")
+
+
+@register(
+    "balance_classes",
+    SQL_PREP_CTE
+    + f"""
+, w AS (SELECT *, CASE WHEN sparse > dense THEN 'sparse' WHEN dense > sparse THEN 'dense' END AS winner,
+              {SQL_H} AS h FROM clean),
+cnt AS (SELECT winner, count(*) AS c FROM w WHERE winner IS NOT NULL GROUP BY winner),
+mc AS (SELECT count(*) AS n_classes, min(c) AS m FROM cnt),
+picked AS (SELECT * FROM w WHERE winner IS NOT NULL
+           QUALIFY row_number() OVER (PARTITION BY winner ORDER BY h, query_id) <= (SELECT m FROM mc))
+SELECT query_id, winner FROM picked WHERE (SELECT n_classes FROM mc) = 2
+UNION ALL SELECT query_id, winner FROM w WHERE (SELECT n_classes FROM mc) < 2""",
+)
+def balance_classes(spark, sf_dir):
+    t = prepare.clean(_score_table(spark, sf_dir), EXPERTS)
+    b = prepare.balance(t, EXPERTS, SEED, "query_id")
+    return b.select("query_id", prepare.winner(EXPERTS).alias("winner"))
+
+
+# ---------------------------------------------------------------- router evaluation and training
+
+def _kl_sql(p: str) -> str:
+    return f"(CASE WHEN {p} > 0 THEN {p} * (ln({p}) - ln(0.5)) ELSE 0.0 END)"
+
+
+@register(
+    "router_eval",
+    SQL_PREP_CTE
+    + f"""
+, ev AS (
+  SELECT query_id, sparse_l1 AS true_sparse, dense_l1 AS true_dense, 0.5::DOUBLE AS pred_sparse, 0.5::DOUBLE AS pred_dense,
+         (CASE WHEN dense_l1 > sparse_l1 THEN 1 ELSE 0 END)::INTEGER AS true_class, 0::INTEGER AS pred_class,
+         abs(sparse_l1 - dense_l1) <= 1e-8 + 1e-5 * abs(dense_l1) AS tie,
+         {_kl_sql('sparse_l1')} + {_kl_sql('dense_l1')} AS kl
+  FROM clean)
+SELECT query_id, round(true_sparse, 6) AS true_sparse, round(true_dense, 6) AS true_dense,
+       round(pred_sparse, 6) AS pred_sparse, round(pred_dense, 6) AS pred_dense, true_class, pred_class, tie,
+       CASE WHEN NOT tie THEN true_class = pred_class END AS correct, round(kl, 6) AS kl
+FROM ev""",
+)
+def router_eval(spark, sf_dir):
+    """Evaluation of a constant router (equal weights) against the l1 labels."""
+    t = prepare.clean(_score_table(spark, sf_dir), EXPERTS)
+    pred = fusion.fixed_weights(t, {"sparse": 0.5, "dense": 0.5})
+    ev = router.evaluate(pred, t, EXPERTS, "l1")
+    return ev.select(
+        "query_id",
+        r6("true_sparse"),
+        r6("true_dense"),
+        r6("pred_sparse"),
+        r6("pred_dense"),
+        F.col("true_class").cast("int"),
+        F.col("pred_class").cast("int"),
+        "tie",
+        "correct",
+        r6("kl"),
+    )
+
+
+@register(
+    "router_accuracy",
+    SQL_PREP_CTE
+    + f"""
+, ev AS (
+  SELECT (CASE WHEN dense_l1 > sparse_l1 THEN 1 ELSE 0 END) AS true_class,
+         abs(sparse_l1 - dense_l1) <= 1e-8 + 1e-5 * abs(dense_l1) AS tie,
+         {_kl_sql('sparse_l1')} + {_kl_sql('dense_l1')} AS kl
+  FROM clean)
+SELECT round(coalesce(avg(CASE WHEN NOT tie THEN (true_class = 0)::INTEGER END), 0.0), 6) AS accuracy,
+       count(CASE WHEN NOT tie THEN 1 END) AS n_eval, sum(tie::INTEGER)::BIGINT AS n_ties, round(avg(kl), 6) AS mean_kl
+FROM ev""",
+)
+def router_accuracy(spark, sf_dir):
+    t = prepare.clean(_score_table(spark, sf_dir), EXPERTS)
+    pred = fusion.fixed_weights(t, {"sparse": 0.5, "dense": 0.5})
+    a = router.accuracy(router.evaluate(pred, t, EXPERTS, "l1"))
+    return a.select(r6("accuracy"), "n_eval", F.col("n_ties").cast("long"), r6("mean_kl"))
+
+
+def _router_data(spark, sf_dir):
+    corpus, queries, judged, runs, sr, dr, q = _label_inputs(spark, sf_dir)
+    table = prepare.clean(labels.score_table(runs, q, queries, EXPERTS, K), EXPERTS)
+    feats = embed.embed_queries(queries, DIM).withColumnRenamed("embedding", "features")
+    data = table.join(feats, "query_id")
+    return data, queries, judged, runs, sr, dr, q
+
+
+@register("router_fit_predict")
+def router_fit_predict(spark, sf_dir):
+    """Router trained on the train split (soft l1 labels, hashed query features); weights for the test split."""
+    data, *_ = _router_data(spark, sf_dir)
+    train, test = prepare.split(data, TRAIN_FRACTION, SEED, "query_id")
+    model = router.fit(train, EXPERTS, "l1")
+    w = router.predict(model, test, EXPERTS)
+    return w.select("query_id", "expert", r6("weight"))
+
+
+@register("routed_benchmark")
+def routed_benchmark(spark, sf_dir):
+    """Benchmark of sparse, dense and router-weighted fusion over all judged queries (router fitted on
+    the train split of the label table)."""
+    data, queries, judged, runs, sr, dr, q = _router_data(spark, sf_dir)
+    train, _ = prepare.split(data, TRAIN_FRACTION, SEED, "query_id")
+    model = router.fit(train, EXPERTS, "l1")
+    feats = embed.embed_queries(judged, DIM).withColumnRenamed("embedding", "features")
+    w = router.predict(model, feats, EXPERTS)
+    fused = fusion.fuse(runs, w, EXPERTS, K).withColumn("model", F.lit("routed"))
+    per = lambda r, m: r.select("query_id", F.lit(m).alias("model"), "doc_id", "rank")
+    all_runs = per(sr, "sparse").unionByName(per(dr, "dense")).unionByName(fused.select("query_id", "model", "doc_id", "rank"))
+    s = metrics.summary(metrics.per_query(all_runs, q, ("sparse", "dense", "routed")))
+    return s.select("model", "k", r6("precision"), r6("recall"), "n_queries")
