@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Fixed value: the word pattern (runs of Unicode letters/digits on lower-cased text).
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
+# Same tokens, found by splitting on the complement (measured faster than extracting matches).
+SEPARATOR_PATTERN = r"[^\p{L}\p{N}]+"
 
 
 def doc_text(title: Column | str | None, text: Column | str) -> Column:
@@ -16,8 +18,8 @@ def doc_text(title: Column | str | None, text: Column | str) -> Column:
 
 
 def tokens(text: Column | str) -> Column:
-    """Lower-case word tokens of ``text`` as ``array<string>``."""
-    return F.regexp_extract_all(F.lower(_col(text)), F.lit(TOKEN_PATTERN), 0)
+    """Lower-case word tokens of ``text`` as ``array<string>`` (maximal runs of ``TOKEN_PATTERN``)."""
+    return F.array_remove(F.split(F.lower(_col(text)), SEPARATOR_PATTERN), "")
 
 
 def _col(c: Column | str) -> Column:

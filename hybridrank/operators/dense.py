@@ -69,19 +69,23 @@ def knn(
     corpus_block_rows: int = 50_000,
     query_block_rows: int = 20_000,
     query_chunk: int = 1_024,
+    n_queries: int | None = None,
+    n_docs: int | None = None,
 ) -> DataFrame:
     """Top-k inner-product run ``(query_id, [expert], doc_id, rank, score)``.
 
     ``queries(query_id, embedding)``, ``corpus(doc_id, embedding)``; vectors are L2-normalised.
     ``exclude_self`` skips a document whose id equals the query id (leave-one-out search).
+    ``n_queries`` / ``n_docs`` are row-count upper bounds used to size the blocks; when absent
+    the inputs are counted.
     Ties: rounded score descending, doc_id ascending. If ``k`` exceeds the corpus, all documents.
     """
     require(queries, ("query_id", "embedding"), "queries")
     require(corpus, ("doc_id", "embedding"), "corpus")
     q = queries.filter(F.col("embedding").isNotNull()).select("query_id", F.col("embedding").alias("vec"))
     c = corpus.filter(F.col("embedding").isNotNull()).select("doc_id", F.col("embedding").alias("vec"))
-    n_cb = blocks_for(c.count(), corpus_block_rows)
-    n_qb = blocks_for(q.count(), query_block_rows)
+    n_cb = blocks_for(n_docs if n_docs is not None else c.count(), corpus_block_rows)
+    n_qb = blocks_for(n_queries if n_queries is not None else q.count(), query_block_rows)
     # Each corpus row goes to one corpus block and is repeated once per query block (and vice versa),
     # so every (corpus block, query block) cell meets exactly once.
     cg = c.withColumn("cb", F.pmod(F.xxhash64("doc_id"), F.lit(n_cb))).withColumn(

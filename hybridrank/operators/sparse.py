@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import doc_text, tokens
+from ..session import materialize as _materialize
 from ..schemas import require
 from .ranking import top_k
 from .sizing import DEFAULT_MAX_BROADCAST_ROWS, bounded_broadcast
@@ -53,13 +54,18 @@ def doc_lengths(corpus: DataFrame) -> DataFrame:
 
 
 def postings(corpus: DataFrame) -> DataFrame:
-    """``(term, doc_id, tf, dl)``. The aggregation combines map-side, so only distinct postings shuffle."""
+    """``(term, doc_id, tf, dl)``. The aggregation combines map-side, so only distinct postings shuffle.
+
+    The token array is the generator's only input: projecting ``size(tokens)`` next to
+    ``explode(tokens)`` would make generated code rebuild the array once per emitted token.
+    """
     toks = corpus_tokens(corpus)
+    pairs = F.arrays_zip(F.col("tokens").alias("term"), F.array_repeat(F.size("tokens"), F.size("tokens")).alias("dl"))
     return (
-        toks.select("doc_id", F.size("tokens").cast("int").alias("dl"), F.explode("tokens").alias("term"))
+        toks.select("doc_id", F.inline(pairs))
         .groupBy("term", "doc_id", "dl")
         .agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        .select("term", "doc_id", "tf", "dl")
+        .select("term", "doc_id", "tf", F.col("dl").cast("int").alias("dl"))
     )
 
 
@@ -67,16 +73,21 @@ def raw_idf(n_docs: Column, df: Column) -> Column:
     return F.log(n_docs - df + F.lit(0.5)) - F.log(df + F.lit(0.5))
 
 
-def build_index(corpus: DataFrame, params: BM25Params = BM25Params()) -> SparseIndex:
+def build_index(corpus: DataFrame, params: BM25Params = BM25Params(), materialize: bool = False) -> SparseIndex:
     """Lazy BM25 index over ``corpus(doc_id, [title], text)``.
 
     idf = ln(N - df + 0.5) - ln(df + 0.5); a negative idf is replaced by epsilon * mean(idf), the mean
-    being taken over the whole vocabulary before replacement.
+    being taken over the whole vocabulary before replacement. N comes from a row count of the corpus
+    (no text read); the token total comes from the postings, so the corpus is tokenised once.
+
+    ``materialize=True`` writes postings, terms and stats once to the shared checkpoint folder, so
+    every later search reads the index instead of re-tokenising the corpus.
     """
     post = postings(corpus)
-    lengths = doc_lengths(corpus)
-    base = lengths.agg(F.count(F.lit(1)).cast("long").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    n_docs = base.select("n_docs").scalar()
+    if materialize:
+        post = _materialize(post)
+    n_docs = corpus.agg(F.count(F.lit(1)).cast("long")).scalar()
+    avgdl = post.agg(F.sum("tf").cast("double")).scalar() / n_docs
     df_terms = post.groupBy("term").agg(F.count(F.lit(1)).cast("long").alias("df"))
     with_raw = df_terms.withColumn("raw_idf", raw_idf(n_docs, F.col("df")))
     mean_idf = with_raw.agg(F.avg("raw_idf")).scalar()
@@ -85,7 +96,12 @@ def build_index(corpus: DataFrame, params: BM25Params = BM25Params()) -> SparseI
         "df",
         F.when(F.col("raw_idf") < 0, F.lit(params.epsilon) * mean_idf).otherwise(F.col("raw_idf")).alias("idf"),
     )
-    stats = base.select("n_docs", "avgdl", mean_idf.alias("mean_idf"))
+    stats = corpus.sparkSession.range(1).select(
+        n_docs.alias("n_docs"), avgdl.alias("avgdl"), mean_idf.alias("mean_idf")
+    )
+    if materialize:
+        stats = _materialize(stats)
+        terms = _materialize(terms)
     return SparseIndex(post, terms, stats, params)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dense, embed, fusion, judgments, labels, metrics, prepare, ranking, router, sparse
+from ..session import materialize
 from ..sources import testdata as td
 
 K = 25  # list depth used by label generation and the benchmark
@@ -39,12 +40,12 @@ def r6(c: str, alias: str | None = None):
 # ---------------------------------------------------------------- shared building blocks
 
 def _index(spark, sf_dir):
-    return sparse.build_index(td.corpus(spark, sf_dir))
+    return sparse.build_index(td.corpus(spark, sf_dir), materialize=True)
 
 
 def _qrels(spark, sf_dir, index=None):
     corpus = td.corpus(spark, sf_dir)
-    index = index or sparse.build_index(corpus)
+    index = index or sparse.build_index(corpus, materialize=True)
     m = judgments.containing_documents(corpus, td.queries(spark, sf_dir), index)
     return judgments.graded_qrels(m, td.labels(spark, sf_dir))
 
@@ -153,7 +154,7 @@ FROM qrels r LEFT JOIN bm25 s ON s.query_id = r.query_id AND s.doc_id = r.doc_id
 )
 def bm25_pairs(spark, sf_dir):
     corpus = td.corpus(spark, sf_dir)
-    idx = sparse.build_index(corpus)
+    idx = sparse.build_index(corpus, materialize=True)
     pairs = _qrels(spark, sf_dir, idx).select("query_id", "doc_id")
     out = sparse.score_pairs(idx, td.queries(spark, sf_dir), pairs)
     return out.select("query_id", "doc_id", r6("score"))
@@ -197,14 +198,26 @@ dense_run AS (
 
 
 def _experts(spark, sf_dir):
-    """Shared lazy inputs: corpus, queries, sparse index, both expert runs, graded qrels."""
+    """Shared inputs: corpus, queries, sparse index, both expert runs, graded qrels.
+
+    The index and the (small) runs and judgements are materialised once, because every later step
+    reads them several times.
+    """
     corpus = td.corpus(spark, sf_dir)
     queries = td.queries(spark, sf_dir)
-    idx = sparse.build_index(corpus)
-    sparse_run = sparse.search(idx, queries, k=K, expert="sparse")
-    dense_run = dense.knn(embed.embed_queries(queries, DIM), embed.embed_corpus(corpus, DIM), k=K, expert="dense")
-    q = judgments.graded_qrels(
-        judgments.containing_documents(corpus, queries, idx), td.labels(spark, sf_dir)
+    idx = sparse.build_index(corpus, materialize=True)
+    sparse_run = materialize(sparse.search(idx, queries, k=K, expert="sparse"))
+    dense_run = dense.knn(
+        embed.embed_queries(queries, DIM),
+        embed.embed_corpus(corpus, DIM),
+        k=K,
+        expert="dense",
+        n_queries=queries.count(),
+        n_docs=corpus.count(),
+    )
+    dense_run = materialize(dense_run)
+    q = materialize(
+        judgments.graded_qrels(judgments.containing_documents(corpus, queries, idx), td.labels(spark, sf_dir))
     )
     return corpus, queries, idx, sparse_run, dense_run, q
 

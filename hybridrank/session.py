@@ -42,3 +42,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and return a DataFrame reading it back.
+
+    Reliable checkpoint (never ``localCheckpoint``): the data survive the loss of executors and the
+    lineage is cut, so later stages do not recompute the inputs.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
