@@ -197,29 +197,60 @@ dense_run AS (
 )
 
 
-def _experts(spark, sf_dir):
-    """Shared inputs: corpus, queries, sparse index, both expert runs, graded qrels.
+class Inputs:
+    """Shared inputs of the registered queries, each built (and materialised) on first use only.
 
-    The index and the (small) runs and judgements are materialised once, because every later step
-    reads them several times.
+    The index, the two expert runs and the judgements are read several times by the later steps,
+    so each is written once to the shared checkpoint folder instead of being recomputed.
     """
-    corpus = td.corpus(spark, sf_dir)
-    queries = td.queries(spark, sf_dir)
-    idx = sparse.build_index(corpus, materialize=True)
-    sparse_run = materialize(sparse.search(idx, queries, k=K, expert="sparse"))
-    dense_run = dense.knn(
-        embed.embed_queries(queries, DIM),
-        embed.embed_corpus(corpus, DIM),
-        k=K,
-        expert="dense",
-        n_queries=queries.count(),
-        n_docs=corpus.count(),
-    )
-    dense_run = materialize(dense_run)
-    q = materialize(
-        judgments.graded_qrels(judgments.containing_documents(corpus, queries, idx), td.labels(spark, sf_dir))
-    )
-    return corpus, queries, idx, sparse_run, dense_run, q
+
+    def __init__(self, spark, sf_dir):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.corpus = td.corpus(spark, sf_dir)
+        self.queries = td.queries(spark, sf_dir)
+        self._cache = {}
+
+    def _get(self, key, build):
+        if key not in self._cache:
+            self._cache[key] = build()
+        return self._cache[key]
+
+    @property
+    def index(self):
+        return self._get("index", lambda: sparse.build_index(self.corpus, materialize=True))
+
+    @property
+    def sparse_run(self):
+        return self._get("sparse", lambda: materialize(sparse.search(self.index, self.queries, k=K, expert="sparse")))
+
+    @property
+    def dense_run(self):
+        def build():
+            run = dense.knn(
+                embed.embed_queries(self.queries, DIM),
+                embed.embed_corpus(self.corpus, DIM),
+                k=K,
+                expert="dense",
+                n_queries=self.queries.count(),
+                n_docs=self.corpus.count(),
+            )
+            return materialize(run)
+
+        return self._get("dense", build)
+
+    @property
+    def qrels(self):
+        def build():
+            m = judgments.containing_documents(self.corpus, self.queries, self.index)
+            return materialize(judgments.graded_qrels(m, td.labels(self.spark, self.sf_dir)))
+
+        return self._get("qrels", build)
+
+
+def _experts(spark, sf_dir):
+    """(corpus, queries, index, sparse run, dense run, qrels) — all materialised."""
+    i = Inputs(spark, sf_dir)
+    return i.corpus, i.queries, i.index, i.sparse_run, i.dense_run, i.qrels
 
 
 @register(
@@ -264,7 +295,7 @@ def dense_topk(spark, sf_dir):
 )
 def dense_hashed_topk(spark, sf_dir):
     """Dense expert: hashed-vector inner product of every benchmark passage against every document."""
-    _, _, _, _, run, _ = _experts(spark, sf_dir)
+    run = Inputs(spark, sf_dir).dense_run
     return run.select("query_id", "doc_id", F.col("rank").cast("int"), r6("score"))
 
 
@@ -278,7 +309,8 @@ def dense_hashed_topk(spark, sf_dir):
 FROM qrels r LEFT JOIN dense_scores s ON s.query_id = r.query_id AND s.doc_id = r.doc_id""",
 )
 def dense_pairs(spark, sf_dir):
-    corpus, queries, _, _, _, q = _experts(spark, sf_dir)
+    i = Inputs(spark, sf_dir)
+    corpus, queries, q = i.corpus, i.queries, i.qrels
     out = dense.score_pairs(
         embed.embed_queries(queries, DIM), embed.embed_corpus(corpus, DIM), q.select("query_id", "doc_id")
     )
@@ -355,7 +387,8 @@ SELECT coalesce(s.query_id, d.query_id) AS query_id, coalesce(s.doc_id, d.doc_id
 FROM sparse_run s FULL OUTER JOIN dense_run d ON s.query_id = d.query_id AND s.doc_id = d.doc_id""",
 )
 def rank_matrix(spark, sf_dir):
-    _, _, _, sr, dr, _ = _experts(spark, sf_dir)
+    i = Inputs(spark, sf_dir)
+    sr, dr = i.sparse_run, i.dense_run
     m = ranking.rank_matrix(sr.unionByName(dr), EXPERTS)
     return m.select("query_id", "doc_id", *[F.col(f"{e}_rank").cast("int") for e in EXPERTS])
 
@@ -438,7 +471,8 @@ FROM sparse_run s LEFT JOIN qrels q ON q.query_id = s.query_id AND q.doc_id = s.
 )
 def qrels_judgment(spark, sf_dir):
     """Relevance (0 when unjudged) of every (query, document) in the BM25 top-k."""
-    _, _, _, sr, _, q = _experts(spark, sf_dir)
+    i = Inputs(spark, sf_dir)
+    sr, q = i.sparse_run, i.qrels
     j = judgments.judgments(sr.select("query_id", "doc_id", "rank"), q)
     return j.select("query_id", "doc_id", F.col("rank").cast("int"), F.col("relevance").cast("int"))
 
