@@ -88,11 +88,12 @@ def knn(
     n_qb = blocks_for(n_queries if n_queries is not None else q.count(), query_block_rows)
     # Each corpus row goes to one corpus block and is repeated once per query block (and vice versa),
     # so every (corpus block, query block) cell meets exactly once.
-    cg = c.withColumn("cb", F.pmod(F.xxhash64("doc_id"), F.lit(n_cb))).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1)))
+    # Both sides must carry the block keys with the same type, or equal keys hash apart.
+    cg = c.withColumn("cb", F.pmod(F.xxhash64("doc_id"), F.lit(n_cb)).cast("int")).withColumn(
+        "qb", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1)).cast("array<int>"))
     )
-    qg = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_qb))).withColumn(
-        "cb", F.explode(F.sequence(F.lit(0), F.lit(n_cb - 1)))
+    qg = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_qb)).cast("int")).withColumn(
+        "cb", F.explode(F.sequence(F.lit(0), F.lit(n_cb - 1)).cast("array<int>"))
     )
     schema = T.StructType(
         [
