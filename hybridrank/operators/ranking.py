@@ -37,9 +37,10 @@ def top_k(
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 
 
-def rank_matrix(runs: DataFrame, experts: Sequence[str], k: int | None = None) -> DataFrame:
+def rank_matrix(runs: DataFrame, experts: Sequence[str], k: int | None = None, sort: bool = False) -> DataFrame:
     """Wide form of several experts' ranked lists: one row per (query, doc) in the union of lists,
-    one ``{expert}_rank`` column per expert, 0 where that expert did not retrieve the doc."""
+    one ``{expert}_rank`` column per expert, 0 where that expert did not retrieve the doc.
+    ``sort=True`` orders the rows by (query_id, doc_id) (a range-partitioned global sort)."""
     r = runs if k is None else runs.filter(F.col("rank") <= k)
     wide = (
         r.groupBy("query_id", "doc_id")
@@ -48,4 +49,5 @@ def rank_matrix(runs: DataFrame, experts: Sequence[str], k: int | None = None) -
     )
     for e in experts:
         wide = wide.withColumnRenamed(e, f"{e}_rank")
-    return wide.fillna(0, subset=[f"{e}_rank" for e in experts])
+    wide = wide.fillna(0, subset=[f"{e}_rank" for e in experts])
+    return wide.orderBy("query_id", "doc_id") if sort else wide

@@ -59,6 +59,29 @@ def fit(
     return lr.fit(rows)
 
 
+def fit_mlp(
+    df: DataFrame,
+    experts: Sequence[str] = ("sparse", "dense"),
+    norm: str = "l1",
+    hidden: Sequence[int] = (128, 64),
+    max_iter: int = 100,
+    seed: int = 42,
+    features: str = "features",
+):
+    """Optional hidden-layer router (d → 128 → 64 → experts). Spark's perceptron has no instance
+    weights, so it learns the hard winner (argmax of the soft label, first on ties) instead."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+
+    cols = label_columns(experts, norm)
+    rows = df.select(
+        array_to_vector(F.col(features)).alias("features"),
+        argmax(F.array(*[F.col(c).cast("double") for c in cols])).cast("double").alias("label"),
+    )
+    dim = len(df.select(features).first()[0])  # feature width (one row)
+    mlp = MultilayerPerceptronClassifier(layers=[dim, *hidden, len(experts)], maxIter=max_iter, seed=seed)
+    return mlp.fit(rows)
+
+
 def predict(model: LogisticRegressionModel, df: DataFrame, experts: Sequence[str], features: str = "features") -> DataFrame:
     """Long ``(query_id, expert, weight)``; weights of a query sum to 1."""
     names = F.array(*[F.lit(e) for e in experts])

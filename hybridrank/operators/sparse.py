@@ -144,12 +144,26 @@ def search(
     k: int = 10,
     expert: str | None = "sparse",
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    pad: bool = False,
 ) -> DataFrame:
     """Top-k BM25 run ``(query_id, [expert], doc_id, rank, score)``; ties: doc_id ascending.
 
-    Only documents with at least one matching term are returned (no zero-score padding).
+    By default only documents with at least one matching term are returned. ``pad=True`` fills a
+    short list with score-0 documents in ascending id order, as a scan over all scores would: when
+    a query has fewer than k hits, the 2k smallest ids hold at least k non-hits, so they are the only
+    candidates (one array from a scalar subquery, exploded per query — no join of all pairs).
     """
-    ranked = top_k(scores(index, queries, max_broadcast_rows), k)
+    hits = scores(index, queries, max_broadcast_rows)
+    if pad:
+        ids = index.postings.select("doc_id").distinct().orderBy("doc_id").limit(2 * k)
+        cand = ids.agg(F.collect_list("doc_id")).scalar()
+        zero = (
+            queries.select("query_id", F.explode(cand).alias("doc_id"))
+            .join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+            .withColumn("score", F.lit(0.0))
+        )
+        hits = hits.unionByName(zero)
+    ranked = top_k(hits, k)
     cols = ["query_id", "doc_id", "rank", "score"]
     if expert is not None:
         ranked = ranked.withColumn("expert", F.lit(expert))

@@ -28,6 +28,35 @@ def read_queries(spark: SparkSession, path: str, dedup: str = "last") -> DataFra
     return _dedup_last(df, "query_id") if dedup == "last" else df
 
 
+def read_corpus_cache(spark: SparkSession, path: str) -> DataFrame:
+    """Cached corpus file: one JSON object ``{doc_id: {"title", "text"}}`` → ``(doc_id, title, text)``.
+
+    One object per file is parsed by one task; Parquet (``df.write.parquet``) is the scalable cache.
+    """
+    doc = T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType())])
+    m = F.from_json(F.col("value"), T.MapType(T.StringType(), doc))
+    return (
+        spark.read.text(path, wholetext=True)
+        .select(F.explode(m).alias("doc_id", "d"))
+        .select("doc_id", "d.title", "d.text")
+    )
+
+
+def queries_from_list(spark: SparkSession, texts, ids=None) -> DataFrame:
+    """A single query string or a list of them as a queries DataFrame ``(query_id, text)``.
+
+    Ids default to the position in the list. (Interactive helper: the list lives on the driver.)
+    """
+    if isinstance(texts, str):
+        texts = [texts]
+    ids = list(range(len(texts))) if ids is None else list(ids)
+    if len(ids) != len(texts):
+        raise ValueError("ids and texts differ in length")
+    rows = [(i, t) for i, t in zip(ids, texts)]
+    id_type = "string" if rows and isinstance(rows[0][0], str) else "long"
+    return spark.createDataFrame(rows, f"query_id {id_type}, text string")
+
+
 def _dedup_last(df: DataFrame, key: str) -> DataFrame:
     """One row per ``key``: the one read last. An aggregate (partial + final), not a window, so a
     key repeated on a third of all rows is still combined map-side."""

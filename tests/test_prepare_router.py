@@ -85,3 +85,11 @@ def test_router_fit_recovers_soft_labels(spark):
     m = router.fit(df, reg_param=0.0)
     w = {r.expert: r.weight for r in router.predict(m, df.limit(1), ["sparse", "dense"]).collect()}
     assert w["sparse"] == pytest.approx(0.8, abs=1e-3) and w["dense"] == pytest.approx(0.2, abs=1e-3)
+
+
+def test_mlp_router_learns_hard_winner(spark):
+    rows = [(i, [1.0, 0.0] if i % 2 else [0.0, 1.0], 0.9 if i % 2 else 0.2, 0.1 if i % 2 else 0.8) for i in range(40)]
+    df = spark.createDataFrame(rows, "query_id long, features array<double>, sparse_l1 double, dense_l1 double")
+    m = router.fit_mlp(df, hidden=(4,), max_iter=200)
+    w = {r.query_id: r.weight for r in router.predict(m, df.limit(2), ["sparse", "dense"]).filter("expert = 'sparse'").collect()}
+    assert w[1] > 0.5 > w[0]

@@ -106,3 +106,19 @@ def test_materialized_index_equals_lazy(spark, corpus):
     a = sorted(tuple(r) for r in sparse.search(sparse.build_index(corpus), q, k=3).collect())
     b = sorted(tuple(r) for r in sparse.search(sparse.build_index(corpus, materialize=True), q, k=3).collect())
     assert a == b
+
+
+def test_pad_fills_with_zero_score_docs(spark, corpus):
+    idx = sparse.build_index(corpus)
+    q = spark.createDataFrame([("q", "cat")], "query_id string, text string")
+    run = sorted(sparse.search(idx, q, k=3, pad=True).collect(), key=lambda r: r["rank"])
+    assert [r.doc_id for r in run] == ["doc1", "doc2", "doc3"]
+    assert run[1].score == 0.0 and run[2].score == 0.0
+
+
+def test_queries_from_list(spark, corpus):
+    from hybridrank.sources.readers import queries_from_list
+
+    idx = sparse.build_index(corpus)
+    run = sparse.search(idx, queries_from_list(spark, "cat story"), k=1).first()
+    assert run.query_id == 0 and run.doc_id == "doc1"
