@@ -35,6 +35,7 @@ class SparseIndex:
     terms: DataFrame
     stats: DataFrame
     params: BM25Params = BM25Params()
+    term_buckets: int | None = None  # set when postings are stored partitioned by term_bucket
 
     def scalar(self, name: str) -> Column:
         """A corpus constant as a scalar-subquery column (evaluated once per query, no driver collect)."""
@@ -69,6 +70,10 @@ def postings(corpus: DataFrame) -> DataFrame:
     )
 
 
+def term_bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
 def raw_idf(n_docs: Column, df: Column) -> Column:
     return F.log(n_docs - df + F.lit(0.5)) - F.log(df + F.lit(0.5))
 
@@ -120,13 +125,23 @@ def _term_hits(index: SparseIndex, queries: DataFrame, max_broadcast_rows: int)
     p = index.params
     qt, small, _ = bounded_broadcast(query_terms(queries), max_broadcast_rows)
     qti = qt.join(index.terms.select("term", "idf"), "term")  # unknown terms drop out here
+    keys = ["term"]
+    post = index.postings
+    if index.term_buckets:
+        # Stored index: postings are partitioned by term_bucket. The buckets the query terms fall in
+        # (at most term_buckets small ints, from a scalar subquery) become a partition filter, so
+        # the scan lists and reads only those folders.
+        qti = qti.withColumn("term_bucket", term_bucket_of(F.col("term"), index.term_buckets))
+        wanted = qti.agg(F.collect_set("term_bucket")).scalar()
+        post = post.filter(F.array_contains(wanted, F.col("term_bucket")))
+        keys = ["term_bucket", "term"]
     if small:
         qti = F.broadcast(qti)  # no bigger than qt, which was counted
     avgdl = index.scalar("avgdl")
     tf = F.col("tf").cast("double")
     norm = F.lit(p.k1) * (F.lit(1.0 - p.b) + F.lit(p.b) * F.col("dl") / avgdl)
     contrib = F.col("qtf") * F.col("idf") * tf * F.lit(p.k1 + 1.0) / (tf + norm)
-    return index.postings.join(qti, "term").select("query_id", "doc_id", contrib.alias("contrib"))
+    return post.join(qti, keys).select("query_id", "doc_id", contrib.alias("contrib"))
 
 
 def scores(index: SparseIndex, queries: DataFrame, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.sparse import BM25Params, SparseIndex, build_index
+from ..operators.sparse import BM25Params, SparseIndex, build_index, term_bucket_of
+
+DEFAULT_TERM_BUCKETS = 256
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -19,31 +21,41 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
-def save_sparse_index(index: SparseIndex, path: str, mode: str = "errorifexists", partitions: int | None = None) -> None:
-    """Write ``postings`` range-partitioned and sorted by term (so a term's postings sit in few
-    row groups and Parquet min/max statistics skip the rest), plus ``terms`` and ``stats``."""
-    post = index.postings
-    if partitions:
-        post = post.repartitionByRange(partitions, "term")
-    else:
-        post = post.repartitionByRange("term")
-    post.sortWithinPartitions("term", "doc_id").write.mode(mode).parquet(os.path.join(path, "postings"))
+def save_sparse_index(index: SparseIndex, path: str, mode: str = "errorifexists", partitions: int | None = None,
+                      term_buckets: int = DEFAULT_TERM_BUCKETS) -> None:
+    """Write the index as Parquet.
+
+    ``postings`` carry ``term_bucket = pmod(xxhash64(term), term_buckets)`` as a directory
+    partition: a search joins on (term_bucket, term) against the broadcast query terms, and dynamic
+    partition pruning skips every bucket no query term falls in. Inside, rows are range-partitioned
+    on (term_bucket, term, doc_id) — so a very frequent term is split over several writer tasks
+    instead of one — and sorted, so Parquet min/max statistics narrow a term to few row groups.
+    """
+    post = index.postings.withColumn("term_bucket", term_bucket_of(F.col("term"), term_buckets))
+    keys = ["term_bucket", "term", "doc_id"]
+    post = post.repartitionByRange(partitions, *keys) if partitions else post.repartitionByRange(*keys)
+    post.sortWithinPartitions(*keys).write.mode(mode).partitionBy("term_bucket").parquet(os.path.join(path, "postings"))
     index.terms.write.mode(mode).parquet(os.path.join(path, "terms"))
     p = index.params
     stats = index.stats.select(
-        "*", F.lit(float(p.k1)).alias("k1"), F.lit(float(p.b)).alias("b"), F.lit(float(p.epsilon)).alias("epsilon")
+        "*",
+        F.lit(float(p.k1)).alias("k1"),
+        F.lit(float(p.b)).alias("b"),
+        F.lit(float(p.epsilon)).alias("epsilon"),
+        F.lit(int(term_buckets)).alias("term_buckets"),
     )
     stats.coalesce(1).write.mode(mode).parquet(os.path.join(path, "stats"))
 
 
 def load_sparse_index(spark: SparkSession, path: str) -> SparseIndex:
     stats = spark.read.parquet(os.path.join(path, "stats"))
-    row = stats.select("k1", "b", "epsilon").first()  # three constants of the stored index
+    row = stats.select("k1", "b", "epsilon", "term_buckets").first()  # constants of the stored index
     return SparseIndex(
         spark.read.parquet(os.path.join(path, "postings")),
         spark.read.parquet(os.path.join(path, "terms")),
-        stats.drop("k1", "b", "epsilon"),
+        stats.drop("k1", "b", "epsilon", "term_buckets"),
         BM25Params(float(row.k1), float(row.b), float(row.epsilon)),
+        term_buckets=int(row.term_buckets),
     )
 
 
