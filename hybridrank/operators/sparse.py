@@ -91,22 +91,23 @@ def build_index(corpus: DataFrame, params: BM25Params = BM25Params(), materializ
     post = postings(corpus)
     if materialize:
         post = _materialize(post)
+    dfs = post.groupBy("term").agg(F.count(F.lit(1)).cast("long").alias("df"))
+    if materialize:
+        dfs = _materialize(dfs)
     n_docs = corpus.agg(F.count(F.lit(1)).cast("long")).scalar()
     avgdl = post.agg(F.sum("tf").cast("double")).scalar() / n_docs
-    df_terms = post.groupBy("term").agg(F.count(F.lit(1)).cast("long").alias("df"))
-    with_raw = df_terms.withColumn("raw_idf", raw_idf(n_docs, F.col("df")))
-    mean_idf = with_raw.agg(F.avg("raw_idf")).scalar()
-    terms = with_raw.select(
-        "term",
-        "df",
-        F.when(F.col("raw_idf") < 0, F.lit(params.epsilon) * mean_idf).otherwise(F.col("raw_idf")).alias("idf"),
-    )
+    mean_idf = dfs.agg(F.avg(raw_idf(n_docs, F.col("df")))).scalar()
     stats = corpus.sparkSession.range(1).select(
         n_docs.alias("n_docs"), avgdl.alias("avgdl"), mean_idf.alias("mean_idf")
     )
     if materialize:
         stats = _materialize(stats)
-        terms = _materialize(terms)
+    n = stats.select("n_docs").scalar()
+    mean = stats.select("mean_idf").scalar()
+    raw = raw_idf(n, F.col("df"))
+    terms = dfs.select(
+        "term", "df", F.when(raw < 0, F.lit(params.epsilon) * mean).otherwise(raw).alias("idf")
+    )
     return SparseIndex(post, terms, stats, params)
 
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when the scan yields fewer partitions than the cluster can run.
+def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
+    """Repartition only when the scan yields fewer partitions than the cluster can run.
 
     A large multi-file dataset already splits into many scan tasks and passes through unchanged;
     a small file with a single row group (one scan task) is spread so tokenisation runs in parallel.
+    Spreading by ``key`` (hash) rather than round-robin also lets every later aggregation whose
+    grouping contains ``key`` (postings per document, vectors per document) run without a shuffle.
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+        return df.repartition(target, key) if key else df.repartition(target)
     return df

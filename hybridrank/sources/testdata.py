@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as a corpus ``(doc_id, text)``; the title is empty."""
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), key="doc_id")
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
