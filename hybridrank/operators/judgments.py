@@ -38,10 +38,14 @@ def containing_documents(
         .agg(F.min_by("term", F.struct("df", "term")).alias("term"))
     )
     candidates = index.postings.select("term", "doc_id").join(F.broadcast(anchors), "term").select("query_id", "doc_id")
-    texts = p.select("query_id", "passage")
+    # The corpus (whole texts) is the big side: broadcast the counted candidate pairs and the
+    # passages so the corpus is streamed, never shuffled; past the bound, a shuffle join.
+    cand_b, _, _ = bounded_broadcast(candidates, max_broadcast_rows)
+    texts, _, _ = bounded_broadcast(p.select("query_id", "passage"), max_broadcast_rows)
     matched = (
-        candidates.join(texts, "query_id")
-        .join(corpus.select("doc_id", "text"), "doc_id")
+        corpus.select("doc_id", "text")
+        .join(cand_b, "doc_id")
+        .join(texts, "query_id")
         .filter(F.instr(F.col("text"), F.col("passage")) > 0)
         .select("query_id", "doc_id")
     )
