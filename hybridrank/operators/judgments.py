@@ -37,7 +37,8 @@ def containing_documents(
         .groupBy("query_id")
         .agg(F.min_by("term", F.struct("df", "term")).alias("term"))
     )
-    candidates = index.postings.select("term", "doc_id").join(F.broadcast(anchors), "term").select("query_id", "doc_id")
+    anchors_b, _, _ = bounded_broadcast(anchors, max_broadcast_rows)  # one row per passage: counted
+    candidates = index.postings.select("term", "doc_id").join(anchors_b, "term").select("query_id", "doc_id")
     # The corpus (whole texts) is the big side: broadcast the counted candidate pairs and the
     # passages so the corpus is streamed, never shuffled; past the bound, a shuffle join.
     cand_b, _, _ = bounded_broadcast(candidates, max_broadcast_rows)

@@ -103,6 +103,19 @@ class Experts:
         return out.select("query_id", "expert", "doc_id", "rank", "score")
 
 
+def build_experts(corpus: DataFrame, root: str | None = None, force: bool = False,
+                  dim: int = embed.DEFAULT_DIM) -> Experts:
+    """Build (or load from ``{root}/sparse`` and ``{root}/dense``) the default sparse and dense experts."""
+    import os
+
+    sp = os.path.join(root, "sparse") if root else None
+    dn = os.path.join(root, "dense") if root else None
+    return Experts(
+        sparse=SparseExpert(corpus, path=sp, force=force),
+        dense=DenseExpert(corpus, encoder=hashed_encoder(dim), path=dn, force=force),
+    )
+
+
 # ---------------------------------------------------------------- job 1: label generation
 
 def generate_labels(experts: Experts, queries: DataFrame, qrels: DataFrame, k: int = DEFAULT_K,

@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 from ..schemas import CORPUS_FILE_SCHEMA, QUERIES_FILE_SCHEMA, QRELS_FILE_SCHEMA, score_table_schema
 
 
+SPLITS = ("train", "test", "dev")
+
+
 def read_corpus(spark: SparkSession, path: str, dedup: str = "last") -> DataFrame:
     """Corpus JSON lines ``{"_id", "title", "text", ...}`` → ``(doc_id, title, text)``.
 
@@ -127,6 +130,8 @@ def read_qrels(spark: SparkSession, path: str, fmt: str | None = None, delimiter
 def read_split_qrels(spark: SparkSession, root: str, split: str = "test", delimiter: str = "\t") -> DataFrame | None:
     """Qrels of one split from a collection folder ``{root}/qrels/{split}.tsv``, or from a Parquet
     table partitioned by ``split=`` (partition pruning). ``None`` when the split does not exist."""
+    if split not in SPLITS:
+        raise ValueError(f"split must be one of {SPLITS}, got {split!r}")
     tsv = os.path.join(root, "qrels", f"{split}.tsv")
     if os.path.exists(tsv):
         return read_qrels_tsv(spark, tsv, delimiter)

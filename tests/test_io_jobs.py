@@ -101,3 +101,15 @@ def test_jobs_end_to_end(spark, sf_small, tmp_path):
     writers.write_benchmark(bench, str(tmp_path / "bench"))
     writers.write_run_config(spark, {"k": 10, "norm": "l1"}, str(tmp_path / "config"))
     assert spark.read.json(str(tmp_path / "bench")).count() == 12
+
+
+def test_build_experts_reuses_stored_indices(spark, sf_small, tmp_path):
+    corpus, queries = td.corpus(spark, sf_small), td.queries(spark, sf_small)
+    root = str(tmp_path / "indices")
+    a = jobs.build_experts(corpus, root)
+    b = jobs.build_experts(corpus, root)  # loads both
+    ra = sorted((r.query_id, r.expert, r.doc_id, r["rank"]) for r in a.search(queries, 3).collect())
+    rb = sorted((r.query_id, r.expert, r.doc_id, r["rank"]) for r in b.search(queries, 3).collect())
+    assert ra == rb and {e for _, e, _, _ in ra} == {"sparse", "dense"}
+    with pytest.raises(ValueError):
+        readers.read_split_qrels(spark, root, "validation")
