@@ -23,7 +23,7 @@ def containing_documents(
     which may be cut inside a word) is a whole token of every document containing the passage.
     So each passage is probed only against the posting list of its rarest interior token, and the
     candidates are verified with a substring test on the whole texts. Passages with fewer than three
-    tokens have no interior token; they are compared with every document (a size-checked broadcast).
+    tokens have no interior token; they are anchored on a character gram instead (see below).
     """
     require(corpus, ("doc_id", "text"), "corpus")
     require(passages, ("query_id", "text"), "passages")
@@ -50,16 +50,46 @@ def containing_documents(
         .filter(F.instr(F.col("text"), F.col("passage")) > 0)
         .select("query_id", "doc_id")
     )
-    short = p.filter(F.size("toks") < 3).select("query_id", "passage")
-    short_b, _, n_short = bounded_broadcast(short, max_broadcast_rows)
+    short = p.filter((F.size("toks") < 3) & (F.length("passage") > 0)).select("query_id", "passage")
+    n_short = short.count()
     if n_short == 0:
         return matched
-    short_matched = (
+    return matched.unionByName(_short_passage_matches(corpus, short, max_broadcast_rows))
+
+
+GRAM = 3  # character anchor length for passages without an interior token
+
+
+def _short_passage_matches(corpus: DataFrame, short: DataFrame, max_broadcast_rows: int) -> DataFrame:
+    """Exact containment for passages with fewer than three tokens, without comparing all pairs.
+
+    Every substring of a passage occurs in a document that contains it; the anchor is the
+    passage's middle ``GRAM``-character gram (the whole passage when shorter). Each document's
+    distinct grams of the needed lengths are generated in its own task and semi-joined against the
+    broadcast anchors before anything is shuffled; survivors are verified on the whole texts.
+    """
+    q = F.least(F.length("passage"), F.lit(GRAM))
+    start = F.floor((F.length("passage") - q) / 2).cast("int") + 1
+    anchors = short.select("query_id", "passage", F.substring(F.col("passage"), start, q).alias("gram"))
+    grams_b, _, _ = bounded_broadcast(anchors.select("gram").distinct(), max_broadcast_rows)
+    # the gram lengths in use: a set of at most GRAM small integers
+    lens = sorted(r.n for r in anchors.select(F.length("gram").alias("n")).distinct().collect())
+    def grams(n: int):
+        positions = F.sequence(F.lit(1), F.greatest(F.length("text") - F.lit(n) + 1, F.lit(1)))
+        return F.transform(positions, lambda i: F.substring(F.col("text"), i, F.lit(n)))
+
+    per_len = [grams(n) for n in lens]
+    doc_grams = corpus.select(
+        "doc_id", F.explode(F.array_distinct(F.flatten(F.array(*per_len)))).alias("gram")
+    ).join(grams_b, "gram", "left_semi")
+    anchors_b, _, _ = bounded_broadcast(anchors, max_broadcast_rows)
+    cands = doc_grams.join(anchors_b, "gram").select("query_id", "doc_id", "passage")
+    return (
         corpus.select("doc_id", "text")
-        .join(short_b, F.instr(F.col("text"), F.col("passage")) > 0)
+        .join(cands, "doc_id")
+        .filter(F.instr(F.col("text"), F.col("passage")) > 0)
         .select("query_id", "doc_id")
     )
-    return matched.unionByName(short_matched)
 
 
 def graded_qrels(matches: DataFrame, labels: DataFrame | None = None) -> DataFrame:

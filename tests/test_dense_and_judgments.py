@@ -96,3 +96,13 @@ def test_graded_qrels_and_lookup(spark):
     bad = spark.createDataFrame([("zz", 1)], "query_id string, doc_id long")
     with pytest.raises(Exception):
         judgments.judgments(bad, q, strict=True).collect()
+
+
+def test_short_passages_brute_force(spark, sf_small):
+    corpus = td.corpus(spark, sf_small)
+    docs = [(r.doc_id, r.text) for r in corpus.collect()]
+    passages = spark.createDataFrame([(1, "ab"), (2, "e"), (3, ". T"), (4, "zzqx"), (5, "en, d")], "query_id long, text string")
+    idx = sparse.build_index(corpus)
+    got = {(r.query_id, r.doc_id) for r in judgments.containing_documents(corpus, passages, idx).collect()}
+    expect = {(q, d) for q, p in [(1, "ab"), (2, "e"), (3, ". T"), (4, "zzqx"), (5, "en, d")] for d, t in docs if p in t}
+    assert got == expect
