@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dense, embed, fusion, judgments, labels, metrics, prepare, ranking, router, sparse
 from ..session import materialize
+from ..sources import readers
 from ..sources import testdata as td
 
 K = 25  # list depth used by label generation and the benchmark
@@ -638,3 +639,76 @@ def routed_benchmark(spark, sf_dir):
     all_runs = per(sr, "sparse").unionByName(per(dr, "dense")).unionByName(fused.select("query_id", "model", "doc_id", "rank"))
     s = metrics.summary(metrics.per_query(all_runs, q, ("sparse", "dense", "routed")))
     return s.select("model", "k", r6("precision"), r6("recall"), "n_queries")
+
+
+# ---------------------------------------------------------------- collection checks and variants
+
+@register(
+    "collection_stats",
+    "WITH"
+    + SQL_QRELS_CTE
+    + """
+SELECT (SELECT count(*) FROM documents) AS n_docs,
+       (SELECT count(*) FROM benchmark) AS n_queries,
+       (SELECT count(*) FROM qrels) AS n_qrels,
+       (SELECT count(DISTINCT query_id) FROM qrels) AS n_judged_queries,
+       (SELECT count(*) FROM (SELECT DISTINCT query_id FROM qrels) j
+         WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE b.item_id = j.query_id)) AS orphan_queries,
+       (SELECT count(*) FROM (SELECT DISTINCT doc_id FROM qrels) j
+         WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = j.doc_id)) AS orphan_docs""",
+)
+def collection_stats(spark, sf_dir):
+    """Sizes and orphan counts of the (corpus, queries, judgements) collection."""
+    i = Inputs(spark, sf_dir)
+    return readers.validate_collection(i.corpus, i.queries, i.qrels)
+
+
+@register(
+    "judged_query_text",
+    "WITH"
+    + SQL_QRELS_CTE
+    + """
+SELECT j.query_id, coalesce(b.text, '') AS text
+FROM (SELECT DISTINCT query_id FROM qrels) j LEFT JOIN benchmark b ON b.item_id = j.query_id""",
+)
+def judged_query_text(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return judgments.with_query_text(i.qrels, i.queries)
+
+
+@register(
+    "class_counts",
+    SQL_PREP_CTE
+    + """
+SELECT winner, count(*) AS n FROM (
+  SELECT CASE WHEN sparse > dense THEN 'sparse' WHEN dense > sparse THEN 'dense' END AS winner FROM clean)
+WHERE winner IS NOT NULL GROUP BY winner""",
+)
+def class_counts(spark, sf_dir):
+    """How often each expert strictly wins (the balancing classes; ties excluded)."""
+    t = prepare.clean(_score_table(spark, sf_dir), EXPERTS)
+    w = t.select(prepare.winner(EXPERTS).alias("winner")).filter(F.col("winner").isNotNull())
+    return w.groupBy("winner").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "metrics_summary_binary",
+    SQL_ALL_CTE
+    + """,
+bhits AS (SELECT m.query_id, m.model, k.k, sum(CASE WHEN q.relevance > 0 THEN 1 ELSE 0 END) AS rel_at_k
+          FROM model_runs m JOIN qrels q ON q.query_id = m.query_id AND q.doc_id = m.doc_id
+          JOIN ks k ON m.rank <= k.k GROUP BY 1, 2, 3),
+bmpq AS (
+  SELECT md.model, nj.query_id, ks.k,
+         coalesce(h.rel_at_k, 0)::DOUBLE / ks.k AS precision,
+         CASE WHEN nj.n_judged > 0 THEN coalesce(h.rel_at_k, 0)::DOUBLE / nj.n_judged ELSE 0.0 END AS recall
+  FROM nj CROSS JOIN (VALUES ('sparse'), ('dense'), ('fused')) md(model) CROSS JOIN ks
+  LEFT JOIN bhits h ON h.query_id = nj.query_id AND h.model = md.model AND h.k = ks.k)
+SELECT model, k, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, count(*) AS n_queries
+FROM bmpq GROUP BY model, k""",
+)
+def metrics_summary_binary(spark, sf_dir):
+    """As ``metrics_summary`` with binary relevance (a judged document counts 1 whatever its grade)."""
+    runs, q = _model_runs(spark, sf_dir)
+    s = metrics.summary(metrics.per_query(runs, q, ("sparse", "dense", "fused"), graded=False))
+    return s.select("model", "k", r6("precision"), r6("recall"), "n_queries")
