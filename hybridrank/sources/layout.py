@@ -13,7 +13,9 @@ def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = N
     Spreading by ``key`` (hash) rather than round-robin also lets every later aggregation whose
     grouping contains ``key`` (postings per document, vectors per document) run without a shuffle.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < (min_partitions or cores):
+        # a few partitions per core absorb uneven row sizes (documents of 1 to 20,000 words)
+        target = min_partitions or 3 * cores
         return df.repartition(target, key) if key else df.repartition(target)
     return df
