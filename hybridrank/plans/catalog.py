@@ -227,9 +227,13 @@ class Inputs:
     @property
     def dense_run(self):
         def build():
+            if "index" in self._cache:  # reuse the materialised postings: no second tokenisation
+                docs = embed.embed_postings(self.index.postings, self.index.terms, self.corpus.select("doc_id"), DIM)
+            else:
+                docs = embed.embed_corpus(self.corpus, DIM)
             run = dense.knn(
                 embed.embed_queries(self.queries, DIM),
-                embed.embed_corpus(self.corpus, DIM),
+                docs,
                 k=K,
                 expert="dense",
                 n_queries=self.queries.count(),

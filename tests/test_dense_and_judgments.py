@@ -106,3 +106,13 @@ def test_short_passages_brute_force(spark, sf_small):
     got = {(r.query_id, r.doc_id) for r in judgments.containing_documents(corpus, passages, idx).collect()}
     expect = {(q, d) for q, p in [(1, "ab"), (2, "e"), (3, ". T"), (4, "zzqx"), (5, "en, d")] for d, t in docs if p in t}
     assert got == expect
+
+
+def test_embed_from_postings_equals_direct(spark, sf_small):
+    corpus = td.corpus(spark, sf_small)
+    idx = sparse.build_index(corpus)
+    a = {r.doc_id: r.embedding for r in embed.embed_corpus(corpus, 64).collect()}
+    b = {r.doc_id: r.embedding for r in embed.embed_postings(idx.postings, idx.terms, corpus.select("doc_id"), 64).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert np.allclose(a[k], b[k], atol=1e-12)
