@@ -68,7 +68,7 @@ def knn(
     expert: str | None = "dense",
     corpus_block_rows: int = 50_000,
     query_block_rows: int = 20_000,
-    query_chunk: int = 1_024,
+    query_chunk: int = 256,
     n_queries: int | None = None,
     n_docs: int | None = None,
 ) -> DataFrame:
@@ -77,7 +77,8 @@ def knn(
     ``queries(query_id, embedding)``, ``corpus(doc_id, embedding)``; vectors are L2-normalised.
     ``exclude_self`` skips a document whose id equals the query id (leave-one-out search).
     ``n_queries`` / ``n_docs`` are row-count upper bounds used to size the blocks; when absent
-    the inputs are counted.
+    the inputs are counted. Worker memory per group ≈ corpus block (rows × dim × 8 B) plus one
+    ``query_chunk × corpus_block_rows`` score matrix (256 × 50,000 × 8 B ≈ 100 MB) and its partition copy.
     Ties: rounded score descending, doc_id ascending. If ``k`` exceeds the corpus, all documents.
     """
     require(queries, ("query_id", "embedding"), "queries")

@@ -93,3 +93,16 @@ def test_mlp_router_learns_hard_winner(spark):
     m = router.fit_mlp(df, hidden=(4,), max_iter=200)
     w = {r.query_id: r.weight for r in router.predict(m, df.limit(2), ["sparse", "dense"]).filter("expert = 'sparse'").collect()}
     assert w[1] > 0.5 > w[0]
+
+
+def test_split_decision_with_test_tables(spark, mc):
+    from hybridrank.plans import jobs
+
+    test = mc.filter("query IN ('d', 'e')")
+    tr, te = jobs.prepare_router_data(mc, test)
+    assert {r.query for r in tr.collect()} == {"b", "c", 'say "hi", x'}
+    assert {r.query for r in te.collect()} == {"d", "e"}
+    with pytest.raises(ValueError):
+        jobs.prepare_router_data(mc.filter("query = 'b'"), mc.filter("query = 'b'"))
+    tr2, te2 = jobs.prepare_router_data(mc)  # no test tables: hash split of the cleaned rows
+    assert tr2.count() + te2.count() == 5
