@@ -716,3 +716,22 @@ def metrics_summary_binary(spark, sf_dir):
     runs, q = _model_runs(spark, sf_dir)
     s = metrics.summary(metrics.per_query(runs, q, ("sparse", "dense", "fused"), graded=False))
     return s.select("model", "k", r6("precision"), r6("recall"), "n_queries")
+
+
+@register(
+    "bm25_topk_stored",
+    "WITH" + SQL_BM25_CTE + "SELECT query_id, doc_id, rank::INTEGER AS rank, round(score, 6) AS score FROM sparse_run",
+)
+def bm25_topk_stored(spark, sf_dir):
+    """``bm25_topk`` through the persisted index: written as Parquet (postings partitioned by term
+    bucket) into the shared checkpoint folder, read back, searched with the bucket partition filter."""
+    import os
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources import index_store
+
+    path = os.path.join(ensure_checkpoint_dir(spark), f"bm25-index-{uuid.uuid4().hex}")
+    idx = index_store.sparse_index(td.corpus(spark, sf_dir), path)
+    run = sparse.search(idx, td.queries(spark, sf_dir), k=K, expert=None)
+    return run.select("query_id", "doc_id", F.col("rank").cast("int"), r6("score"))
