@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..schemas import require
+from ..session import materialize as _materialize
 from .sizing import DEFAULT_MAX_BROADCAST_ROWS, bounded_broadcast
 from .sparse import SparseIndex
 
@@ -40,8 +41,9 @@ def containing_documents(
     anchors_b, _, _ = bounded_broadcast(anchors, max_broadcast_rows)  # one row per passage: counted
     candidates = index.postings.select("term", "doc_id").join(anchors_b, "term").select("query_id", "doc_id")
     # The corpus (whole texts) is the big side: broadcast the counted candidate pairs and the
-    # passages so the corpus is streamed, never shuffled; past the bound, a shuffle join.
-    cand_b, _, _ = bounded_broadcast(candidates, max_broadcast_rows)
+    # passages so the corpus is streamed, never shuffled; past the bound, a shuffle join. The
+    # candidates are written once (one scan of the postings), then counted and read from that copy.
+    cand_b, _, _ = bounded_broadcast(_materialize(candidates), max_broadcast_rows)
     texts, _, _ = bounded_broadcast(p.select("query_id", "passage"), max_broadcast_rows)
     matched = (
         corpus.select("doc_id", "text")
@@ -74,6 +76,7 @@ def _short_passage_matches(corpus: DataFrame, short: DataFrame, max_broadcast_ro
     grams_b, _, _ = bounded_broadcast(anchors.select("gram").distinct(), max_broadcast_rows)
     # the gram lengths in use: a set of at most GRAM small integers
     lens = sorted(r.n for r in anchors.select(F.length("gram").alias("n")).distinct().collect())
+
     def grams(n: int):
         positions = F.sequence(F.lit(1), F.greatest(F.length("text") - F.lit(n) + 1, F.lit(1)))
         return F.transform(positions, lambda i: F.substring(F.col("text"), i, F.lit(n)))
