@@ -116,3 +116,18 @@ def test_embed_from_postings_equals_direct(spark, sf_small):
     assert a.keys() == b.keys()
     for k in a:
         assert np.allclose(a[k], b[k], atol=1e-12)
+
+
+def test_user_encoder_hook(spark, sf_small):
+    def make_encoder():
+        def encode(texts):
+            return np.array([[len(t), t.count(" ") + 1.0] for t in texts], dtype=np.float32)
+
+        return encode
+
+    q = td.queries(spark, sf_small)
+    out = {r.query_id: r.embedding for r in embed.encode_with(q, "query_id", "text", make_encoder).collect()}
+    texts = {r.query_id: r.text for r in q.collect()}
+    assert out.keys() == texts.keys()
+    for k, t in texts.items():
+        assert out[k] == [float(len(t)), float(t.count(" ") + 1)]
