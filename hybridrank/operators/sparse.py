@@ -96,7 +96,9 @@ def build_index(corpus: DataFrame, params: BM25Params = BM25Params(), materializ
         dfs = _materialize(dfs)
     n_docs = corpus.agg(F.count(F.lit(1)).cast("long")).scalar()
     avgdl = post.agg(F.sum("tf").cast("double")).scalar() / n_docs
-    mean_idf = dfs.agg(F.avg(raw_idf(n_docs, F.col("df")))).scalar()
+    # project first, then average a plain column: a scalar subquery may not sit inside an aggregate's
+    # argument when its plan is non-deterministic (e.g. a corpus de-duplicated by read position)
+    mean_idf = dfs.select(raw_idf(n_docs, F.col("df")).alias("raw")).agg(F.avg("raw")).scalar()
     stats = corpus.sparkSession.range(1).select(
         n_docs.alias("n_docs"), avgdl.alias("avgdl"), mean_idf.alias("mean_idf")
     )
