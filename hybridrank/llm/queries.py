@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, mixing, sharding
+from . import contamination, content_sort, mixing, quality, sharding, token_counts, token_frames, warc
 from .common import table
 
 SHARDS = 40
+END_ID = 2
 CURVE = [sharding.Dimension("source", "hash"), sharding.Dimension("lang", "hash"), sharding.Dimension("n_chars", "log"), sharding.Dimension("doc_id", "range")]
 MIX = {"weights": [5, 2, 1], "share": 1.5, "most": 2.0}
 
@@ -23,13 +24,45 @@ def op2_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumn("taken", F.col("copies") * F.col("size")).withColumn("one", each).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op3_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_frames.token_files(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), END_ID)
+
+
 def op4_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
+def op6_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archives(table(spark, sf_dir, "pages"), min_payload=0)
+
+
+def op9_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("items", "cleaned")
+
+
 QUERIES = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_pivotal_mix": op2_pivotal_mix,
+    "op3_token_frames": op3_token_frames,
     "op4_content_sort": op4_content_sort,
+    "op5_unigram_counts": op5_unigram_counts,
+    "op6_neighbour_quality": op6_neighbour_quality,
+    "op7_warc_archives": op7_warc_archives,
+    "op9_benchmark_windows": op9_benchmark_windows,
 }
 ORACLE: dict[str, str] = {}
