@@ -157,3 +157,10 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: in
     model = fit(docs, labels.filter(~held_out(F.col(id_col), folds)), id_col=id_col, text_col=text_col, label_col=label_col, **settings)
     rows = docs.select(F.col(id_col).alias("doc_id"), scorer(docs.sparkSession, model)(F.col(text_col)).alias("score"))
     return rows.select("doc_id", held_out(F.col("doc_id"), folds).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **settings) -> DataFrame:
+    """``docs`` without rows scored below ``threshold``, all columns as they are."""
+    model = fit(docs, labels.filter(~held_out(F.col(id_col), folds)), id_col=id_col, text_col=text_col, label_col=label_col, **settings)
+    marked = docs.withColumn("__score", scorer(docs.sparkSession, model)(F.col(text_col)))
+    return marked.filter(F.col("__score") >= threshold).drop("__score")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, content_sort, mixing, quality, sharding, token_counts, token_frames, warc
+from . import contamination, content_sort, mixing, near_join, quality, sharding, suffixes, token_counts, token_frames, warc
 from .common import table
 
 SHARDS = 40
@@ -50,6 +50,14 @@ def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archives(table(spark, sf_dir, "pages"), min_payload=0)
 
 
+def op8_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_strings(table(spark, sf_dir, "documents"), length=100)
+
+
+def op10_grouped_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_duplicates(table(spark, sf_dir, "documents"), width=5, t=0.8)
+
+
 def op9_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("items", "cleaned")
@@ -63,6 +71,8 @@ QUERIES = {
     "op5_unigram_counts": op5_unigram_counts,
     "op6_neighbour_quality": op6_neighbour_quality,
     "op7_warc_archives": op7_warc_archives,
+    "op8_suffix_sort": op8_suffix_sort,
     "op9_benchmark_windows": op9_benchmark_windows,
+    "op10_grouped_prefix": op10_grouped_prefix,
 }
 ORACLE: dict[str, str] = {}
