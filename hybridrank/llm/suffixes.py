@@ -87,7 +87,7 @@ class Anchors:
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, length: int):
     """A block as it is, or a very long text in overlapping pieces: where it begins, bytes, offsets."""
-    if len(data) <= PIECE + length:
+    if len(offsets) > 2 or len(data) <= PIECE + length:
         yield 0, data, offsets
         return
     for at in range(0, len(data), PIECE):
