@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..operators import dense, embed, fusion, judgments, labels, metrics, prepare, router, sparse
 from ..session import materialize
 from ..sources import index_store
+from ..sources.readers import with_query_key
 
 DEFAULT_K = 25
 
@@ -145,9 +146,9 @@ def prepare_router_data(train: DataFrame, test: DataFrame | None = None, same_so
                         experts: Sequence[str] = ("sparse", "dense"), fraction: float = 0.8,
                         seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Given test tables → clean both and drop train queries whose text is in test; same source or
-    no test → clean and split by hash. Raises when nothing is left to train on."""
+    no test → clean and split into exact shares by hash. Raises when nothing is left to train on."""
     if test is None or same_source:
-        return prepare.split(prepare.clean(train, experts), fraction, seed, "query_id")
+        return prepare.split_exact(prepare.clean(train, experts), fraction, seed, "query_id")
     tr = prepare.deleak(prepare.clean(train, experts), prepare.clean(test, experts), "query")
     if tr.isEmpty():
         raise ValueError("training data is empty after removing test queries")
@@ -157,21 +158,26 @@ def prepare_router_data(train: DataFrame, test: DataFrame | None = None, same_so
 def train_router(train: DataFrame, test: DataFrame, experts: Sequence[str] = ("sparse", "dense"), norm: str = "l1",
                  reg_params: Sequence[float] = (1e-4, 1e-3, 1e-2, 1e-1), validation_fraction: float = 0.1,
                  dim: int = embed.DEFAULT_DIM):
-    """Fit with model selection on a hash validation split; return ``(model, results, accuracy)``.
+    """Fit with model selection on an exact validation share; return ``(model, results, accuracy)``.
 
-    ``results`` is ``(query_id, query, true_labels, predicted_weights)``; ``accuracy`` is one row.
+    Queries are told apart by source and id (a table without ``source`` is one source); a NULL id or
+    a repeated query raises. ``results`` is ``([source], query_id, query, true_labels,
+    predicted_weights)``; ``accuracy`` is one row.
     """
     def with_features(df):
-        return df.join(query_features(df.select("query_id", F.col("query").alias("text")), dim), "query_id")
+        keyed = with_query_key(df).withColumnRenamed("query_id", "own_id").withColumnRenamed("query_key", "query_id")
+        return keyed.join(query_features(keyed.select("query_id", F.col("query").alias("text")), dim), "query_id")
 
     tr = materialize(with_features(train))
-    fit_part, val_part = prepare.split(tr, 1.0 - validation_fraction, 4242, "query_id")
+    fit_part, val_part = (materialize(part) for part in prepare.split_exact(tr, 1.0 - validation_fraction, 4242, "query_id"))
     model, _ = router.select_model(fit_part, val_part, experts, norm, reg_params)
     te = with_features(test)
     pred = router.predict(model, te, experts)
     ev = router.evaluate(pred, te, experts, norm)
-    results = ev.join(test.select("query_id", "query"), "query_id").select(
-        "query_id",
+    own = [F.col(c) for c in ("source",) if c in test.columns]
+    results = ev.join(te.select("query_id", "own_id", "query", *own), "query_id").select(
+        *own,
+        F.col("own_id").alias("query_id"),
         "query",
         F.array(*[F.col(f"true_{e}") for e in experts]).alias("true_labels"),
         F.array(*[F.col(f"pred_{e}") for e in experts]).alias("predicted_weights"),
@@ -191,13 +197,13 @@ def routed_search(experts: Experts, model, queries: DataFrame, k: int = DEFAULT_
 
 def benchmark(experts: Experts, queries: DataFrame, qrels: DataFrame, model=None, k: int = DEFAULT_K,
               corpus_name: str | None = None, fused_name: str = "fused",
-              weights: dict | None = None) -> DataFrame:
+              weights: dict | None = None, dim: int = embed.DEFAULT_DIM) -> DataFrame:
     """Mean precision/recall at 1, 5, 10, 25 for each expert and the fused list, over all judged
     queries (expert runs computed once and reused for the fusion)."""
     judged = judgments.judged_queries(queries, qrels)
     runs = materialize(experts.search(judged, k))
     if model is not None:
-        w = router.predict(model, query_features(judged), experts.names)
+        w = router.predict(model, query_features(judged, dim), experts.names)
     else:
         w = fusion.fixed_weights(judged, weights or {n: 1.0 / len(experts.names) for n in experts.names})
     fused = fusion.fuse(runs, w, experts.names, k)

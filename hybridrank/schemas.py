@@ -5,14 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-# Column contracts (ids keep whatever type the caller uses; only the names are fixed).
-CORPUS_COLUMNS = ("doc_id", "text")  # `title` optional
-QUERIES_COLUMNS = ("query_id", "text")
-QRELS_COLUMNS = ("query_id", "doc_id", "relevance")
-RUNS_COLUMNS = ("query_id", "expert", "doc_id", "rank", "score")
-WEIGHTS_COLUMNS = ("query_id", "expert", "weight")
-VECTORS_COLUMNS = ("id", "embedding")
-
 QRELS_FILE_SCHEMA = T.StructType(
     [
         T.StructField("query_id", T.StringType()),
@@ -39,7 +31,7 @@ QUERIES_FILE_SCHEMA = T.StructType(
 
 def score_table_schema(experts=("sparse", "dense")) -> T.StructType:
     """Schema of the per-query expert score table (label-generation output)."""
-    fields = [T.StructField("query_idx", T.LongType()), T.StructField("query", T.StringType())]
+    fields = [T.StructField("query_idx", T.StringType()), T.StructField("query", T.StringType())]
     fields += [T.StructField(e, T.DoubleType()) for e in experts]
     for norm in ("l1", "softmax"):
         fields += [T.StructField(f"{e}_{norm}", T.DoubleType()) for e in experts]

@@ -4,21 +4,21 @@ from __future__ import annotations
 
 import os
 
-from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegressionModel, MultilayerPerceptronClassificationModel
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sparse import BM25Params, SparseIndex, build_index, term_bucket_of
 
+from .paths import path_exists
+
 DEFAULT_TERM_BUCKETS = 256
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    """True when ``path`` holds a completed Spark write (``_SUCCESS`` marker), on any Hadoop filesystem."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(hpath))
+    """True when ``path`` holds a completed Spark write (``_SUCCESS`` marker)."""
+    return path_exists(spark, path.rstrip("/") + "/_SUCCESS")
 
 
 def save_sparse_index(index: SparseIndex, path: str, mode: str = "errorifexists", partitions: int | None = None,
@@ -88,12 +88,18 @@ def dense_vectors(vectors: DataFrame, path: str | None = None, force: bool = Fal
     return vectors
 
 
-def save_router(model: LogisticRegressionModel, folder: str, norm: str) -> str:
+def save_router(model, folder: str, norm: str) -> str:
     """Save under ``{folder}/router_{norm}`` (the label normalisation is part of the name)."""
     path = os.path.join(folder, f"router_{norm}")
     model.write().overwrite().save(path)
     return path
 
 
-def load_router(folder: str, norm: str) -> LogisticRegressionModel:
-    return LogisticRegressionModel.load(os.path.join(folder, f"router_{norm}"))
+def load_router(folder: str, norm: str):
+    """The saved router, a logistic regression or a perceptron, whichever its metadata name."""
+    path = os.path.join(folder, f"router_{norm}")
+    kind = DefaultParamsReader.loadMetadata(path, SparkSession.getActiveSession())["class"].rsplit(".", 1)[1]
+    kinds = {k.__name__: k for k in (LogisticRegressionModel, MultilayerPerceptronClassificationModel)}
+    if kind not in kinds:
+        raise ValueError(f"{path} holds a {kind}, not a router")
+    return kinds[kind].load(path)

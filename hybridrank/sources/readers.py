@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .paths import path_exists
 from ..schemas import CORPUS_FILE_SCHEMA, QUERIES_FILE_SCHEMA, QRELS_FILE_SCHEMA, score_table_schema
 
 
@@ -31,20 +32,6 @@ def read_queries(spark: SparkSession, path: str, dedup: str = "last") -> DataFra
     return _dedup_last(df, "query_id") if dedup == "last" else df
 
 
-def read_corpus_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Cached corpus file: one JSON object ``{doc_id: {"title", "text"}}`` → ``(doc_id, title, text)``.
-
-    One object per file is parsed by one task; Parquet (``df.write.parquet``) is the scalable cache.
-    """
-    doc = T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType())])
-    m = F.from_json(F.col("value"), T.MapType(T.StringType(), doc))
-    return (
-        spark.read.text(path, wholetext=True)
-        .select(F.explode(m).alias("doc_id", "d"))
-        .select("doc_id", "d.title", "d.text")
-    )
-
-
 def queries_from_list(spark: SparkSession, texts, ids=None) -> DataFrame:
     """A single query string or a list of them as a queries DataFrame ``(query_id, text)``.
 
@@ -60,17 +47,19 @@ def queries_from_list(spark: SparkSession, texts, ids=None) -> DataFrame:
     return spark.createDataFrame(rows, f"query_id {id_type}, text string")
 
 
-def _dedup_last(df: DataFrame, key: str) -> DataFrame:
-    """One row per ``key``: the one read last. An aggregate (partial + final), not a window, so a
-    key repeated on a third of all rows is still combined map-side."""
-    cols = [c for c in df.columns if c != key]
-    pos = F.monotonically_increasing_id()
-    return (
-        df.withColumn("_pos", pos)
-        .groupBy(key)
-        .agg(F.max_by(F.struct(*cols), F.col("_pos")).alias("_row"))
-        .select(key, *[F.col(f"_row.{c}").alias(c) for c in cols])
-    )
+def _dedup_last(df: DataFrame, *keys: str) -> DataFrame:
+    """One row per key: of files in order of their paths, the last line wins.
+
+    Only keys and positions move: the last position of each repeated key is an aggregate (a key
+    repeated on a third of all rows is combined map-side), and the positions that lose are taken
+    out of the table by an anti join.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    placed = df.select("*", at.alias("_at"))
+    last = placed.groupBy(*keys).agg(F.max("_at").alias("_last"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    same = [placed[k].eqNullSafe(last[k]) for k in keys]
+    losers = placed.select(*keys, "_at").join(last, same).filter("_at < _last").select("_at")
+    return placed.join(losers, "_at", "left_anti").drop("_at")
 
 
 def duplicate_ids(df: DataFrame, key: str) -> DataFrame:
@@ -79,8 +68,8 @@ def duplicate_ids(df: DataFrame, key: str) -> DataFrame:
 
 
 def read_qrels_tsv(spark: SparkSession, path: str, delimiter: str = "\t") -> DataFrame:
-    """``query-id <sep> corpus-id <sep> score`` with one header line; zero judgements are dropped and
-    a malformed line fails the read."""
+    """``query-id <sep> corpus-id <sep> score`` with one header line; of a repeated pair the last line
+    counts, zero judgements are dropped and a malformed line fails the read."""
     df = (
         spark.read.option("header", True)
         .option("sep", delimiter)
@@ -90,7 +79,7 @@ def read_qrels_tsv(spark: SparkSession, path: str, delimiter: str = "\t") -> Dat
         .schema(QRELS_FILE_SCHEMA)
         .csv(path)
     )
-    return df.filter(F.col("relevance") != 0)
+    return _dedup_last(df, "query_id", "doc_id").filter(F.col("relevance") != 0)
 
 
 def read_qrels_json(spark: SparkSession, path: str) -> DataFrame:
@@ -133,35 +122,49 @@ def read_split_qrels(spark: SparkSession, root: str, split: str = "test", delimi
     if split not in SPLITS:
         raise ValueError(f"split must be one of {SPLITS}, got {split!r}")
     tsv = os.path.join(root, "qrels", f"{split}.tsv")
-    if os.path.exists(tsv):
+    if path_exists(spark, tsv):
         return read_qrels_tsv(spark, tsv, delimiter)
     part = os.path.join(root, "qrels", f"split={split}")
-    if os.path.exists(part):
+    if path_exists(spark, part):
         return spark.read.parquet(os.path.join(root, "qrels")).filter(F.col("split") == split).drop("split")
     return None
 
 
 def available_splits(root: str, candidates: Sequence[str] = ("test", "train")) -> list[str]:
     """Those of ``candidates`` present under ``{root}/qrels``."""
-    q = os.path.join(root, "qrels")
-    return [s for s in candidates if os.path.exists(os.path.join(q, f"{s}.tsv")) or os.path.exists(os.path.join(q, f"split={s}"))]
+    q, spark = os.path.join(root, "qrels"), SparkSession.getActiveSession()
+    found = lambda s: any(path_exists(spark, os.path.join(q, n)) for n in (f"{s}.tsv", f"split={s}"))
+    return [s for s in candidates if found(s)]
 
 
-def read_score_tables(spark: SparkSession, paths: Sequence[str], experts: Sequence[str] = ("sparse", "dense")) -> DataFrame:
+def read_score_tables(spark: SparkSession, paths: Sequence[str], experts: Sequence[str] = ("sparse", "dense"),
+                      sources: Sequence[str] | None = None) -> DataFrame:
     """UNION ALL of score-table CSVs (header, quoted fields with doubled quotes, multi-line); blank
-    paths are skipped and no path gives an empty table of the same schema."""
+    paths are skipped and no path gives an empty table of the same schema.
+
+    Query ids are strings and only mean something within their table, so every row names its
+    table in ``source``: ``sources`` in the order of ``paths``, by default the paths themselves.
+    """
     schema = score_table_schema(experts)
-    paths = [p for p in paths if p]
-    if not paths:
-        return spark.createDataFrame([], schema)
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("escape", '"')
-        .option("multiLine", True)
-        .csv(list(paths))
-        .withColumn("query_id", F.col("query_idx"))
+    named = [(p, s) for p, s in zip(paths, sources or paths, strict=True) if p]
+    if len({s for _, s in named}) < len(named):
+        raise ValueError("two score tables have the same source")
+    out = spark.createDataFrame([], schema).withColumns({"query_id": F.col("query_idx"), "source": F.lit("")})
+    for path, source in named:
+        part = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+        out = out.unionByName(part.withColumns({"query_id": F.col("query_idx"), "source": F.lit(source)}))
+    return out
+
+
+def with_query_key(table: DataFrame, key: str = "query_key") -> DataFrame:
+    """``table`` with one string that identifies its query: source and id. A NULL id and a repeated key raise."""
+    parts = [F.col(c).cast("string").alias(c) for c in ("source", "query_id") if c in table.columns]
+    known = F.when(F.col("query_id").isNull(), F.raise_error(F.lit("query_id is NULL"))).otherwise(F.to_json(F.struct(*parts)))
+    keyed = table.withColumn(key, known)
+    once = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).select(
+        key, F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("repeated query "), F.col(key)))).otherwise(F.col("_n")).alias("_n")
     )
+    return keyed.join(once.filter(F.col("_n") == 1).select(key), key)
 
 
 def validate_collection(corpus: DataFrame, queries: DataFrame, qrels: DataFrame) -> DataFrame:

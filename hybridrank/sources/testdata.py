@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .layout import spread
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` as a corpus ``(doc_id, text)``; the title is empty."""
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), key="doc_id")
+    """``documents`` as a corpus ``(doc_id, text)``; the title is empty.
+
+    Hash-partitioned by document: one shuffle of the texts, after which postings and vectors per
+    document need none of their (larger) own.
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text").repartition(n, "doc_id")
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:

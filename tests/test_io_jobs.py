@@ -52,7 +52,7 @@ def test_score_table_csv_round_trip(spark, tmp_path):
     out = str(tmp_path / "scores")
     writers.write_score_table(df, out)
     back = {r.query_id: r for r in readers.read_score_tables(spark, ["", out]).collect()}
-    assert back[1].query == 'say "hi", x' and back[2].query == "multi\nline" and back[1].sparse_l1 == 0.8
+    assert back["1"].query == 'say "hi", x' and back["2"].query == "multi\nline" and back["1"].sparse_l1 == 0.8
     assert readers.read_score_tables(spark, [""]).count() == 0
 
 
