@@ -3,7 +3,7 @@
 The flat index of the reference compares every query with every vector. On Spark that work is
 blocked instead of enumerated: documents are hashed into corpus blocks and queries into query
 blocks; each (corpus block, query block) cell is one ``cogroup`` group in which numpy computes one
-matrix product and keeps a local top-k per query (plus anything tied with the k-th score). Only
+matrix product and keeps a local top-k per query. Only
 those candidates are shuffled to the final, deterministic window top-k. No pair rows are emitted,
 and each group is bounded by the block sizes, which are derived from row counts.
 """
@@ -18,13 +18,9 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import dot, l2_normalize
 from ..schemas import require
-from .ranking import top_k
+from .ranking import RANK_DIGITS, top_k
 from .sizing import blocks_for
 
-# Scores within this distance of the local k-th score are kept, so that a tie after rounding to
-# 9 places is always resolved by the global ordering (doc_id), never by the block.
-TIE_SLACK = 1e-9
-
 
 def _matrix(col: pd.Series) -> np.ndarray:
     m = np.stack([np.asarray(v, dtype=np.float64) for v in col.to_numpy()])
@@ -38,6 +34,7 @@ def _block_topk(k: int, exclude_self: bool, chunk: int):
         empty = pd.DataFrame({"query_id": qdf["query_id"].iloc[:0], "doc_id": cdf["doc_id"].iloc[:0], "score": []})
         if len(cdf) == 0 or len(qdf) == 0:
             return empty
+        cdf = cdf.sort_values("doc_id", kind="stable")  # ties go to the smaller id, as in the final order
         c = _matrix(cdf["vec"])
         doc_ids = cdf["doc_id"].to_numpy()
         out = []
@@ -49,9 +46,11 @@ def _block_topk(k: int, exclude_self: bool, chunk: int):
                 s[qids[:, None] == doc_ids[None, :]] = -np.inf
             n = s.shape[1]
             keep = np.isfinite(s)
-            if n > k:
-                kth = np.partition(s, n - k, axis=1)[:, n - k]
-                keep &= s >= (kth - TIE_SLACK)[:, None]
+            if n > k:  # exactly k, however many are tied
+                rounded = np.round(s, RANK_DIGITS)
+                kth = np.partition(rounded, n - k, axis=1)[:, n - k][:, None]
+                tied, above = rounded == kth, rounded > kth
+                keep &= above | (tied & (np.cumsum(tied, axis=1) <= k - above.sum(axis=1, keepdims=True)))
             qi, ci = np.nonzero(keep)
             out.append(pd.DataFrame({"query_id": qids[qi], "doc_id": doc_ids[ci], "score": s[qi, ci]}))
         return pd.concat(out, ignore_index=True) if out else empty

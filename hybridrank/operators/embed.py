@@ -47,37 +47,19 @@ def hashed_embedding(df: DataFrame, id_col: str, text: F.Column, dim: int = DEFA
         .groupBy("id", "dim")
         .agg(F.sum("sign").alias("value"))
     )
-    per_id = raw.groupBy("id").agg(
-        F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("m"),
-        F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"),
-    )
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0))
-        / F.when(F.col("norm") > 0, F.col("norm")).otherwise(F.lit(1.0)),
-    )
     # rows without any token still get a (zero) vector
-    ids = df.select(F.col(id_col).alias("id"))
-    out = ids.join(per_id, "id", "left").select(
-        "id",
-        F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), dim)).otherwise(dense).alias("embedding"),
-    )
+    out = _assemble(raw, df.select(F.col(id_col).alias("id")), dim)
     return out.withColumnRenamed("id", out_id or id_col)
 
 
-def embed_postings(postings: DataFrame, terms: DataFrame, doc_ids: DataFrame, dim: int = DEFAULT_DIM,
-                   max_broadcast_rows: int = 2_000_000) -> DataFrame:
+def embed_postings(postings: DataFrame, terms: DataFrame, doc_ids: DataFrame, dim: int = DEFAULT_DIM) -> DataFrame:
     """``(doc_id, embedding)`` from an existing BM25 index instead of re-tokenising the corpus.
 
-    Each distinct term is hashed once (the vocabulary, broadcast when its counted size allows) and
+    Each distinct term is hashed once and
     weighted by its term frequency: Σ over tokens of sign = Σ over terms of sign·tf, so the vectors
     equal :func:`embed_corpus`'s. ``doc_ids`` supplies documents without any token (zero vectors).
     """
-    from .sizing import bounded_broadcast
-
-    vocab, _, _ = bounded_broadcast(
-        terms.select("term", term_bucket("term", dim).alias("dim"), term_sign("term").alias("sign")), max_broadcast_rows
-    )
+    vocab = terms.select("term", term_bucket("term", dim).alias("dim"), term_sign("term").alias("sign"))
     raw = (
         postings.select("term", "doc_id", "tf")
         .join(vocab, "term")

@@ -27,10 +27,12 @@ def fuse(runs: DataFrame, weights: DataFrame, experts: Sequence[str], k: int) ->
     require(runs, ("query_id", "expert", "doc_id", "rank"), "runs")
     require(weights, ("query_id", "expert", "weight"), "weights")
     pos = F.create_map(*[x for i, e in enumerate(experts) for x in (F.lit(e), F.lit(i))])
-    scored = runs.join(weights.select("query_id", "expert", "weight"), ["query_id", "expert"]).select(
+    # Queries without any weight aren't fused; an expert without one counts 0, its documents stay in the list.
+    weighted = runs.join(weights.select("query_id").distinct(), "query_id", "left_semi")
+    scored = weighted.join(weights.select("query_id", "expert", "weight"), ["query_id", "expert"], "left").select(
         "query_id",
         "doc_id",
-        (F.col("weight") / F.col("rank")).alias("contrib"),
+        (F.coalesce(F.col("weight"), F.lit(0.0)) / F.col("rank")).alias("contrib"),
         F.struct(pos[F.col("expert")].alias("pos"), F.col("rank").alias("rank")).alias("seen"),
     )
     agg = scored.groupBy("query_id", "doc_id").agg(F.sum("contrib").alias("score"), F.min("seen").alias("first_seen"))

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..schemas import require
-from ..session import materialize as _materialize
-from .sizing import DEFAULT_MAX_BROADCAST_ROWS, bounded_broadcast
 from .sparse import SparseIndex
 
 
@@ -16,7 +14,6 @@ def containing_documents(
     corpus: DataFrame,
     passages: DataFrame,
     index: SparseIndex,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """``(query_id, doc_id)`` for every document whose text contains the passage verbatim.
 
@@ -38,55 +35,46 @@ def containing_documents(
         .groupBy("query_id")
         .agg(F.min_by("term", F.struct("df", "term")).alias("term"))
     )
-    anchors_b, _, _ = bounded_broadcast(anchors, max_broadcast_rows)  # one row per passage: counted
-    candidates = index.postings.select("term", "doc_id").join(anchors_b, "term").select("query_id", "doc_id")
-    # The corpus (whole texts) is the big side: broadcast the counted candidate pairs and the
-    # passages so the corpus is streamed, never shuffled; past the bound, a shuffle join. The
-    # candidates are written once (one scan of the postings), then counted and read from that copy.
-    cand_b, _, _ = bounded_broadcast(_materialize(candidates), max_broadcast_rows)
-    texts, _, _ = bounded_broadcast(p.select("query_id", "passage"), max_broadcast_rows)
+    # Which side of these joins is broadcast, if any, is left to the planner, which goes by bytes.
+    candidates = index.postings.select("term", "doc_id").join(anchors, "term").select("query_id", "doc_id")
     matched = (
         corpus.select("doc_id", "text")
-        .join(cand_b, "doc_id")
-        .join(texts, "query_id")
+        .join(candidates, "doc_id")
+        .join(p.select("query_id", "passage"), "query_id")
         .filter(F.instr(F.col("text"), F.col("passage")) > 0)
         .select("query_id", "doc_id")
     )
     short = p.filter((F.size("toks") < 3) & (F.length("passage") > 0)).select("query_id", "passage")
-    n_short = short.count()
-    if n_short == 0:
+    if short.isEmpty():
         return matched
-    return matched.unionByName(_short_passage_matches(corpus, short, max_broadcast_rows))
+    return matched.unionByName(_short_passage_matches(corpus, short))
 
 
 GRAM = 3  # character anchor length for passages without an interior token
 
 
-def _short_passage_matches(corpus: DataFrame, short: DataFrame, max_broadcast_rows: int) -> DataFrame:
+def _short_passage_matches(corpus: DataFrame, short: DataFrame) -> DataFrame:
     """Exact containment for passages with fewer than three tokens, without comparing all pairs.
 
     Every substring of a passage occurs in a document that contains it; the anchor is the
     passage's middle ``GRAM``-character gram (the whole passage when shorter). Each document's
     distinct grams of the needed lengths are generated in its own task and semi-joined against the
-    broadcast anchors before anything is shuffled; survivors are verified on the whole texts.
+    anchors before anything is shuffled; survivors are verified on the whole texts.
     """
     q = F.least(F.length("passage"), F.lit(GRAM))
     start = F.floor((F.length("passage") - q) / 2).cast("int") + 1
     anchors = short.select("query_id", "passage", F.substring(F.col("passage"), start, q).alias("gram"))
-    grams_b, _, _ = bounded_broadcast(anchors.select("gram").distinct(), max_broadcast_rows)
     # the gram lengths in use: a set of at most GRAM small integers
     lens = sorted(r.n for r in anchors.select(F.length("gram").alias("n")).distinct().collect())
 
-    def grams(n: int):
-        positions = F.sequence(F.lit(1), F.greatest(F.length("text") - F.lit(n) + 1, F.lit(1)))
-        return F.transform(positions, lambda i: F.substring(F.col("text"), i, F.lit(n)))
+    def grams(n: int):  # a look-ahead matches at every position, in one pass over the text
+        return F.regexp_extract_all(F.col("text"), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
     per_len = [grams(n) for n in lens]
     doc_grams = corpus.select(
         "doc_id", F.explode(F.array_distinct(F.flatten(F.array(*per_len)))).alias("gram")
-    ).join(grams_b, "gram", "left_semi")
-    anchors_b, _, _ = bounded_broadcast(anchors, max_broadcast_rows)
-    cands = doc_grams.join(anchors_b, "gram").select("query_id", "doc_id", "passage")
+    ).join(anchors.select("gram").distinct(), "gram", "left_semi")
+    cands = doc_grams.join(anchors, "gram").select("query_id", "doc_id", "passage")
     return (
         corpus.select("doc_id", "text")
         .join(cands, "doc_id")
@@ -105,11 +93,6 @@ def graded_qrels(matches: DataFrame, labels: DataFrame | None = None) -> DataFra
     )
 
 
-def drop_zero(qrels: DataFrame) -> DataFrame:
-    """Remove zero judgements (what the TSV loader does at read time)."""
-    return qrels.filter(F.col("relevance") != 0)
-
-
 def judged_queries(queries: DataFrame, qrels: DataFrame) -> DataFrame:
     """Queries that have at least one judgement (left semi join)."""
     return queries.join(qrels.select("query_id"), "query_id", "left_semi")

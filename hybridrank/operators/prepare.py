@@ -26,8 +26,9 @@ def deleak(train: DataFrame, test: DataFrame, key: str = "query") -> DataFrame:
 
 
 def split_hash(seed: int | str, *keys: str) -> Column:
-    """Deterministic 32-bit hash of ``seed ‖ keys`` (equal in Spark and DuckDB)."""
-    return md5_u32(F.lit(str(seed)), *[F.col(k) for k in keys])
+    """Deterministic 32-bit hash of ``seed ‖ keys`` (equal in Spark and DuckDB); a NULL key raises."""
+    known = [F.when(F.col(k).isNull(), F.raise_error(F.lit(f"{k} is NULL"))).otherwise(F.col(k).cast("string")) for k in keys]
+    return md5_u32(F.lit(str(seed)), *known)
 
 
 def split(df: DataFrame, fraction: float = 0.8, seed: int = 42, key: str = "query_id") -> tuple[DataFrame, DataFrame]:

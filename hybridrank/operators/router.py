@@ -34,7 +34,14 @@ def training_rows(df: DataFrame, experts: Sequence[str], norm: str = "l1", featu
     probs = F.array(*[F.col(c).cast("double") for c in cols])
     return df.select(
         "query_id", array_to_vector(F.col(features)).alias("features"), F.posexplode(probs).alias("label", "weight")
-    ).select("query_id", "features", F.col("label").cast("double"), "weight").filter(F.col("weight") > 0)
+    ).filter(F.col("weight") > 0).select(
+        "query_id", "features", F.col("label").cast("double").alias("label", metadata=_classes(len(experts))), "weight"
+    )
+
+
+def _classes(n: int) -> dict:
+    """Label metadata that names ``n`` classes, so that an expert nobody prefers keeps its output."""
+    return {"ml_attr": {"type": "nominal", "name": "label", "vals": [str(float(i)) for i in range(n)]}}
 
 
 def fit(
@@ -59,6 +66,28 @@ def fit(
     return lr.fit(rows)
 
 
+def from_coefficients(spark, coefficients: Sequence[Sequence[float]], intercepts: Sequence[float]) -> LogisticRegressionModel:
+    """A router with given coefficients (a row per expert) and intercepts."""
+    from pyspark.ml.linalg import DenseMatrix, Vectors
+    from pyspark.ml.wrapper import JavaWrapper
+
+    flat = [float(x) for row in coefficients for x in row]
+    matrix = DenseMatrix(len(coefficients), len(coefficients[0]), flat, isTransposed=True)
+    make = spark.sparkContext._jvm.org.apache.spark.ml.classification.LogisticRegressionModel
+    uid = spark.sparkContext._jvm.org.apache.spark.ml.util.Identifiable.randomUID("router")
+    args = [JavaWrapper._new_java_obj("org.apache.spark.ml.linalg.DenseMatrix", matrix.numRows, matrix.numCols, _doubles(spark, matrix.values), True)]
+    vector = JavaWrapper._new_java_obj("org.apache.spark.ml.linalg.DenseVector", _doubles(spark, Vectors.dense(intercepts).values))
+    return LogisticRegressionModel(make(uid, args[0], vector, len(coefficients), True)).setFeaturesCol("features")
+
+
+def _doubles(spark, values):
+    sc = spark.sparkContext
+    out = sc._gateway.new_array(sc._jvm.double, len(values))
+    for i, v in enumerate(values):
+        out[i] = float(v)
+    return out
+
+
 def fit_mlp(
     df: DataFrame,
     experts: Sequence[str] = ("sparse", "dense"),
@@ -84,6 +113,8 @@ def fit_mlp(
 
 def predict(model: LogisticRegressionModel, df: DataFrame, experts: Sequence[str], features: str = "features") -> DataFrame:
     """Long ``(query_id, expert, weight)``; weights of a query sum to 1."""
+    if model.numClasses != len(experts):
+        raise ValueError(f"the router has {model.numClasses} outputs for {len(experts)} experts")
     names = F.array(*[F.lit(e) for e in experts])
     scored = model.transform(df.select("query_id", array_to_vector(F.col(features)).alias("features")))
     return scored.select("query_id", F.posexplode(vector_to_array("probability")).alias("pos", "weight")).select(

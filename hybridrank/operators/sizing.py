@@ -1,23 +1,7 @@
-"""Size checks that guard every broadcast."""
+"""Block counts of the dense search."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# A broadcast side must be proven small: we count its rows (a cheap job over the small side only)
-# and broadcast only below this bound; above it the plan falls back to a shuffle join, where AQE
-# handles skewed keys.
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool, int]:
-    """Return ``(df_with_hint, broadcasted, n_rows)``: a broadcast hint only when ``count(df) <= max_rows``."""
-    n = df.count()
-    if n <= max_rows:
-        return F.broadcast(df), True, n
-    return df, False, n
-
 
 def blocks_for(n_rows: int, block_rows: int) -> int:
     """Number of hash blocks so that a block holds about ``block_rows`` rows (at least 1)."""

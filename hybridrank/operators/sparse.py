@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import doc_text, tokens
 from ..session import materialize as _materialize
+from ..session import materialize_bucketed
 from ..schemas import require
 from .ranking import top_k
-from .sizing import DEFAULT_MAX_BROADCAST_ROWS, bounded_broadcast
+
+
+SCORE_DIGITS = 12
 
 
 @dataclass(frozen=True)
@@ -36,6 +39,7 @@ class SparseIndex:
     stats: DataFrame
     params: BM25Params = BM25Params()
     term_buckets: int | None = None  # set when postings are stored partitioned by term_bucket
+    docs: DataFrame | None = None  # (doc_id) of every document, also of those without tokens
 
     def scalar(self, name: str) -> Column:
         """A corpus constant as a scalar-subquery column (evaluated once per query, no driver collect)."""
@@ -90,7 +94,8 @@ def build_index(corpus: DataFrame, params: BM25Params = BM25Params(), materializ
     """
     post = postings(corpus)
     if materialize:
-        post = _materialize(post)
+        # by document: partial scores of a search are summed, and its best k found, inside a bucket
+        post = materialize_bucketed(post, "doc_id")
     dfs = post.groupBy("term").agg(F.count(F.lit(1)).cast("long").alias("df"))
     if materialize:
         dfs = _materialize(dfs)
@@ -110,7 +115,7 @@ def build_index(corpus: DataFrame, params: BM25Params = BM25Params(), materializ
     terms = dfs.select(
         "term", "df", F.when(raw < 0, F.lit(params.epsilon) * mean).otherwise(raw).alias("idf")
     )
-    return SparseIndex(post, terms, stats, params)
+    return SparseIndex(post, terms, stats, params, docs=corpus.select("doc_id"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -123,13 +128,15 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def _term_hits(index: SparseIndex, queries: DataFrame, max_broadcast_rows: int) -> DataFrame:
-    """``(query_id, doc_id, contrib)``: one row per matching (query term, posting)."""
+def _term_hits(index: SparseIndex, queries: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """``(query_id, doc_id, contrib)``: one row per matching (query term, posting), of ``docs(doc_id)`` only if given.
+
+    Whether the query terms are broadcast is left to the planner, which goes by bytes.
+    """
     p = index.params
-    qt, small, _ = bounded_broadcast(query_terms(queries), max_broadcast_rows)
-    qti = qt.join(index.terms.select("term", "idf"), "term")  # unknown terms drop out here
+    qti = query_terms(queries).join(index.terms.select("term", "idf"), "term")  # unknown terms drop out here
     keys = ["term"]
-    post = index.postings
+    post = index.postings if docs is None else index.postings.join(docs, "doc_id", "left_semi")
     if index.term_buckets:
         # Stored index: postings are partitioned by term_bucket. The buckets the query terms fall in
         # (at most term_buckets small ints, from a scalar subquery) become a partition filter, so
@@ -138,8 +145,6 @@ def _term_hits(index: SparseIndex, queries: DataFrame, max_broadcast_rows: int)
         wanted = qti.agg(F.collect_set("term_bucket")).scalar()
         post = post.filter(F.array_contains(wanted, F.col("term_bucket")))
         keys = ["term_bucket", "term"]
-    if small:
-        qti = F.broadcast(qti)  # no bigger than qt, which was counted
     avgdl = index.scalar("avgdl")
     tf = F.col("tf").cast("double")
     norm = F.lit(p.k1) * (F.lit(1.0 - p.b) + F.lit(p.b) * F.col("dl") / avgdl)
@@ -147,12 +152,15 @@ def _term_hits(index: SparseIndex, queries: DataFrame, max_broadcast_rows: int)
     return post.join(qti, keys).select("query_id", "doc_id", contrib.alias("contrib"))
 
 
-def scores(index: SparseIndex, queries: DataFrame, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """BM25 score of every document sharing at least one term with the query."""
+def scores(index: SparseIndex, queries: DataFrame) -> DataFrame:
+    """BM25 score of every document sharing at least one term with the query.
+
+    Rounded to 12 places, so that sums taken in another order (another plan) give the same scores.
+    """
     return (
-        _term_hits(index, queries, max_broadcast_rows)
+        _term_hits(index, queries)
         .groupBy("query_id", "doc_id")
-        .agg(F.sum("contrib").alias("score"))
+        .agg(F.round(F.sum("contrib"), SCORE_DIGITS).alias("score"))
     )
 
 
@@ -161,7 +169,6 @@ def search(
     queries: DataFrame,
     k: int = 10,
     expert: str | None = "sparse",
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
     pad: bool = False,
 ) -> DataFrame:
     """Top-k BM25 run ``(query_id, [expert], doc_id, rank, score)``; ties: doc_id ascending.
@@ -171,9 +178,10 @@ def search(
     a query has fewer than k hits, the 2k smallest ids hold at least k non-hits, so they are the only
     candidates (one array from a scalar subquery, exploded per query — no join of all pairs).
     """
-    hits = scores(index, queries, max_broadcast_rows)
+    hits = scores(index, queries)
     if pad:
-        ids = index.postings.select("doc_id").distinct().orderBy("doc_id").limit(2 * k)
+        known = index.docs if index.docs is not None else index.postings.select("doc_id")
+        ids = known.distinct().orderBy("doc_id").limit(2 * k)
         cand = ids.agg(F.collect_list("doc_id")).scalar()
         zero = (
             queries.select("query_id", F.explode(cand).alias("doc_id"))
@@ -193,12 +201,11 @@ def score_pairs(
     index: SparseIndex,
     queries: DataFrame,
     pairs: DataFrame,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """BM25 score of given ``pairs(query_id, doc_id)``; unknown documents and no-match pairs score 0.0."""
     require(pairs, ("query_id", "doc_id"), "pairs")
     wanted = queries.join(pairs.select("query_id").distinct(), "query_id", "left_semi")
-    hits = _term_hits(index, wanted, max_broadcast_rows).join(
+    hits = _term_hits(index, wanted, pairs.select("doc_id").distinct()).join(
         pairs.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi"
     )
     s = hits.groupBy("query_id", "doc_id").agg(F.sum("contrib").alias("score"))

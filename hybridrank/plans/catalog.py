@@ -55,21 +55,22 @@ def _qrels(spark, sf_dir, index=None):
 SQL_TOKENS = r"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}]+')"
 SQL_BM25_CTE = (
     r"""
-doc_tok AS (SELECT doc_id, regexp_extract_all(lower(' ' || text), '[\p{L}\p{N}]+') AS toks FROM documents),
-dl AS (SELECT doc_id, len(toks) AS dl FROM doc_tok),
-stats AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl),
-post AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM doc_tok) GROUP BY term, doc_id),
-dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-raw AS (SELECT term, df, ln((SELECT n_docs FROM stats) - df + 0.5) - ln(df + 0.5) AS raw_idf FROM dfs),
-idf AS (SELECT term, df, CASE WHEN raw_idf < 0 THEN 0.25 * (SELECT avg(raw_idf) FROM raw) ELSE raw_idf END AS idf FROM raw),
-qt AS (SELECT query_id, term, count(*) AS qtf FROM
+doc_tok AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(' ' || text), '[\p{L}\p{N}]+') AS toks FROM documents),
+dl AS MATERIALIZED (SELECT doc_id, len(toks) AS dl FROM doc_tok),
+stats AS MATERIALIZED (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl),
+post AS MATERIALIZED (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM doc_tok) GROUP BY term, doc_id),
+dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM post GROUP BY term),
+raw AS MATERIALIZED (SELECT term, df, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw_idf FROM dfs CROSS JOIN stats),
+floored AS MATERIALIZED (SELECT 0.25 * avg(raw_idf) AS floor_idf FROM raw),
+idf AS MATERIALIZED (SELECT term, df, CASE WHEN raw_idf < 0 THEN floor_idf ELSE raw_idf END AS idf FROM raw CROSS JOIN floored),
+qt AS MATERIALIZED (SELECT query_id, term, count(*) AS qtf FROM
         (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark)
        GROUP BY query_id, term),
-bm25 AS (
+bm25 AS MATERIALIZED (
   SELECT q.query_id, p.doc_id,
          sum(q.qtf * i.idf * p.tf * 2.5::DOUBLE
-             / (p.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l.dl / (SELECT avgdl FROM stats)))) AS score
-  FROM qt q JOIN idf i USING (term) JOIN post p USING (term) JOIN dl l USING (doc_id)
+             / (p.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l.dl / s.avgdl))) AS score
+  FROM qt q JOIN idf i USING (term) JOIN post p USING (term) JOIN dl l USING (doc_id) CROSS JOIN stats s
   GROUP BY q.query_id, p.doc_id),
 sparse_run AS (
   SELECT query_id, doc_id, score,
@@ -316,8 +317,9 @@ FROM qrels r LEFT JOIN dense_scores s ON s.query_id = r.query_id AND s.doc_id =
 def dense_pairs(spark, sf_dir):
     i = Inputs(spark, sf_dir)
     corpus, queries, q = i.corpus, i.queries, i.qrels
+    wanted = corpus.join(q.select("doc_id").distinct(), "doc_id", "left_semi")  # only judged documents are encoded
     out = dense.score_pairs(
-        embed.embed_queries(queries, DIM), embed.embed_corpus(corpus, DIM), q.select("query_id", "doc_id")
+        embed.embed_queries(queries, DIM), embed.embed_corpus(wanted, DIM), q.select("query_id", "doc_id")
     )
     return out.select("query_id", "doc_id", r6("score"))
 
@@ -735,3 +737,215 @@ def bm25_topk_stored(spark, sf_dir):
     idx = index_store.sparse_index(td.corpus(spark, sf_dir), path)
     run = sparse.search(idx, td.queries(spark, sf_dir), k=K, expert=None)
     return run.select("query_id", "doc_id", F.col("rank").cast("int"), r6("score"))
+
+
+# ---------------------------------------------------------------- preparation over labelled documents
+
+# A score table from the given data in which every branch occurs: zero rows, both winners, ties and
+# repeated texts. sparse = quality / (1 + n_chars % 7), dense = toxic / (1 + n_chars % 5).
+SQL_LABELLED = f"""WITH wide AS (
+  SELECT l.doc_id AS query_id, d.text AS query, l.quality / (1 + d.n_chars % 7)::DOUBLE AS sparse, l.toxic / (1 + d.n_chars % 5)::DOUBLE AS dense
+  FROM labels l JOIN documents d USING (doc_id)),
+normed AS (
+  SELECT *, CASE WHEN sparse + dense > 0 THEN sparse / (sparse + dense) ELSE sparse END AS sparse_l1,
+         CASE WHEN sparse + dense > 0 THEN dense / (sparse + dense) ELSE dense END AS dense_l1,
+         exp(sparse) / (exp(sparse) + exp(dense)) AS sparse_softmax, exp(dense) / (exp(sparse) + exp(dense)) AS dense_softmax FROM wide),
+clean AS (SELECT *, {SQL_H} AS h FROM normed WHERE sparse <> 0 OR dense <> 0),
+splits AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY h, query_id) <= (SELECT round({TRAIN_FRACTION} * count(*)) FROM clean)
+                          THEN 'train' ELSE 'test' END AS split FROM clean)
+"""
+
+
+def _labelled(spark, sf_dir):
+    """``query_id, query, {e}, {e}_l1, {e}_softmax``: one row per labelled document."""
+    docs = td.table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    rows = td.table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic").join(docs, "doc_id")
+    scores = {"sparse": F.col("quality") / (1 + F.col("n_chars") % 7), "dense": F.col("toxic") / (1 + F.col("n_chars") % 5)}
+    long = rows.select(
+        F.col("doc_id").alias("query_id"),
+        F.explode(F.array(*[F.struct(F.lit(e).alias("expert"), c.cast("double").alias("score")) for e, c in scores.items()])).alias("s"),
+    ).select("query_id", "s.*")
+    wide = labels.to_wide(labels.normalize_scores(long), EXPERTS)
+    return wide.join(rows.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")), "query_id")
+
+
+def _labelled_clean(spark, sf_dir):
+    return prepare.clean(_labelled(spark, sf_dir), EXPERTS)
+
+
+@register("labelled_clean", SQL_LABELLED + "SELECT query_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in SCORE_COLS) + " FROM clean")
+def labelled_clean(spark, sf_dir):
+    return _labelled_clean(spark, sf_dir).select("query_id", *[r6(c) for c in SCORE_COLS])
+
+
+@register("labelled_split_exact", SQL_LABELLED + "SELECT query_id, split FROM splits")
+def labelled_split_exact(spark, sf_dir):
+    """Exactly 80 % of the rows train."""
+    train, test = prepare.split_exact(_labelled_clean(spark, sf_dir), TRAIN_FRACTION, SEED, "query_id")
+    return train.select("query_id", F.lit("train").alias("split")).unionByName(test.select("query_id", F.lit("test").alias("split")))
+
+
+@register(
+    "labelled_deleak",
+    SQL_LABELLED + "SELECT query_id FROM splits s WHERE split = 'train' AND NOT EXISTS (SELECT 1 FROM splits t WHERE t.split = 'test' AND t.query = s.query)",
+)
+def labelled_deleak(spark, sf_dir):
+    """Train rows without those whose text a test row repeats."""
+    train, test = prepare.split_exact(_labelled_clean(spark, sf_dir), TRAIN_FRACTION, SEED, "query_id")
+    return prepare.deleak(train, test, "query").select("query_id")
+
+
+SQL_LABELLED_WINNERS = SQL_LABELLED + """, w AS (
+  SELECT *, CASE WHEN sparse > dense THEN 'sparse' WHEN dense > sparse THEN 'dense' END AS winner FROM clean)
+"""
+
+
+@register("labelled_class_counts", SQL_LABELLED_WINNERS + "SELECT winner, count(*) AS n FROM w WHERE winner IS NOT NULL GROUP BY winner")
+def labelled_class_counts(spark, sf_dir):
+    w = _labelled_clean(spark, sf_dir).select(prepare.winner(EXPERTS).alias("winner")).filter(F.col("winner").isNotNull())
+    return w.groupBy("winner").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "labelled_balance",
+    SQL_LABELLED_WINNERS
+    + """SELECT query_id, winner FROM w WHERE winner IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY winner ORDER BY h, query_id)
+        <= (SELECT min(c) FROM (SELECT count(*) AS c FROM w WHERE winner IS NOT NULL GROUP BY winner))""",
+)
+def labelled_balance(spark, sf_dir):
+    """Both classes occur: the larger one is cut to the size of the smaller."""
+    b = prepare.balance(_labelled_clean(spark, sf_dir), EXPERTS, SEED, "query_id")
+    return b.select("query_id", prepare.winner(EXPERTS).alias("winner"))
+
+
+# A router with given coefficients over two features of the query, so that SQL can predict the same.
+FIXED_COEFFICIENTS = ((0.5, -0.25), (-0.75, 0.5))
+FIXED_INTERCEPTS = (0.5, -0.5)
+
+
+def _sql_fixed(e: int) -> str:
+    a, b = FIXED_COEFFICIENTS[e]
+    return f"exp({a} * f0 + {b} * f1 + {FIXED_INTERCEPTS[e]})"
+
+
+SQL_FIXED = SQL_LABELLED + f""", feats AS (SELECT *, (length(query) % 3)::DOUBLE AS f0, (length(query) % 4)::DOUBLE AS f1 FROM clean),
+pred AS (SELECT *, {_sql_fixed(0)} / ({_sql_fixed(0)} + {_sql_fixed(1)}) AS p_sparse, {_sql_fixed(1)} / ({_sql_fixed(0)} + {_sql_fixed(1)}) AS p_dense FROM feats),
+ev AS (SELECT query_id, (CASE WHEN dense_l1 > sparse_l1 THEN 1 ELSE 0 END) AS true_class, (CASE WHEN p_dense > p_sparse THEN 1 ELSE 0 END) AS pred_class,
+         abs(sparse_l1 - dense_l1) <= 1e-8 + 1e-5 * abs(dense_l1) AS tie,
+         (CASE WHEN sparse_l1 > 0 THEN sparse_l1 * (ln(sparse_l1) - ln(p_sparse)) ELSE 0 END)
+         + (CASE WHEN dense_l1 > 0 THEN dense_l1 * (ln(dense_l1) - ln(p_dense)) ELSE 0 END) AS kl FROM pred)
+"""
+
+
+def _fixed_predictions(spark, sf_dir):
+    t = _labelled_clean(spark, sf_dir)
+    feats = t.withColumn("features", F.array(*[(F.length("query") % m).cast("double") for m in (3, 4)]))
+    return t, router.predict(router.from_coefficients(spark, FIXED_COEFFICIENTS, FIXED_INTERCEPTS), feats, EXPERTS)
+
+
+@register("router_predict_fixed", SQL_FIXED + "SELECT query_id, round(p_sparse, 6) AS sparse, round(p_dense, 6) AS dense FROM pred")
+def router_predict_fixed(spark, sf_dir):
+    """Weights of a router with given coefficients."""
+    _, w = _fixed_predictions(spark, sf_dir)
+    wide = router.wide_weights(w, EXPERTS)
+    return wide.select("query_id", *[F.round(F.col("w")[i], 6).alias(e) for i, e in enumerate(EXPERTS)])
+
+
+@register(
+    "router_eval_fixed",
+    SQL_FIXED + """SELECT query_id, true_class, pred_class, tie, CASE WHEN NOT tie THEN true_class = pred_class END AS correct, round(kl, 6) AS kl FROM ev""",
+)
+def router_eval_fixed(spark, sf_dir):
+    """Evaluation of that router: both classes are true and predicted, some rows tie."""
+    t, w = _fixed_predictions(spark, sf_dir)
+    ev = router.evaluate(w, t, EXPERTS, "l1")
+    return ev.select("query_id", F.col("true_class").cast("int"), F.col("pred_class").cast("int"), "tie", "correct", r6("kl"))
+
+
+@register(
+    "router_accuracy_fixed",
+    SQL_FIXED
+    + """SELECT round(coalesce(avg(CASE WHEN NOT tie THEN (true_class = pred_class)::INTEGER END), 0.0), 6) AS accuracy,
+       count(CASE WHEN NOT tie THEN 1 END) AS n_eval, sum(tie::INTEGER)::BIGINT AS n_ties, round(avg(kl), 6) AS mean_kl FROM ev""",
+)
+def router_accuracy_fixed(spark, sf_dir):
+    t, w = _fixed_predictions(spark, sf_dir)
+    a = router.accuracy(router.evaluate(w, t, EXPERTS, "l1"))
+    return a.select(r6("accuracy"), "n_eval", F.col("n_ties").cast("long"), r6("mean_kl"))
+
+
+@register("router_fit_mean", SQL_LABELLED + "SELECT round(avg(sparse_l1), 3) AS sparse, round(avg(dense_l1), 3) AS dense FROM clean")
+def router_fit_mean(spark, sf_dir):
+    """A router fitted on constant features learns the mean soft label."""
+    data = materialize(_labelled_clean(spark, sf_dir).withColumn("features", F.array(F.lit(1.0))))
+    model = router.fit(data, EXPERTS, "l1", reg_param=0.0)
+    w = router.wide_weights(router.predict(model, data.limit(1), EXPERTS), EXPERTS)
+    return w.select(*[F.round(F.col("w")[i], 3).alias(e) for i, e in enumerate(EXPERTS)])
+
+
+SQL_TWO_TABLES = SQL_LABELLED + """, tables AS (
+  SELECT 'even' AS source, (query_id // 2)::VARCHAR AS query_id, * EXCLUDE (query_id) FROM normed WHERE query_id % 2 = 0
+  UNION ALL SELECT 'odd', (query_id // 2)::VARCHAR, * EXCLUDE (query_id) FROM normed WHERE query_id % 2 = 1)
+"""
+
+
+def _two_tables(spark, sf_dir):
+    """The labelled table written as two score tables whose ids overlap, and read back as one."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources import writers
+
+    t = _labelled(spark, sf_dir)
+    root = f"{ensure_checkpoint_dir(spark)}/score-tables-{uuid.uuid4().hex}"
+    for parity, source in ((0, "even"), (1, "odd")):
+        part = t.filter(F.pmod("query_id", F.lit(2)) == parity).withColumn("query_id", F.floor(F.col("query_id") / 2).cast("string"))
+        writers.write_score_table(part.select("query_id", "query", *SCORE_COLS), f"{root}/{source}")
+    return readers.read_score_tables(spark, [f"{root}/even", f"{root}/odd"], EXPERTS, sources=["even", "odd"])
+
+
+@register(
+    "score_table_union",
+    SQL_TWO_TABLES + "SELECT source, query_id, length(query)::INTEGER AS n_chars, " + ", ".join(f"round({c}, 6) AS {c}" for c in SCORE_COLS) + " FROM tables",
+)
+def score_table_union(spark, sf_dir):
+    return _two_tables(spark, sf_dir).select("source", "query_id", F.length("query").alias("n_chars"), *[r6(c) for c in SCORE_COLS])
+
+
+@register(
+    "router_training_rows",
+    SQL_TWO_TABLES + """SELECT source, query_id, label, round(weight, 6) AS weight FROM (
+  SELECT source, query_id, 0.0::DOUBLE AS label, sparse_l1 AS weight FROM tables WHERE sparse <> 0 OR dense <> 0
+  UNION ALL SELECT source, query_id, 1.0::DOUBLE, dense_l1 FROM tables WHERE sparse <> 0 OR dense <> 0) WHERE weight > 0""",
+)
+def router_training_rows(spark, sf_dir):
+    """Training rows of both tables: an id that both hold stays two queries."""
+    keyed = readers.with_query_key(prepare.clean(_two_tables(spark, sf_dir), EXPERTS))
+    rows = router.training_rows(
+        keyed.withColumn("query_id", F.col("query_key")).withColumn("features", F.array(F.lit(1.0))), EXPERTS, "l1"
+    )
+    own = F.from_json("query_id", "source string, query_id string")
+    return rows.select(own.alias("own"), "label", r6("weight")).select("own.source", "own.query_id", "label", "weight")
+
+
+SQL_PER_QUERY_FUSION = SQL_ALL_CTE + """,
+pw AS (SELECT query_id, 'sparse' AS expert, sparse_l1 AS weight FROM wide UNION ALL SELECT query_id, 'dense', dense_l1 FROM wide),
+pscored AS (
+  SELECT r.query_id, r.doc_id, sum(w.weight / r.rank) AS score, min(CASE WHEN r.expert = 'sparse' THEN 0 ELSE 1 END * 1000000 + r.rank) AS first_seen
+  FROM runs r JOIN pw w ON w.query_id = r.query_id AND w.expert = r.expert GROUP BY 1, 2),
+pfused AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, first_seen, doc_id) AS rank
+           FROM pscored QUALIFY rank <= 25)
+"""
+
+
+@register("fused_topk_weighted", SQL_PER_QUERY_FUSION + "SELECT query_id, doc_id, rank::INTEGER AS rank, round(score, 6) AS score FROM pfused")
+def fused_topk_weighted(spark, sf_dir):
+    """Fusion with each query's own l1 labels as weights."""
+    _, queries, judged, runs, _, _, q = _label_inputs(spark, sf_dir)
+    t = labels.score_table(runs, q, queries, EXPERTS, K)
+    pairs = F.array(*[F.struct(F.lit(e).alias("expert"), F.col(f"{e}_l1").alias("weight")) for e in EXPERTS])
+    w = t.select("query_id", F.explode(pairs).alias("w")).select("query_id", "w.*")
+    judged_runs = runs.join(judged.select("query_id"), "query_id", "left_semi")
+    f = fusion.fuse(judged_runs, w, EXPERTS, K)
+    return f.select("query_id", "doc_id", F.col("rank").cast("int"), r6("score"))
