@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -39,6 +41,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="hybridrank-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
@@ -46,10 +50,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Write ``df`` once to the shared checkpoint folder and return a DataFrame reading it back.
+    """Write ``df`` once as Parquet to the shared checkpoint folder and return a DataFrame reading it back.
 
-    Reliable checkpoint (never ``localCheckpoint``): the data survive the loss of executors and the
-    lineage is cut, so later stages do not recompute the inputs.
+    The data survive the loss of executors and the lineage is cut, so later stages do not recompute
+    the inputs; columnar files, so later reads prune columns.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_bucketed(df, key: str):
+    """As :func:`materialize`, in one bucket of ``key`` per shuffle partition.
+
+    Aggregations and joins on ``key`` (and on more columns besides) read the buckets without a
+    shuffle. The bucket count travels in the session's catalog, under a name of its own.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"bucketed_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    return spark.table(name)
