@@ -335,12 +335,14 @@ def repeated_strings(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     rows = rows.withColumns({"twin": F.xxhash64("text").bitwiseAND(F.lit((1 << TWIN) - 1)), "sha": F.sha2("text", 256), "n": F.octet_length("text").cast("long")})
 
     runs = rows.mapInArrow(_runs(length), RUNS)
-    repeated = runs.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key")
+    # written, so that both sides of the join come from exchanges that can be split where a key is frequent
+    repeated = written(runs.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key"), "run-keys")
     places = written(runs.join(repeated, "key"), "runs")
 
     one_of = F.min(F.struct("doc", "place")).alias("first")
     different = places.groupBy("key", "run").agg(one_of)
-    kinds = different.groupBy("key").agg(F.count("*").alias("kinds"))
+    different = written(different, "run-firsts")
+    kinds = written(different.groupBy("key").agg(F.count("*").alias("kinds")), "run-counts")
     judged = written(different.join(kinds, "key").select("key", "kinds", "first.doc", "first.place"), "run-kinds")
     plain = judged.filter("kinds = 1").select("doc", "place")
 
@@ -363,6 +365,7 @@ def repeated_strings(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
 
     copies = rows.select("doc", "twin", "sha", "n")
     firsts = copies.filter(F.col("n") >= length).groupBy("sha").agg(F.min("doc").alias("first_doc"), F.count("*").alias("copies")).filter("copies > 1")
+    firsts = written(firsts, "copies")
     every = copies.join(firsts, "sha", "left").join(changed, ["doc", "twin"], "left")
     copy = F.coalesce(F.col("first_doc") < F.col("doc"), F.lit(False))
     nothing = hashlib.sha256(b"").hexdigest()

@@ -14,6 +14,7 @@ import struct
 import sys
 import types
 import zlib
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions, shared_folder, text_or_empty, written
 from .files import MANIFEST, Manifest, create, dealt, opened, slices
+from .kernels import blocks, is_word_byte, lower_table, runs_of
 
 # Fixed values of the zstandard formats.
 SKIPPABLE_INDEX = 0x184D2A50
@@ -29,6 +31,9 @@ SKIPPABLE_SEEK_TABLE = 0x184D2A5E
 SEEKABLE_FOOTER = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 
+#: Bytes of a special token's beginning and of combining marks.
+AS_THEY_ARE = (b"<|", b"\xcc", b"\xcd")
+
 #: Ids in a frame at most; compressed bytes after which a new file begins; words a worker remembers.
 FRAME_IDS, FILE_BYTES, MEMORY_WORDS = 1 << 22, 128 << 20, 1 << 19
 
@@ -42,11 +47,31 @@ def _kept(key, make):
     return store.__dict__[key]
 
 
+class Numbered(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+def _letters_and_marks() -> tuple[np.ndarray, np.ndarray]:
+    """ASCII letters and digits; other visible ASCII characters but the apostrophe."""
+    letters, marks = np.zeros(256, bool), np.zeros(256, bool)
+    letters[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+    marks[0x21:0x7F] = ~letters[0x21:0x7F]
+    marks[ord("'")] = False
+    return letters, marks
+
+
 class WordEncoder:
     """A tokenizer applied word by word, each distinct word once.
 
-    For tokenizers that never join characters across ASCII white space and drop it, encoding a text is
-    encoding its words one after the other.
+    For tokenizers that drop white space, never join characters across it, never join an ASCII letter
+    or digit with an ASCII mark other than the apostrophe, and lower-case: encoding a text is encoding
+    the pieces between such places one after the other. A-Z are lower-cased first, so that pieces that
+    differ in case are one. Texts that could hold a special token or combining marks go to the
+    tokenizer as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,10 +79,12 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters, self.marks = _letters_and_marks()
+        self.inside, self.lower = is_word_byte(), lower_table()
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[bytes, int] = {}
+        self.at = Numbered()
         self.ids = np.zeros(0, np.uint32)
         self.start = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
@@ -66,25 +93,43 @@ class WordEncoder:
         found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)]
         length = np.fromiter(map(len, found), np.int64, len(found))
         start = len(self.ids) + np.cumsum(length) - length
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(length.sum()))
-        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum()))
         self.ids, self.start, self.length = np.concatenate([self.ids, flat]), np.concatenate([self.start, start]), np.concatenate([self.length, length])
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, and where each text's ids end."""
+    def _block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a block in a row, and where each text's ids end."""
         if len(self.at) > MEMORY_WORDS:
             self.forget()
-        split = [t.split() for t in texts]
-        new = {w for words in split for w in words if w not in self.at}
-        if new:
-            self.learn(list(new))
-        at = self.at
-        words = np.fromiter((at[w] for ws in split for w in ws), np.int64, sum(map(len, split)))
-        length = self.length[words]
+        letter, mark = self.letters[data], self.marks[data]
+        cut = np.flatnonzero((letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])) + 1
+        cut = np.sort(np.concatenate([cut, offsets[1:-1]]))  # texts end at a cut too
+        parted = np.insert(self.lower[data], cut, 0x20)
+        words = parted.tobytes().split()
+        moved = offsets + np.searchsorted(cut, offsets, "right")
+        starts, _ = runs_of(self.inside[parted], moved)
+        known = len(self.at)
+        number = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        if len(self.at) > known:
+            self.learn(list(islice(reversed(self.at), len(self.at) - known))[::-1])
+        length = self.length[number]
         ends = np.cumsum(length)
-        take = np.repeat(self.start[words] - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)
-        by_text = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
-        return self.ids[take], np.concatenate([[0], ends])[by_text]
+        take = np.repeat(self.start[number] - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.ids[take], np.concatenate([[0], ends])[np.searchsorted(starts, moved[1:])]
+
+    def encode(self, texts: pa.Array):
+        """The ids of each text."""
+        for row, data, offsets in blocks(texts):
+            raw = data.tobytes()
+            if any(m in raw for m in AS_THEY_ARE):
+                for k in range(len(offsets) - 1):
+                    own = raw[offsets[k] : offsets[k + 1]]
+                    if any(m in own for m in AS_THEY_ARE):
+                        yield np.array(self.tokenizer.encode(own.decode("utf-8"), add_special_tokens=False).ids, np.uint32)
+                    else:
+                        yield self._block(data[offsets[k] : offsets[k + 1]], np.array([0, len(own)]))[0]
+                continue
+            ids, ends = self._block(data, offsets)
+            yield from np.split(ids, ends[:-1])
 
 
 class FrameWriter:
@@ -172,12 +217,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
         encoder = _kept(("words", tokenizer), lambda: WordEncoder(tokenizer))
         manifest, out = Manifest(), None
         for batch in slices(batches):
-            ids, ends = encoder.encode(batch.column("text").cast(pa.binary()).to_pylist())
-            at = 0
-            for doc_id, end in zip(batch.column("doc_id").to_pylist(), ends.tolist(), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text")), strict=True):
                 out = out or FrameWriter(folder, level)
-                out.add(doc_id, np.append(ids[at:end], np.uint32(end_id)))
-                at = end
+                out.add(doc_id, np.append(ids, np.uint32(end_id)))
                 if out.size >= file_bytes:
                     manifest.add(out.uri, len(out.index), out.n_ids, out.close())
                     out = None

@@ -145,7 +145,8 @@ def write_archives(pages: DataFrame, folder: str, min_payload: int = 0, date: st
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_or_empty(html_col).cast("binary").alias("html"))
     rows = rows.withColumns({"sha": F.sha1("html"), "n": F.octet_length("html")})
-    keepers = rows.groupBy("sha", "n").agg(F.max("page_id").alias("keep"))
+    # written, so that both sides of the join come from exchanges that can be split where a payload is frequent
+    keepers = written(rows.groupBy("sha", "n").agg(F.max("page_id").alias("keep")), "warc-keepers")
     joined = rows.join(keepers, ["sha", "n"])
     revisit = (F.col("n") >= min_payload) & ~F.col("page_id").eqNullSafe(F.col("keep"))
     return written(joined.select("page_id", "url", "html", "sha", "keep", revisit.alias("revisit")).mapInArrow(write, MANIFEST), "warc-manifest")
