@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions, shared_folder, text_or_empty, written
 from .files import MANIFEST, Manifest, create, dealt, opened, slices
-from .kernels import blocks, is_word_byte, lower_table, runs_of
+from .kernels import blocks, is_word_byte, lower_table
 
 # Fixed values of the zstandard formats.
 SKIPPABLE_INDEX = 0x184D2A50
@@ -34,8 +34,8 @@ CHECKSUM_FLAG = 0x80
 #: Bytes of a special token's beginning and of combining marks.
 AS_THEY_ARE = (b"<|", b"\xcc", b"\xcd")
 
-#: Ids in a frame at most; compressed bytes after which a new file begins; words a worker remembers.
-FRAME_IDS, FILE_BYTES, MEMORY_WORDS = 1 << 22, 128 << 20, 1 << 19
+#: Ids in a frame at most; compressed bytes after which a new file begins; words a worker remembers, and encodes in one call.
+FRAME_IDS, FILE_BYTES, MEMORY_WORDS, JOINED = 1 << 22, 128 << 20, 1 << 20, 512
 
 
 def _kept(key, make):
@@ -64,6 +64,11 @@ def _letters_and_marks() -> tuple[np.ndarray, np.ndarray]:
     return letters, marks
 
 
+def _room(values: np.ndarray, size: int) -> np.ndarray:
+    """``values`` in an array of at least ``size`` places, which at least doubles when it grows."""
+    return values if size <= len(values) else np.concatenate([values, np.zeros(max(size, 2 * len(values)) - len(values), values.dtype)])
+
+
 class WordEncoder:
     """A tokenizer applied word by word, each distinct word once.
 
@@ -79,42 +84,62 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special and not (t.normalized or t.single_word or t.lstrip or t.rstrip)]
+        self.mark = next((t for t in special if t.encode().startswith(AS_THEY_ARE[0])), None)
         self.letters, self.marks = _letters_and_marks()
         self.inside, self.lower = is_word_byte(), lower_table()
         self.forget()
 
     def forget(self) -> None:
         self.at = Numbered()
-        self.ids = np.zeros(0, np.uint32)
-        self.start = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
-
-    def learn(self, words: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)]
+        self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
+        self.start = np.zeros(1 << 16, np.int64)
+        self.length = np.zeros(1 << 16, np.int64)
+
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many each has."""
+        if self.mark is not None:  # many words at once, told apart by a special token that no word holds
+            words = [self.mark.join(words[k : k + JOINED]) + self.mark for k in range(0, len(words), JOINED)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         length = np.fromiter(map(len, found), np.int64, len(found))
-        start = len(self.ids) + np.cumsum(length) - length
         flat = np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum()))
-        self.ids, self.start, self.length = np.concatenate([self.ids, flat]), np.concatenate([self.start, start]), np.concatenate([self.length, length])
+        if self.mark is not None:
+            marks = flat == self.tokenizer.token_to_id(self.mark)
+            flat, length = flat[~marks], np.diff(np.flatnonzero(marks), prepend=-1) - 1
+        return flat, length
+
+    def learn(self, words: list[bytes], first: int) -> None:
+        """The ids of new words, which are numbered from ``first`` on."""
+        flat, length = self._each([w.decode("utf-8") for w in words])
+        total, last = len(flat), first + len(words)
+        self.ids, self.start, self.length = _room(self.ids, self.n_ids + total), _room(self.start, last), _room(self.length, last)
+        self.start[first:last] = self.n_ids + np.cumsum(length) - length
+        self.length[first:last] = length
+        self.ids[self.n_ids : self.n_ids + total] = flat
+        self.n_ids += total
 
     def _block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a block in a row, and where each text's ids end."""
         if len(self.at) > MEMORY_WORDS:
             self.forget()
-        letter, mark = self.letters[data], self.marks[data]
-        cut = np.flatnonzero((letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])) + 1
-        cut = np.sort(np.concatenate([cut, offsets[1:-1]]))  # texts end at a cut too
-        parted = np.insert(self.lower[data], cut, 0x20)
-        words = parted.tobytes().split()
-        moved = offsets + np.searchsorted(cut, offsets, "right")
-        starts, _ = runs_of(self.inside[parted], moved)
-        known = len(self.at)
-        number = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        inside, letter, mark = self.inside[data], self.letters[data], self.marks[data]
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1] | (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+        first = offsets[:-1][offsets[:-1] < offsets[1:]]
+        begins[first] = inside[first]  # texts begin a word too
+        begins = np.flatnonzero(begins)
+        kept = self.lower[data[inside]]
+        at = np.append(np.cumsum(inside)[begins] - 1, len(kept)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(at), pa.py_buffer(kept)]).dictionary_encode()
+        known, different = len(self.at), words.dictionary.to_pylist()
+        number = np.fromiter(map(self.at.__getitem__, different), np.int64, len(different))
         if len(self.at) > known:
-            self.learn(list(islice(reversed(self.at), len(self.at) - known))[::-1])
+            self.learn(list(islice(reversed(self.at), len(self.at) - known))[::-1], known)
+        number = number[words.indices.to_numpy()]
         length = self.length[number]
         ends = np.cumsum(length)
         take = np.repeat(self.start[number] - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)
-        return self.ids[take], np.concatenate([[0], ends])[np.searchsorted(starts, moved[1:])]
+        return self.ids[take], np.concatenate([[0], ends])[np.searchsorted(begins, offsets[1:])]
 
     def encode(self, texts: pa.Array):
         """The ids of each text."""
