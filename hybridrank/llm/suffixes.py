@@ -189,15 +189,16 @@ class SuffixSort:
         """``places``' order, and a class number for each in it: equal in group and first ``length`` bytes."""
         order = self.sort(places, group)
         new = np.ones(len(order), bool)
-        span = np.arange(self.length)
-        for at in range(0, len(order) - 1, 1 << 15):
-            k = np.arange(at, min(at + (1 << 15), len(order) - 1))
-            a, b = (self.data[places[order[x]][:, None] + span] for x in (k, k + 1))
-            differs = a != b
-            unequal, where = differs.any(1), differs.argmax(1)
-            same_group = group[order[k]] == group[order[k + 1]]
-            rows = np.arange(len(k))
-            if (same_group & unequal & (a[rows, where] > b[rows, where])).any():  # a collision of hashes has misled the sort
+        strings = np.lib.stride_tricks.sliding_window_view(self.data, self.length) if len(order) else None
+        ordered = group[order]
+        for at in range(0, len(order) - 1, 1 << 14):
+            k = np.arange(at, min(at + (1 << 14), len(order) - 1))
+            near = strings[places[order[at : k[-1] + 2]]]
+            differs = near[:-1] != near[1:]
+            where, rows = differs.argmax(1), np.arange(len(k))
+            unequal = differs[rows, where]
+            same_group = ordered[k] == ordered[k + 1]
+            if (same_group & unequal & (near[rows, where] > near[rows + 1, where])).any():  # a collision of hashes has misled the sort
                 return self._by_bytes(places, group)
             new[k + 1] = unequal | ~same_group
         return order, np.cumsum(new)
@@ -230,14 +231,11 @@ def earliest(keys: np.ndarray, docs: np.ndarray, places: np.ndarray, texts: list
     owner, where = owner[by], where[by]
     new = np.ones(len(by), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (where[1:] != where[:-1] + (1 << (2 * SMALL)))
-    at = np.flatnonzero(new)
     # a merged run may be longer than the packed count can tell
-    out_doc, out_place = [], []
-    for a, b in zip(at, np.append(at[1:], len(by)), strict=True):
-        for c in range(a, b, (1 << SMALL) - 1):
-            out_doc.append(owner[c])
-            out_place.append(where[c] | (min(b - c, (1 << SMALL) - 1) << SMALL))
-    return np.array(out_doc, np.int64), np.array(out_place, np.int64)
+    index = np.arange(len(by))
+    new |= (index - np.maximum.accumulate(np.where(new, index, 0))) % ((1 << SMALL) - 1) == 0
+    at = np.flatnonzero(new)
+    return owner[at], where[at] | (np.diff(np.append(at, len(by))) << SMALL)
 
 
 def _resolve(length: int):
