@@ -9,8 +9,10 @@ first. Two sets with Jaccard similarity of at least ``t`` share a shingle within
 3. Group pairs expand to pairs of members, and these are verified over their whole sets.
 
 Only components are asked for, so pairs whose ends are already linked through others needn't be verified:
-first each group meets its neighbours (by size) at each shingle; then all pairs that are left, those
-between different components, are verified. No link between different sets is lost by that.
+first each group meets its neighbours (by size) and the hub at each shingle; then all pairs that are left,
+those between different components, are verified. No link between different sets is lost by that.
+A shingle's hub is the group that meets most others over its whole prefix: among near copies of one text
+that is the text itself, or a copy with few changes, to which the others link.
 
 Sets and shingles are told apart by 64-bit hashes.
 """
@@ -246,14 +248,19 @@ def _placed(docs: DataFrame, width: int, t: float, id_col: str, text_col: str) -
     met = (
         rows.select("text").mapInArrow(_prefixes(width, t, sent), PREFIXES)
         .withColumn("twin", F.lag("grp").over(at_token).eqNullSafe(F.col("grp"))).filter("not twin").drop("twin")
-        .withColumns({"prev": F.lag(F.struct("grp", "n", "pos")).over(at_token), "more": F.lead("grp").over(at_token).isNotNull()})
-        .filter("more or prev is not null")
+        .withColumns({"prev": F.lag(F.struct("grp", "n", "pos")).over(at_token), "meets": F.count("*").over(Window.partitionBy("token"))})
+        .filter("meets > 1")
     )
-    met = written(met.select("token", "grp", "n", "pos", "prev"), "prefix-meetings")
+    met = written(met.select("token", "grp", "n", "pos", "prev", "meets"), "prefix-meetings")
 
-    # 1. neighbours: of a shingle's groups in order of size, and of a group's members
+    # 1. neighbours: of a shingle's groups in order of size, and of a group's members; and a shingle's groups with its hub
     firsts = members.groupBy("grp").agg(F.min("id").alias("id"))
-    chain = met.filter(_possible(F.col("n"), F.col("pos"), F.col("prev.n"), F.col("prev.pos"), t)).select("grp", F.col("prev.grp").alias("other")).distinct()
+    chain = met.filter(_possible(F.col("n"), F.col("pos"), F.col("prev.n"), F.col("prev.pos"), t)).select("grp", F.col("prev.grp").alias("other"))
+    weight = met.groupBy("grp").agg(F.sum("meets").alias("weight"))
+    hubs = met.join(weight, "grp").groupBy("token").agg(F.max(F.struct("weight", "grp", "n", "pos")).alias("hub"))
+    spokes = met.join(hubs, "token").filter(F.col("grp") != F.col("hub.grp"))
+    spokes = spokes.filter(_possible(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), t)).select("grp", F.col("hub.grp").alias("other"))
+    chain = chain.union(spokes).distinct()
     chain = (
         chain.join(firsts, "grp").select(F.col("id").alias("x"), F.col("other").alias("grp")).join(firsts, "grp").select("x", F.col("id").alias("y"))
     )
