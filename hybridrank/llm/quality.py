@@ -90,6 +90,22 @@ def _unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def _axes(x: np.ndarray, dimensions: int, spare: int = 32, rounds: int = 40, block: int = 512) -> np.ndarray:
+    """The main directions of the rows of ``x``, by subspace iteration over their products, a block at a time.
+
+    Like the directions of a full decomposition but for those of nearly equal weight at the end, without its memory.
+    """
+    products = np.zeros((x.shape[1], x.shape[1]), np.float32)
+    for k in range(0, len(x), block):
+        part = x[k : k + block].astype(np.float32)
+        products += part.T @ part
+    basis = np.random.default_rng(0).standard_normal((x.shape[1], dimensions + spare), np.float32)
+    for _ in range(rounds):
+        basis, _ = np.linalg.qr(products @ basis)
+    _, turn = np.linalg.eigh(basis.T @ products @ basis)
+    return np.ascontiguousarray(basis @ turn[:, ::-1][:, :dimensions], np.float32)
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2048, dimensions: int = 64, neighbours: int = 16, power: float = 8.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """A model from labelled documents: at most ``per_label`` of each label 0 and 1, those whose ids have the least hashes.
 
@@ -109,12 +125,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2048, dimensions: i
             rows = _rows(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array([r.astype("<f2").tobytes() for r in rows], pa.binary())], names=["id", "label", "features"])
 
-    got = texts.mapInArrow(features, "id long, label int, features binary").toArrow().to_pylist()
-    got = sorted(got, key=lambda r: (r["id"], r["features"]))
-    x = np.array([np.frombuffer(r["features"], "<f2") for r in got], np.float32).reshape(len(got), FEATURES)
-    _, axes = np.linalg.eigh(x.T @ x)
-    axes = np.ascontiguousarray(axes[:, ::-1][:, :dimensions], np.float32)
-    return Model(axes, _unit_rows(x @ axes), np.array([r["label"] for r in got], np.float32), neighbours, power)
+    got = texts.mapInArrow(features, "id long, label int, features binary").toArrow().sort_by([("id", "ascending"), ("features", "ascending")])
+    x = np.array([np.frombuffer(r.as_buffer(), "<f2") for r in got["features"]], "<f2").reshape(len(got), FEATURES)
+    known = got["label"].to_numpy().astype(np.float32)
+    del got
+    axes = _axes(x, dimensions)
+    vectors = [x[k : k + 512].astype(np.float32) @ axes for k in range(0, len(x), 512)]
+    return Model(axes, _unit_rows(np.vstack([np.zeros((0, dimensions), np.float32), *vectors])), known, neighbours, power)
 
 
 def vote(model: Model, vectors: np.ndarray) -> np.ndarray:
