@@ -250,6 +250,21 @@ def test_chains_of_near_duplicates(spark):
     assert ordered(got) == ordered(brute_components(rows))
 
 
+def test_many_changed_copies_of_one_text(spark):
+    """Copies with one to five changed words out of 150: most are near the text itself, few near each other."""
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(150)]
+    rows = [(int(i), " ".join(words), "") for i in rng.integers(0, 120, 1)]
+    for i in set(range(120)) - {rows[0][0]}:
+        changed = list(words)
+        for at in rng.choice(150, int(rng.integers(1, 6)), replace=False):
+            changed[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(changed), ""))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(4)
+    got = near_join.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert ordered(got) == ordered(brute_components(rows))
+
+
 def test_components(spark):
     rng = np.random.default_rng(9)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(k, k + 1) for k in range(100, 160)] + [(5, 5), (None, 3)]
