@@ -215,7 +215,7 @@ def _verify(width: int, t: float):
                 if k in lefts:
                     last, left = own[k], lefts[k]
                 if (last, other[k]) != (digest(left), digest(right)):
-                    continue  # a text that shares another's id
+                    continue  # texts of one id whose hashes collide
                 common = len(np.intersect1d(left, right, assume_unique=True))
                 if common * whole >= part * (len(left) + len(right) - common):
                     out.append((last, other[k]))
@@ -228,7 +228,8 @@ def _verify(width: int, t: float):
 def _linked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, t: float) -> DataFrame:
     """Those of ``pairs`` (``a, b``, digests) that verify over the whole texts of their representatives."""
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct().join(reps, "id")
-    own = texts.join(needed.select("id", F.col("rep").alias("doc")), "doc").select("id", "text")
+    # rows that repeat id and text are one, so that each set meets its own text once
+    own = texts.join(needed.select("id", F.col("rep").alias("doc"), "twin"), ["doc", "twin"]).groupBy("id").agg(F.first("text").alias("text"))
     left = own.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = own.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(_verify(width, t), "a long, b long").distinct()
@@ -241,7 +242,7 @@ def _placed(docs: DataFrame, width: int, t: float, id_col: str, text_col: str) -
     found = written(rows.mapInArrow(_sets(width), SETS), "sets")
     sent = spark.sparkContext.broadcast(_ranks(found))
     sets = found.filter("cell is null").select("doc", "twin", "n", "id")
-    reps = sets.filter("n > 0").groupBy("id").agg(F.min("doc").alias("rep"))
+    reps = sets.filter("n > 0").groupBy("id").agg(F.min(F.struct("doc", "twin")).alias("first")).select("id", F.col("first.doc").alias("rep"), "first.twin")
     members = written(rows.select("text").mapInArrow(_members(width, t, sent), MEMBERS).distinct(), "members")
 
     at_token = Window.partitionBy("token").orderBy("n", "grp")
@@ -268,7 +269,7 @@ def _placed(docs: DataFrame, width: int, t: float, id_col: str, text_col: str) -
     inner = members.withColumn("y", F.lag("id").over(in_group)).filter("y is not null").select(F.col("id").alias("x"), "y")
     pair = lambda df: df.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     tried = written(pair(chain.union(inner)), "pairs")
-    texts = rows.select("doc", "text")
+    texts = rows.select("doc", "twin", "text")
     links = written(_linked(tried, reps, texts, width, t), "pair-links")
     stars = written(components(links), "components")
 

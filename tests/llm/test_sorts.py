@@ -265,6 +265,24 @@ def test_many_changed_copies_of_one_text(spark):
     assert ordered(got) == ordered(brute_components(rows))
 
 
+def test_near_duplicates_that_share_ids(spark):
+    """Pairs of near copies without any id; ids with two texts, of which one has a near copy under another id."""
+    rng = np.random.default_rng(12)
+    text = lambda: ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(80)]
+    near = lambda words: " ".join([*words[:-1], "changed"])
+    pairs = [text() for _ in range(8)]
+    rows = [(None, t, "") for words in pairs for t in (" ".join(words), near(words))]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows + rows[:5]], "doc_id long, text string").repartition(4)
+    assert near_join.one_of_each(docs).count() == len(pairs)
+    rows = [(k, " ".join(text()), "") for k in range(10)]
+    for k in range(10):
+        words = text()
+        rows += [(k, " ".join(words), ""), (100 + k, near(words), "")]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(4)
+    got = near_join.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert ordered(got) == ordered(brute_components(rows))
+
+
 def test_components(spark):
     rng = np.random.default_rng(9)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(k, k + 1) for k in range(100, 160)] + [(5, 5), (None, 3)]
