@@ -29,17 +29,16 @@ from .kernels import PrefixHash, blocks, byte_codes, mix64, powers
 
 #: Bytes of an anchor; bits of a packed place for the count of a run's strings and the anchor's offset.
 GRAM, SMALL = 36, 7
-#: Bits for a string's start; the rest distinguishes texts that share an id.
+#: Bits for a string's start.
 START = 31
-TWIN = 63 - START - 2 * SMALL
 #: A text is anchored in pieces of so many bytes; suffix-sorted at once are about so many bytes.
 PIECE, CHUNK = 1 << 22, 1 << 20
 #: Runs of one key, all different, beyond which their strings are dealt out one by one.
 CROWD = 4096
 
 
-def pack(twin, start, count, offset):
-    return (twin << (START + 2 * SMALL)) | (start << (2 * SMALL)) | (count << SMALL) | offset
+def pack(start, count, offset):
+    return (start << (2 * SMALL)) | (count << SMALL) | offset
 
 
 class Anchors:
@@ -95,7 +94,7 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, length: int):
         yield at, piece, np.array([0, len(piece)])
 
 
-RUNS = "key long, run long, doc long, place long"
+RUNS = "key long, run long, doc long, twin long, place long"
 
 
 def _runs(length: int):
@@ -117,7 +116,7 @@ def _runs(length: int):
             for row, data, offsets in blocks(batch.column("text").take(pa.array(keep))):
                 for base, piece, ends in _pieces(data, offsets, length):
                     text, begin, count, offset, key, run = kernel.of(piece, ends)
-                    columns = [key, run, doc[row + text], pack(twin[row + text], begin + base, count, offset)]
+                    columns = [key, run, doc[row + text], twin[row + text], pack(begin + base, count, offset)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[f.split()[0] for f in RUNS.split(", ")])
 
     return find
@@ -211,8 +210,8 @@ class SuffixSort:
         return np.array(order, np.int64), np.cumsum(new[: len(order)])
 
 
-def earliest(keys: np.ndarray, docs: np.ndarray, places: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the strings in runs (``texts``) with equal keys: each different one's earliest place, as runs of (doc, place)."""
+def earliest(keys: np.ndarray, docs: np.ndarray, twins: np.ndarray, places: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the strings in runs (``texts``) with equal keys: each different one's earliest place, as runs of (doc, twin, place)."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     count = sizes - (length - 1)
@@ -222,39 +221,39 @@ def earliest(keys: np.ndarray, docs: np.ndarray, places: np.ndarray, texts: list
     offset = (places[run] & ((1 << SMALL) - 1)) - inner
     _, group = np.unique(keys, return_inverse=True)
     order, cls = SuffixSort(data, length).classes((np.cumsum(sizes) - sizes)[run] + inner, group[run] * (1 << SMALL) + offset)
-    first_place = pack(0, ((places >> (2 * SMALL)) & ((1 << START) - 1))[run] + inner, 0, 0) | (places[run] >> (START + 2 * SMALL) << (START + 2 * SMALL))
-    owner, where = docs[run][order], first_place[order]
-    by = np.lexsort((where, owner, cls))
+    first_place = pack((places >> (2 * SMALL))[run] + inner, 0, 0)
+    owner, twin, where = docs[run][order], twins[run][order], first_place[order]
+    by = np.lexsort((where, twin, owner, cls))
     firsts = by[np.append(True, cls[by][1:] != cls[by][:-1])]
-    owner, where = owner[firsts], where[firsts]
-    by = np.lexsort((where, owner))
-    owner, where = owner[by], where[by]
+    owner, twin, where = owner[firsts], twin[firsts], where[firsts]
+    by = np.lexsort((where, twin, owner))
+    owner, twin, where = owner[by], twin[by], where[by]
     new = np.ones(len(by), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (where[1:] != where[:-1] + (1 << (2 * SMALL)))
+    new[1:] = (owner[1:] != owner[:-1]) | (twin[1:] != twin[:-1]) | (where[1:] != where[:-1] + (1 << (2 * SMALL)))
     # a merged run may be longer than the packed count can tell
     index = np.arange(len(by))
     new |= (index - np.maximum.accumulate(np.where(new, index, 0))) % ((1 << SMALL) - 1) == 0
     at = np.flatnonzero(new)
-    return owner[at], where[at] | (np.diff(np.append(at, len(by))) << SMALL)
+    return owner[at], twin[at], where[at] | (np.diff(np.append(at, len(by))) << SMALL)
 
 
 def _resolve(length: int):
-    """Rows (key, doc, place, data) sorted by key to earliest places (doc, place), some whole keys at a time."""
+    """Rows (key, doc, twin, place, data) sorted by key to earliest places (doc, twin, place), some whole keys at a time."""
 
     def flush(rows):
-        keys, docs, places, texts = zip(*rows, strict=True)
-        doc, place = earliest(np.array(keys), np.array(docs), np.array(places), list(texts), length)
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(place, pa.int64())], names=["doc", "place"])
+        keys, docs, twins, places, texts = zip(*rows, strict=True)
+        found = earliest(np.array(keys), np.array(docs), np.array(twins), np.array(places), list(texts), length)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["doc", "twin", "place"])
 
     def resolve(batches):
         rows, held = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "place", "data")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "twin", "place", "data")), strict=True):
                 if held >= CHUNK and row[0] != rows[-1][0]:
                     yield flush(rows)
                     rows, held = [], 0
                 rows.append(row)
-                held += len(row[3])
+                held += len(row[4])
         if rows:
             yield flush(rows)
 
@@ -267,18 +266,17 @@ def _cut(length: int):
     def cut(batches):
         for batch in slices(batches, 256):
             out = []
-            for doc, text, runs in zip(batch.column("doc").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("runs").to_pylist(), strict=True):
+            for doc, twin, text, runs in zip(batch.column("doc").to_pylist(), batch.column("twin").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("runs").to_pylist(), strict=True):
                 for r in runs:
                     place = r["place"]
                     start, count = (place >> (2 * SMALL)) & ((1 << START) - 1), (place >> SMALL) & ((1 << SMALL) - 1)
                     if not r["crowded"]:
-                        out.append((r["key"], doc, place, text[start : start + count + length - 1], False))
+                        out.append((r["key"], doc, twin, place, text[start : start + count + length - 1], False))
                         continue
-                    twin = place >> (START + 2 * SMALL)
-                    out += [(r["key"], doc, pack(twin, s, 1, 0), text[s : s + length], True) for s in range(start, start + count)]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "doc", "place", "data", "crowded"])
+                    out += [(r["key"], doc, twin, pack(s, 1, 0), text[s : s + length], True) for s in range(start, start + count)]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "doc", "twin", "place", "data", "crowded"])
 
     return cut
 
@@ -319,7 +317,7 @@ def repeated_strings(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     Removed is every byte inside a string of ``length`` bytes that also starts earlier: in a document with
     a smaller id, or before it in the same one; strings are judged on the input. A null text counts as
     empty, a null id as larger than all. Rows that repeat id and text are one document and get its
-    result; texts that share an id are ordered by a hash of the text. Texts shorter than ``length`` stay as they
+    result; texts that share an id are ordered by a 64-bit hash of the text. Texts shorter than ``length`` stay as they
     are; an empty table gives no rows. Other columns are not read. ``length`` is 64 to 120.
 
     Nothing is gathered on the driver, and no key's rows are gathered in a task beyond ``CROWD``: counts
@@ -330,33 +328,32 @@ def repeated_strings(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     if not GRAM + 28 <= length <= 120:
         raise ValueError("length must be 64 to 120")
     rows = docs.select(id_or_last(id_col).alias("doc"), text_or_empty(text_col).alias("text"))
-    rows = rows.withColumns({"twin": F.xxhash64("text").bitwiseAND(F.lit((1 << TWIN) - 1)), "sha": F.sha2("text", 256), "n": F.octet_length("text").cast("long")})
+    rows = rows.withColumns({"twin": F.xxhash64("text"), "sha": F.sha2("text", 256), "n": F.octet_length("text").cast("long")})
 
     runs = rows.mapInArrow(_runs(length), RUNS)
     # written, so that both sides of the join come from exchanges that can be split where a key is frequent
     repeated = written(runs.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key"), "run-keys")
     places = written(runs.join(repeated, "key"), "runs")
 
-    one_of = F.min(F.struct("doc", "place")).alias("first")
+    one_of = F.min(F.struct("doc", "twin", "place")).alias("first")
     different = places.groupBy("key", "run").agg(one_of)
     different = written(different, "run-firsts")
     kinds = written(different.groupBy("key").agg(F.count("*").alias("kinds")), "run-counts")
-    judged = written(different.join(kinds, "key").select("key", "kinds", "first.doc", "first.place"), "run-kinds")
-    plain = judged.filter("kinds = 1").select("doc", "place")
+    judged = written(different.join(kinds, "key").select("key", "kinds", "first.doc", "first.twin", "first.place"), "run-kinds")
+    plain = judged.filter("kinds = 1").select("doc", "twin", "place")
 
-    twin = F.shiftright("place", START + 2 * SMALL).alias("twin")
     texts = rows.select("doc", "twin", "text")
-    wanted = judged.filter("kinds > 1").groupBy("doc", twin).agg(F.collect_list(F.struct("key", "place", (F.col("kinds") > CROWD).alias("crowded"))).alias("runs"))
+    wanted = judged.filter("kinds > 1").groupBy("doc", "twin").agg(F.collect_list(F.struct("key", "place", (F.col("kinds") > CROWD).alias("crowded"))).alias("runs"))
     strings = written(
-        texts.join(wanted, ["doc", "twin"]).mapInArrow(_cut(length), "key long, doc long, place long, data binary, crowded boolean"),
+        texts.join(wanted, ["doc", "twin"]).mapInArrow(_cut(length), "key long, doc long, twin long, place long, data binary, crowded boolean"),
         "run-strings",
     )
     grouped = strings.filter("not crowded").repartition(partitions(spark), "key").sortWithinPartitions("key")
-    sorted_out = grouped.select("key", "doc", "place", "data").mapInArrow(_resolve(length), "doc long, place long")
-    crowded = strings.filter("crowded").groupBy("data").agg(one_of).select("first.doc", "first.place")
+    sorted_out = grouped.select("key", "doc", "twin", "place", "data").mapInArrow(_resolve(length), "doc long, twin long, place long")
+    crowded = strings.filter("crowded").groupBy("data").agg(one_of).select("first.doc", "first.twin", "first.place")
 
-    stays = plain.unionByName(sorted_out).unionByName(crowded).select("doc", (-F.col("place") - 1).alias("mark"), twin)
-    marks = places.select("doc", F.col("place").alias("mark"), twin).unionByName(stays)
+    stays = plain.unionByName(sorted_out).unionByName(crowded).select("doc", "twin", (-F.col("place") - 1).alias("mark"))
+    marks = places.select("doc", "twin", F.col("place").alias("mark")).unionByName(stays)
     marks = marks.groupBy("doc", "twin").agg(F.collect_set("mark").alias("marks"))
     result = "doc long, twin long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     changed = written(texts.join(marks, ["doc", "twin"]).mapInArrow(_remove(length, with_text), result).dropDuplicates(["doc", "twin"]), "string-removals")

@@ -165,6 +165,33 @@ def test_repeated_strings(cases, case_rows, nothing):
     assert suffixes.repeated_strings(nothing).collect() == []
 
 
+def test_repeated_strings_of_texts_that_share_an_id(spark, monkeypatch):
+    """Texts without ids, picked to agree in the low 18 bits of their hashes; all hold one line, at places of their own."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(13)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    line = word(90)
+    made = spark.createDataFrame([(word(int(rng.integers(1, 200))) + line + word(int(rng.integers(1, 200))),) for _ in range(3000)], "text string")
+    made = sorted((r.h, r.text) for r in made.select("text", F.xxhash64("text").alias("h")).collect())
+    low = Counter(h % (1 << 18) for h, _ in made)
+    rows = [(h, t) for h, t in made if low[h % (1 << 18)] > 1]
+    assert len(rows) >= 8
+    seen, want = set(), []
+    for _, t in rows:
+        gone = bytearray(len(t))
+        for k in range(len(t) - 63):
+            if t[k : k + 64] in seen:
+                gone[k : k + 64] = b"\1" * 64
+            seen.add(t[k : k + 64])
+        want.append((len(t), sum(gone), hashlib.sha256(bytes(c for c, g in zip(t.encode(), gone, strict=True) if not g)).hexdigest()))
+    docs = spark.createDataFrame([(None, t) for _, t in rows], "doc_id long, text string").repartition(3)
+    for crowd in (suffixes.CROWD, 2):
+        monkeypatch.setattr(suffixes, "CROWD", crowd)
+        got = suffixes.repeated_strings(docs, 64).collect()
+        assert ordered((r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == ordered(want)
+
+
 def test_crowded_keys_pieces_and_text(spark, monkeypatch):
     rng = np.random.default_rng(4)
     word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
