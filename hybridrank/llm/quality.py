@@ -111,14 +111,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2048, dimensions: i
 
     That documented bound holds for all that is broadcast or gathered here. Labels other than 0 and 1,
     null labels and ids are left out; a null text counts as empty; an id that ``labels`` repeats counts
-    once, with its largest label; all documents that share a chosen id are used. Without any labelled
-    document of label 0 or of label 1 every score is 1 or 0, without both 0.5.
+    once, with its largest label, and an id that ``docs`` repeats once, with the text of the least hash.
+    Without any labelled document of label 0 or of label 1 every score is 1 or 0, without both 0.5.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     chosen = [known.filter(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(per_label) for v in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * per_label rows
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).join(chosen, "id")
+    texts = texts.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")).select("id", "label", "least.text")
 
     def features(batches):
         for batch in batches:

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hybridrank.llm import contamination, quality, token_counts
 from hybridrank.llm.queries import _tokenizer
@@ -116,6 +117,23 @@ def test_quality_held_out_accuracy(labelled):
     assert len(rows) > 500 and sum(good) >= 0.99 * len(good) and sum(bad) <= 0.05 * len(bad)
 
 
+def test_quality_of_repeated_ids(spark, labelled):
+    """However many rows share a chosen id, one text of it is gathered; the same in any order."""
+    docs, labels = labelled
+    ids = [r.doc_id for r in labels.filter("quality in (0, 1) and doc_id is not null").select("doc_id").distinct().orderBy("doc_id").limit(6).collect()]
+    some, known = docs.filter(F.col("doc_id").isin(ids)), labels.filter(F.col("doc_id").isin(ids))
+    again = some.filter(F.col("doc_id") == ids[0])
+    for _ in range(5):
+        again = again.unionByName(again)
+    other = again.limit(3).withColumn("text", F.lit("another text of the same id"))
+    many = some.unionByName(again).unionByName(other)
+    plain, model = quality.fit(some, known, dimensions=4), quality.fit(many, known, dimensions=4)
+    assert len(plain.labels) == len(model.labels) == some.select("doc_id").distinct().count()
+    assert model.labels.tolist() == plain.labels.tolist()
+    turned = quality.fit(many.repartition(7), known, dimensions=4)
+    assert np.allclose(turned.vectors, model.vectors) and turned.labels.tolist() == model.labels.tolist()
+
+
 def test_quality_of_cases(spark, cases, case_rows, nothing, labelled):
     docs, labels = labelled
     rows = quality.scored(cases, labels.filter("doc_id < 0")).collect()
