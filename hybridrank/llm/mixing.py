@@ -6,6 +6,8 @@ transfer moves expected words from one to the other until one of them is 0 or 1;
 each document and the expected words of both stay what they were. The open one goes on to the next
 meeting. Groups of a source leave one open document each; these meet in ever fewer groups (a reduction
 tree), so at its root a source's words differ from its target by less than one document.
+Of rows that repeat id and text, the whole part of their probabilities' sum is taken outright; the rest is
+one document's probability.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from .common import WORD, text_or_empty, written
 
 #: Documents in a group of the tree's first level, and groups that meet in one of the next.
 GROUP, FAN_IN = 1024, 64
-LEVEL = "source string, doc_id long, size long, crc long, m long, h long, bucket long, whole long, p double, closed boolean"
+#: Rows, at most, that are numbered together where rows that repeat id and text are taken unequally often.
+DEALT = 1024
+LEVEL = "source string, doc_id long, size long, crc long, m long, h long, bucket long, whole long, extra long, p double, closed boolean"
 
 
 def words(text_col: str) -> Column:
@@ -90,10 +94,9 @@ def pivot(size: list[float], p: list[float], u: list[float]) -> tuple[list[float
 def _meet(level: int, last: bool):
     def group(rows: pd.DataFrame) -> pd.DataFrame:
         # large documents first: the small ones after them close what they leave open
-        rows = rows.assign(mass=-rows["size"] * rows["m"]).sort_values(["mass", "h", "doc_id", "crc"], kind="stable", ignore_index=True).drop(columns="mass")
+        rows = rows.assign(mass=-rows["size"]).sort_values(["mass", "h", "doc_id", "crc"], kind="stable", ignore_index=True).drop(columns="mass")
         u = _uniform(rows["h"].to_numpy(), level)
-        # rows that repeat id and text are one document of that multiple size
-        p, held = pivot((rows["size"] * rows["m"]).astype(float).tolist(), rows["p"].tolist(), u.tolist())
+        p, held = pivot(rows["size"].astype(float).tolist(), rows["p"].tolist(), u.tolist())
         if last and held >= 0:
             p[held] = float(_uniform(rows["h"].to_numpy()[held : held + 1], -2)[0] < p[held])
             held = -1
@@ -107,8 +110,9 @@ def _meet(level: int, last: bool):
 def mix(docs: DataFrame, weights: list[float], share: float, most: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How often the mix takes each document: ``doc_id, source, size, crc, m, source_size, target, copies``.
 
-    One row per distinct (id, source, text length in words, checksum); ``m`` rows of ``docs`` share it
-    and are taken equally often. Sizes are words; a null or empty text has none and is taken
+    One row per distinct (id, source, text length in words, checksum) and number of copies; ``m`` rows of
+    ``docs`` share these. Rows that repeat the first four differ by one copy at most, so that a source's
+    taken words miss its target by less than one row's, however many rows are alike. Sizes are words; a null or empty text has none and is taken
     ``floor(rate)`` times. A null id or source is a value like any other. An empty table gives no
     rows. Other columns are not read. The same rows give the same mix on every run, in any order.
 
@@ -127,7 +131,8 @@ def mix(docs: DataFrame, weights: list[float], share: float, most: float = 2.0,
     same_source = F.col("source").eqNullSafe(F.col("goal_source"))
     rows = (
         items.join(goals.withColumn("rate", rate), same_source)
-        .select("source", "doc_id", "size", "crc", "m", hashed.alias("h"), F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "crc"), F.ceil(F.col("n") / GROUP)).alias("bucket"), F.floor("rate").alias("whole"), part.alias("p"))
+        .select("source", "doc_id", "size", "crc", "m", hashed.alias("h"), F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "crc"), F.ceil(F.col("n") / GROUP)).alias("bucket"), F.floor("rate").alias("whole"), (F.col("m") * part).alias("p"))
+        .withColumn("extra", F.floor("p")).withColumn("p", F.col("p") - F.col("extra"))
     )
     widest = goals.agg(F.max("n")).first()[0] or 0
     buckets, level, done, open_rows = -(-widest // GROUP), 0, [], rows
@@ -141,13 +146,37 @@ def mix(docs: DataFrame, weights: list[float], share: float, most: float = 2.0,
     decided = done[0]
     for d in done[1:]:
         decided = decided.unionByName(d)
-    decided = decided.select("source", "doc_id", "size", "crc", "m", (F.col("whole") + F.col("p").cast("long")).alias("copies"))
+    more = F.col("extra") + F.col("p").cast("long")
+    parts = F.array(F.struct(more.alias("m"), (F.col("whole") + 1).alias("copies")), F.struct((F.col("m") - more).alias("m"), F.col("whole").alias("copies")))
+    decided = decided.select("source", "doc_id", "size", "crc", F.inline(F.filter(parts, lambda part: part["m"] > 0)))
     return decided.join(goals, same_source).select("source", "doc_id", "size", "crc", "m", "source_size", "target", "copies")
 
 
 def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with each row as often as ``mixed`` (of :func:`mix`) takes it; all columns, in their order."""
-    keyed = docs.withColumns({"__size": words(text_col), "__crc": F.crc32(text_or_empty(text_col).cast("binary"))})
-    plan = mixed.filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__n"), F.col("crc").alias("__c"), F.col("copies").alias("__copies"))
-    on = keyed[id_col].cast("long").eqNullSafe(plan["__id"]) & keyed[source_col].cast("string").eqNullSafe(plan["__source"]) & (keyed["__size"] == plan["__n"]) & (keyed["__crc"] == plan["__c"])
-    return keyed.join(plan, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with each row as often as ``mixed`` (of :func:`mix`) takes it; all columns, in their order.
+
+    Of rows that repeat id, source and text, those that come first where they are numbered get the larger
+    number of copies; such rows are written once, numbered ``DEALT`` at a time and told of the counts before.
+    """
+    keyed = docs.withColumns({"__size": words(text_col), "__crc": F.crc32(text_or_empty(text_col).cast("binary")), "__own": F.col(id_col).cast("long"), "__from": F.col(source_col).cast("string")})
+    plan = mixed.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__n"), F.col("crc").alias("__c")).agg(
+        F.min("copies").alias("__low"), F.max("copies").alias("__high"), F.max_by("m", "copies").alias("__more")
+    ).filter("__high > 0")
+    on = keyed["__own"].eqNullSafe(plan["__id"]) & keyed["__from"].eqNullSafe(plan["__source"]) & (keyed["__size"] == plan["__n"]) & (keyed["__crc"] == plan["__c"])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    out = keyed.join(plan.filter("__low = __high"), on).select(*columns, F.col("__high").alias("__copies"))
+    uneven = written(plan.filter("__low < __high"), "mix-uneven")
+    if uneven.limit(1).count():
+        on = keyed["__own"].eqNullSafe(uneven["__id"]) & keyed["__from"].eqNullSafe(uneven["__source"]) & (keyed["__size"] == uneven["__n"]) & (keyed["__crc"] == uneven["__c"])
+        rows = written(keyed.join(uneven, on).withColumn("__row", F.monotonically_increasing_id()).withColumn("__lot", F.expr(f"__row div {DEALT}")), "mix-uneven-rows")
+        key = ["__id", "__source", "__n", "__c"]
+        counts = rows.groupBy(*key, "__lot").agg(F.count("*").alias("count"))
+        earlier = Window.partitionBy(*key).orderBy("__lot").rowsBetween(Window.unboundedPreceding, -1)
+        lots = counts.select(*[F.col(c).alias(f"{c}_of") for c in key], F.col("__lot").alias("__lot_of"), F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("__before"))
+        same = F.col("__lot") == F.col("__lot_of")
+        for c in key:
+            same = same & F.col(c).eqNullSafe(F.col(f"{c}_of"))
+        number = F.row_number().over(Window.partitionBy(*key, "__lot").orderBy("__row")) + F.col("__before")
+        dealt = rows.join(lots, same).withColumn("__number", number)
+        out = out.unionByName(dealt.select(*columns, F.when(F.col("__number") <= F.col("__more"), F.col("__high")).otherwise(F.col("__low")).alias("__copies")).filter("__copies > 0"))
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)

@@ -106,6 +106,30 @@ def test_mix_through_a_tree(cases, monkeypatch):
     assert out.count() == sum(r.copies * r.m for r in rows)
 
 
+def test_mix_of_repeated_rows(spark, monkeypatch):
+    """A third of all rows are one text, with an id or without; words miss the target by less than one row's."""
+    rng = np.random.default_rng(14)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    rows = [(i, text(int(rng.integers(5, 30))), f"s{i % 3}") for i in range(90)]
+    rows += [(None, "again " * 25, "s0")] * 31 + [(5, "five " * 20, "s1")] * 14 + [(6, "none " * 9, None)] * 5
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, source string, tag long").repartition(5)
+    monkeypatch.setattr(mixing, "DEALT", 4)
+    for weights in ([5, 2, 1], [3, 4, 2]):
+        mixed = mixing.mix(docs, weights, 0.9)
+        got = mixed.collect()
+        assert sum(r.m for r in got) == len(rows)
+        assert ordered(mixing.mix(docs.repartition(2), weights, 0.9).collect()) == ordered(got)
+        want = Counter()
+        for s in {r.source for r in got}:
+            own = [r for r in got if r.source == s]
+            assert abs(sum(r.copies * r.size * r.m for r in own) - own[0].target) < max(r.size for r in own)
+            for r in own:
+                want[r.doc_id, r.source, r.size, r.copies] += r.m
+        assert len({(r.doc_id, r.source, r.size) for r in got}) < len(got)  # some are taken unequally often
+        out = Counter(r.tag for r in mixing.repeat_documents(docs, mixed).collect())
+        assert +want == Counter((i, s, len(t.split()), out[k]) for k, (i, t, s) in enumerate(rows))
+
+
 def test_pivot_keeps_expectations():
     rng = np.random.default_rng(2)
     size, p = [5.0, 1.0, 3.0, 2.0, 8.0], [0.3, 0.5, 0.9, 0.25, 0.6]
