@@ -35,9 +35,15 @@ def sort_key(norm: Column, digest: Column, doc_id: Column) -> Column:
 
 def splitters(keys: DataFrame, n: int) -> list[str]:
     """At most ``n - 1`` keys that cut ``keys`` (one column ``key``, a sample) into even ranges."""
-    at = F.row_number().over(Window.orderBy("key"))
-    rows = keys.withColumn("at", at).filter(F.col("at") % SAMPLED == 0).select("key").distinct().collect()
-    return sorted((r[0] for r in rows), key=lambda s: s.encode("utf-8"))[: n - 1]
+    ranked = keys.withColumns({"at": F.row_number().over(Window.orderBy("key")), "total": F.count("*").over(Window.partitionBy())})
+    cut = F.floor(F.col("at") * n / F.col("total")) > F.floor((F.col("at") - 1) * n / F.col("total"))
+    rows = ranked.filter(cut & (F.col("at") < F.col("total"))).select("key").distinct().collect()
+    return sorted((r[0] for r in rows), key=lambda s: s.encode("utf-8"))
+
+
+def sampled(rows: DataFrame, every: int) -> DataFrame:
+    """About one in ``every`` rows, by their places in the table, so that rows that are alike are sampled like any others."""
+    return rows.filter(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(every)) == 0)
 
 
 def range_of(key: Column, cuts: list[str]) -> Column:
@@ -66,8 +72,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = raw.select("doc_id", F.regexp_replace("raw", SPACES, " ").alias("norm")).withColumn("sha", F.sha2("norm", 256))
     rows = rows.withColumn("key", sort_key(F.col("norm"), F.col("sha"), F.col("doc_id")))
     every = max(1, docs.count() // (n * SAMPLED))
-    sample = raw.filter(F.pmod(F.xxhash64("doc_id", F.substring("raw", 1, HEAD)), F.lit(every)) == 0)
-    sample = sample.withColumn("norm", F.regexp_replace("raw", SPACES, " "))
+    sample = sampled(raw, every).withColumn("norm", F.regexp_replace("raw", SPACES, " "))
     cuts = splitters(sample.select(sort_key(F.col("norm"), F.sha2("norm", 256), F.col("doc_id")).alias("key")), n)
 
     in_range = Window.partitionBy("part").orderBy("key")

@@ -164,6 +164,15 @@ def test_content_sort(spark, cases, case_rows, nothing):
     assert content_sort.exact_duplicates(nothing).collect() == []
 
 
+def test_content_sort_cuts_evenly(spark):
+    """Splitters are spread over the whole sample; rows without ids and with one beginning are sampled like others."""
+    keys = spark.createDataFrame([(f"{k:04d}",) for k in range(1000)], "key string").repartition(3)
+    cuts = [int(c) for c in content_sort.splitters(keys, 5)]
+    assert len(cuts) == 4 and all(abs(c - 200 * (k + 1)) <= 1 for k, c in enumerate(cuts))
+    alike = spark.range(20_000).selectExpr("cast(null as long) as doc_id", "concat(repeat('same ', 10), id) as raw")
+    assert 1500 < content_sort.sampled(alike, 10).count() < 2500
+
+
 # --- repeated strings
 
 
