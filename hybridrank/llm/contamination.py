@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, written
 
 #: Item words in one automaton at most; more items are taken in several rounds.
 AUTOMATON_WORDS = 2_000_000
@@ -168,8 +168,8 @@ def scanner(spark, automaton: Automaton):
 
 
 def automata(benchmark: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text", most: int = AUTOMATON_WORDS):
-    """Automata that together hold all items, each of about ``most`` words; built one after the other."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), text_or_empty(text_col).alias("text"))
+    """Automata that together hold all items, each of about ``most`` words; built one after the other. Repeated rows count once."""
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), text_or_empty(text_col).alias("text")).distinct()
     total = items.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
     rounds = max(1, -(-total // most))
     for k in range(rounds):
@@ -181,12 +181,8 @@ def automata(benchmark: DataFrame, window: int, id_col: str = "item_id", text_co
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
-    """``docs`` with ``__r``: the scan's result over all automata."""
+    """``docs`` with ``__r``: the scan's result over all automata, one after the other."""
     spark = docs.sparkSession
-    parts = [scanner(spark, a)(F.col(text_col)) for a in automata(benchmark, window, item_col, item_text_col)]
-    if len(parts) == 1:
-        return docs.withColumn("__r", parts[0])
-    out = docs.withColumns({f"__r{k}": p for k, p in enumerate(parts)})
 
     @F.arrow_udf(RESULT)
     def union(texts: pa.Array, *results: pa.Array) -> pa.Array:
@@ -197,8 +193,16 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, it
             rows.append({"n_words": rs[0]["n_words"], "hits": marks, "items": sorted({i for r in rs for i in r["items"]}), "cleaned": without_hits(text, marks) if marks is not None else None})
         return pa.array(rows, pa.struct([("n_words", pa.int64()), ("hits", pa.binary()), ("items", pa.list_(pa.string())), ("cleaned", pa.string())]))
 
-    names = [f"__r{k}" for k in range(len(parts))]
-    return out.withColumn("__r", union(F.coalesce(F.col(text_col).cast("string"), F.lit("")), *names)).drop(*names)
+    out = None
+    for automaton in automata(benchmark, window, item_col, item_text_col):
+        scan = scanner(spark, automaton)(F.col(text_col))
+        if out is None:
+            out = docs.withColumn("__r", scan)
+            continue
+        # written between rounds, so that no task holds more than one automaton
+        out = written(out, "window-hits").withColumn("__next", scan)
+        out = out.withColumn("__r", union(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "__r", "__next")).drop("__next")
+    return out
 
 
 def _columns(window_share: int) -> dict:

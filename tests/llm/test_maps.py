@@ -49,6 +49,19 @@ def test_windows_against_brute_force(cases, case_rows, benchmark, monkeypatch, m
     assert ordered(got) == ordered(brute_windows(case_rows, items))
 
 
+def test_windows_of_repeated_items(spark, cases, case_rows, benchmark, monkeypatch):
+    """Repeated benchmark rows make automata no more and no larger; no plan holds more than one automaton's scan."""
+    repeated = benchmark
+    for _ in range(4):
+        repeated = repeated.unionByName(repeated)
+    sizes = [sorted(len(a.length) for a in contamination.automata(b, 13, most=60)) for b in (benchmark, repeated)]
+    assert sizes[0] == sizes[1] and len(sizes[0]) > 1
+    monkeypatch.setattr(contamination.automata, "__defaults__", ("item_id", "text", 60))
+    found = contamination.contamination(cases, repeated).select(*FIELDS)
+    assert found._jdf.queryExecution().analyzed().toString().count("scan(") == 1
+    assert ordered(tuple(r) for r in found.collect()) == ordered(brute_windows(case_rows, [(r.item_id, r.text) for r in benchmark.collect()]))
+
+
 def test_windows_of_nothing(cases, nothing, benchmark):
     assert contamination.contamination(nothing, benchmark).collect() == []
     assert contamination.contamination(cases, benchmark.limit(0)).filter("n_hit > 0 or contaminated").count() == 0
