@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, content_sort, mixing, near_join, quality, sharding, suffixes, token_counts, token_frames, warc
-from .common import table
+from . import contamination, content_sort, mixing, near_join, periodic, quality, sharding, suffixes, token_counts, token_frames, warc
+from .common import SPACES, let, table
 
 SHARDS = 40
 END_ID = 2
@@ -63,6 +63,41 @@ def op9_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items", "cleaned")
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The texts of one document in ten repeat their own words from some word on, as the id's checksum h says:
+    word i >= a is word a + (i - a) % p, with g = h / 10, a = g % n, p = 1 + (n - a) / (3 + g % 8). Without id: unchanged."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+
+    def repeated(words):
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
+        return F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int")))), " ")
+
+    words = F.filter(F.split("text", SPACES), lambda w: w != "")
+    planted = let(words, lambda ws: F.when(F.size(ws) > 0, repeated(ws)).otherwise(""))
+    return docs.withColumn("text", F.when(h % 10 == 0, planted).otherwise(F.col("text")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic.repeated_stretches(with_planted_runs(docs), least=12)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("q"))))
+    return found.withColumn("top", top).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.s")).alias("start"),
+        F.col("top.n").alias("length"),
+        (-F.col("top.q")).alias("period"),
+        F.expr("(1000 * top.n) div -top.q").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
 QUERIES = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_pivotal_mix": op2_pivotal_mix,
@@ -74,5 +109,6 @@ QUERIES = {
     "op8_suffix_sort": op8_suffix_sort,
     "op9_benchmark_windows": op9_benchmark_windows,
     "op10_grouped_prefix": op10_grouped_prefix,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE: dict[str, str] = {}
