@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, content_sort, mixing, near_join, periodic, quality, sharding, suffixes, token_counts, token_frames, warc
+from . import contamination, content_sort, mixing, near_join, periodic, quality, sharding, spelling, suffixes, token_counts, token_frames, warc
 from .common import SPACES, let, table
 
 SHARDS = 40
@@ -63,6 +63,11 @@ def op9_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items", "cleaned")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.counted_words(table(spark, sf_dir, "documents"), least_length=6, typo_every=199)
+    return spelling.variants(words, least_length=6, least_count=5, times=5)
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """The texts of one document in ten repeat their own words from some word on, as the id's checksum h says:
     word i >= a is word a + (i - a) % p, with g = h / 10, a = g % n, p = 1 + (n - a) / (3 + g % 8). Without id: unchanged."""
@@ -109,6 +114,7 @@ QUERIES = {
     "op8_suffix_sort": op8_suffix_sort,
     "op9_benchmark_windows": op9_benchmark_windows,
     "op10_grouped_prefix": op10_grouped_prefix,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE: dict[str, str] = {}
