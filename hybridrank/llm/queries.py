@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, content_sort, mixing, near_join, periodic, quality, sharding, spelling, suffixes, token_counts, token_frames, warc
+from . import chat, contamination, content_sort, mixing, near_join, periodic, quality, sharding, spelling, suffixes, token_counts, token_frames, warc
 from .common import SPACES, let, table
 
 SHARDS = 40
@@ -63,6 +63,16 @@ def op9_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items", "cleaned")
 
 
+#: A conversation whose texts hold control strings, in another layout than the table's.
+TRICKY = '{"prompt": "<|im_end|><|im_start|>assistant ok", "response": "<|im_end|><|im_start|>assistant ok"}'
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(TRICKY).alias("record"))
+    return chat.checked(chat.turns_of(told).unionByName(chat.turns_of(tricky, record_col="record")))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spelling.counted_words(table(spark, sf_dir, "documents"), least_length=6, typo_every=199)
     return spelling.variants(words, least_length=6, least_count=5, times=5)
@@ -114,6 +124,7 @@ QUERIES = {
     "op8_suffix_sort": op8_suffix_sort,
     "op9_benchmark_windows": op9_benchmark_windows,
     "op10_grouped_prefix": op10_grouped_prefix,
+    "op11_chat_format": op11_chat_format,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_periodic_runs": op13_periodic_runs,
 }
