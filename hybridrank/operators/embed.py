@@ -1,17 +1,20 @@
 """Text → vector encoders.
 
-The default encoder is a signed feature-hashing of word tokens, written entirely as Spark SQL
-(md5 of the term picks the dimension and the sign; counts are summed and L2-normalised). A user
+The default encoder is a signed feature-hashing of word tokens (md5 of the term picks the dimension
+and the sign; counts are summed and L2-normalised), batch by batch where the texts are read. A user
 encoder (e.g. a neural sentence model) can be plugged in with :func:`encode_with`, which loads it
 once per task and encodes Arrow batches.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,34 +25,56 @@ from ..functions.text import doc_text, tokens
 DEFAULT_DIM = 256
 
 
-def hashed_terms(df: DataFrame, id_col: str, text: F.Column, dim: int = DEFAULT_DIM) -> DataFrame:
-    """Long form ``(id, dim, value)`` of the normalised hashed vector; zero entries are omitted."""
-    raw = (
-        df.select(F.col(id_col).alias("id"), F.explode(tokens(text)).alias("term"))
-        .select("id", term_bucket("term", dim).alias("dim"), term_sign("term").alias("sign"))
-        .groupBy("id", "dim")
-        .agg(F.sum("sign").alias("value"))
-        .filter(F.col("value") != 0)
-    )
-    norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    return raw.join(norms, "id").select("id", "dim", (F.col("value") / F.col("norm")).alias("value"))
+#: Terms whose dimension and sign a task remembers.
+KNOWN_TERMS = 1 << 19
+
+
+def _place(term: str, dim: int) -> tuple[int, float]:
+    """Dimension and sign of a term, as ``functions.hashing`` has them in SQL."""
+    digest = hashlib.md5(term.encode("utf-8")).hexdigest()
+    return int(digest[:8], 16) % dim, 1.0 if int(digest[8], 16) % 2 == 0 else -1.0
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files are too few to keep them busy; else as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def hashed_embedding(df: DataFrame, id_col: str, text: F.Column, dim: int = DEFAULT_DIM, out_id: str | None = None) -> DataFrame:
     """``(id, embedding array<double>)``: dense, L2-normalised hashed vector of each row's text.
 
-    One shuffle for the (id, dim) sums, one for the per-id assembly; each id's group holds at most
-    ``dim`` entries.
+    Nothing is shuffled: a batch of texts becomes a matrix of sums, and a task looks each term it
+    meets up once. Rows without any token get a zero vector.
     """
-    raw = (
-        df.select(F.col(id_col).alias("id"), F.explode(tokens(text)).alias("term"))
-        .select("id", term_bucket("term", dim).alias("dim"), term_sign("term").alias("sign"))
-        .groupBy("id", "dim")
-        .agg(F.sum("sign").alias("value"))
-    )
-    # rows without any token still get a (zero) vector
-    out = _assemble(raw, df.select(F.col(id_col).alias("id")), dim)
-    return out.withColumnRenamed("id", out_id or id_col)
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def encode(batches):
+        known: dict[str, tuple[int, float]] = {}
+        for batch in batches:
+            tokens_, n = batch.column("tokens"), batch.num_rows
+            coded = pc.list_flatten(tokens_).dictionary_encode()
+            if len(known) > KNOWN_TERMS:
+                known.clear()
+            places = [known.get(t) or known.setdefault(t, _place(t, dim)) for t in coded.dictionary.to_pylist()]
+            where, sign = np.array([p[0] for p in places], np.int64), np.array([p[1] for p in places])
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(n), pc.list_value_length(tokens_).to_numpy(zero_copy_only=False))
+            sums = np.bincount(row * dim + where[codes], sign[codes], n * dim).reshape(n, dim) if len(codes) else np.zeros((n, dim))
+            norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+            vectors = sums / np.where(norm > 0, norm, 1.0)
+            offsets = pa.array(np.arange(n + 1) * dim, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel()))], names=[id_col, "embedding"])
+
+    texts = spread(df.select(F.col(id_col).alias("id"), text.alias("text"))).select("id", F.coalesce(tokens(F.col("text")), F.array()).alias("tokens"))
+    out = texts.mapInArrow(encode, f"`{id_col}` {kind}, embedding array<double>")
+    return out.withColumnRenamed(id_col, out_id) if out_id else out
+
+
+def hashed_terms(df: DataFrame, id_col: str, text: F.Column, dim: int = DEFAULT_DIM) -> DataFrame:
+    """Long form ``(id, dim, value)`` of the normalised hashed vector; zero entries are omitted."""
+    long = hashed_embedding(df, id_col, text, dim, "id").select("id", F.posexplode("embedding").alias("dim", "value"))
+    return long.filter(F.col("value") != 0)
 
 
 def embed_postings(postings: DataFrame, terms: DataFrame, doc_ids: DataFrame, dim: int = DEFAULT_DIM) -> DataFrame:

@@ -36,7 +36,7 @@ def containing_documents(
         .agg(F.min_by("term", F.struct("df", "term")).alias("term"))
     )
     # Which side of these joins is broadcast, if any, is left to the planner, which goes by bytes.
-    candidates = index.postings.select("term", "doc_id").join(anchors, "term").select("query_id", "doc_id")
+    candidates = index.lists.select("term", "doc_ids").join(anchors, "term").select("query_id", F.explode("doc_ids").alias("doc_id"))
     matched = (
         corpus.select("doc_id", "text")
         .join(candidates, "doc_id")

@@ -1,27 +1,40 @@
-"""BM25 sparse retrieval as joins and aggregations over a long postings table.
-
-Index layout (all long DataFrames, Parquet when persisted):
-  postings(term, doc_id, tf, dl)   one row per (term, document); dl denormalised to save a join
-  terms(term, df, idf)             document frequency and floored idf
-  stats(n_docs, avgdl, mean_idf)   one row of corpus constants, used through scalar subqueries
+"""BM25 sparse retrieval over posting lists that are kept by block of documents.
+
+Index layout (Parquet, one bucket per task):
+  lists(block, term, doc_ids, tfs, dls, n, occurrences, max_tf, min_dl)
+      one row per (block of documents, term), postings in order of doc_id; ``max_tf`` and ``min_dl``
+      bound every contribution of the list, whatever the BM25 constants. The empty term lists all
+      documents of the block, with their lengths.
+  terms(term, df, occurrences)
+A search sends the query terms to the blocks, sums and ranks inside each block, and moves only the
+best k candidates of every block.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import doc_text, tokens
-from ..session import materialize as _materialize
-from ..session import materialize_bucketed
 from ..schemas import require
-from .ranking import top_k
-
+from ..session import ensure_checkpoint_dir, materialize, read_bucketed, write_bucketed
+from .ranking import RANK_DIGITS, top_k
 
 SCORE_DIGITS = 12
 
+#: Documents of a block, and the most buckets (files) of an index.
+BLOCK_DOCS, MAX_BUCKETS = 4096, 8192
+#: Rows of query terms that one pass over the index carries to every task; more queries take more passes.
+PASS_TERMS = 500_000
+#: The term under which a block lists all its documents.
+EVERY = ""
+
 
 @dataclass(frozen=True)
 class BM25Params:
@@ -32,18 +45,51 @@ class BM25Params:
     epsilon: float = 0.25
 
 
+@dataclass(frozen=True)
+class CorpusStats:
+    """Constants of an indexed corpus. ``fingerprint`` tells its rows and texts from another's."""
+
+    n_docs: int
+    n_tokens: int
+    mean_idf: float
+    blocks: int
+    buckets: int
+    fingerprint: str
+
+    @property
+    def avgdl(self) -> float:
+        return self.n_tokens / self.n_docs if self.n_docs else 0.0
+
+
 @dataclass
 class SparseIndex:
-    postings: DataFrame
-    terms: DataFrame
-    stats: DataFrame
+    lists: DataFrame
+    dfs: DataFrame
+    constants: CorpusStats
     params: BM25Params = BM25Params()
-    term_buckets: int | None = None  # set when postings are stored partitioned by term_bucket
-    docs: DataFrame | None = None  # (doc_id) of every document, also of those without tokens
 
-    def scalar(self, name: str) -> Column:
-        """A corpus constant as a scalar-subquery column (evaluated once per query, no driver collect)."""
-        return self.stats.select(name).scalar()
+    @property
+    def terms(self) -> DataFrame:
+        """``(term, df, idf)``, negative idf replaced by epsilon times the mean."""
+        raw = raw_idf(F.lit(self.constants.n_docs), F.col("df"))
+        return self.dfs.select("term", "df", F.when(raw < 0, F.lit(self.params.epsilon * self.constants.mean_idf)).otherwise(raw).alias("idf"))
+
+    @property
+    def stats(self) -> DataFrame:
+        """One row: ``n_docs, avgdl, mean_idf``."""
+        c = self.constants
+        return self.lists.sparkSession.range(1).select(F.lit(c.n_docs).cast("long").alias("n_docs"), F.lit(c.avgdl).alias("avgdl"), F.lit(c.mean_idf).alias("mean_idf"))
+
+    @property
+    def postings(self) -> DataFrame:
+        """Long form ``(term, doc_id, tf, dl)``."""
+        each = F.arrays_zip(F.col("doc_ids").alias("doc_id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl"))
+        return self.lists.filter(F.col("term") != EVERY).select("term", F.inline(each))
+
+    @property
+    def docs(self) -> DataFrame:
+        """``(doc_id, dl)`` of every document, also of those without tokens."""
+        return self.lists.filter(F.col("term") == EVERY).select(F.inline(F.arrays_zip(F.col("doc_ids").alias("doc_id"), F.col("dls").alias("dl"))))
 
 
 def corpus_tokens(corpus: DataFrame) -> DataFrame:
@@ -59,12 +105,13 @@ def doc_lengths(corpus: DataFrame) -> DataFrame:
 
 
 def postings(corpus: DataFrame) -> DataFrame:
-    """``(term, doc_id, tf, dl)``. The aggregation combines map-side, so only distinct postings shuffle.
+    """``(term, doc_id, tf, dl)``. Texts move once, by document, which is less than their postings; those are then counted in place.
 
     The token array is the generator's only input: projecting ``size(tokens)`` next to
     ``explode(tokens)`` would make generated code rebuild the array once per emitted token.
     """
-    toks = corpus_tokens(corpus)
+    n = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    toks = corpus_tokens(corpus.repartition(n, "doc_id"))
     pairs = F.arrays_zip(F.col("tokens").alias("term"), F.array_repeat(F.size("tokens"), F.size("tokens")).alias("dl"))
     return (
         toks.select("doc_id", F.inline(pairs))
@@ -74,48 +121,138 @@ def postings(corpus: DataFrame) -> DataFrame:
     )
 
 
-def term_bucket_of(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
 def raw_idf(n_docs: Column, df: Column) -> Column:
     return F.log(n_docs - df + F.lit(0.5)) - F.log(df + F.lit(0.5))
 
 
-def build_index(corpus: DataFrame, params: BM25Params = BM25Params(), materialize: bool = False) -> SparseIndex:
-    """Lazy BM25 index over ``corpus(doc_id, [title], text)``.
+def fingerprint(corpus: DataFrame) -> tuple[int, str]:
+    """Row count, and a hash of all ids and texts that doesn't depend on their order (one scan, no shuffle)."""
+    title = F.col("title") if "title" in corpus.columns else None
+    row = F.xxhash64(F.col("doc_id").cast("string"), doc_text(title, F.col("text"))).cast("decimal(20,0)")
+    n, total = corpus.agg(F.count(F.lit(1)), F.sum(row)).first()
+    return n, f"{n}-{int(total or 0) % 2**64:016x}"
+
+
+class _Block:
+    """Postings of one block, gathered batch by batch: numbers of terms and documents, not strings."""
+
+    def __init__(self, block: int) -> None:
+        self.block, self.codes, self.parts, self.docs, self.dls, self.n = block, {}, [], [], [], 0
+
+    def add(self, docs: pa.Array, tokens: pa.ListArray) -> None:
+        sizes = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = pc.list_flatten(tokens).dictionary_encode()
+        codes = self.codes
+        own = np.array([codes.setdefault(t, len(codes)) for t in coded.dictionary.to_pylist()], np.int64)
+        key = own[coded.indices.to_numpy(zero_copy_only=False)] * len(docs) + np.repeat(np.arange(len(docs)), sizes)
+        key, tf = np.unique(key, return_counts=True)
+        self.parts.append((key // len(docs), key % len(docs) + self.n, tf))
+        self.docs.append(docs)
+        self.dls.append(sizes)
+        self.n += len(docs)
+
+    def lists(self, most: int = 1 << 20):
+        """The block's lists, terms and documents in order, in batches of about ``most`` postings."""
+        term, doc, tf = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        docs, dl = pa.concat_arrays(self.docs), np.concatenate(self.dls)
+        by_id = pc.sort_indices(docs).to_numpy()
+        place = np.empty(self.n, np.int64)
+        place[by_id] = np.arange(self.n)
+        docs, dl = docs.take(pa.array(by_id)), dl[by_id].astype(np.int32)
+        names = pa.array(list(self.codes), pa.string())
+        by_name = pc.sort_indices(names).to_numpy()
+        rank = np.empty(len(names), np.int64)
+        rank[by_name] = np.arange(len(names))
+        order = np.lexsort((place[doc], rank[term]))
+        term, doc, tf = rank[term[order]], place[doc[order]], tf[order].astype(np.int32)
+        # every document under the empty term, which comes first
+        term, doc, tf = np.concatenate([np.full(self.n, -1), term]), np.concatenate([np.arange(self.n), doc]), np.concatenate([np.ones(self.n, np.int32), tf])
+        names = pa.concat_arrays([pa.array([EVERY]), names.take(pa.array(by_name))])
+        starts = np.flatnonzero(np.diff(term, prepend=-2))
+        ends = np.append(starts[1:], len(term))
+        at = 0
+        while at < len(starts):
+            to = max(at + 1, int(np.searchsorted(ends, starts[at] + most, "right")))
+            s, e = starts[at], ends[to - 1]
+            offsets = pa.array(np.append(starts[at:to], e) - s, pa.int32())
+            part = starts[at:to] - s
+            listed = lambda values: pa.ListArray.from_arrays(offsets, values)  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(to - at, self.block, np.int32)), names.slice(at, to - at), listed(docs.take(pa.array(doc[s:e]))), listed(pa.array(tf[s:e])),
+                    listed(pa.array(dl[doc[s:e]])), pa.array((ends - starts)[at:to].astype(np.int32)), pa.array(np.add.reduceat(tf[s:e], part, dtype=np.int64)),
+                    pa.array(np.maximum.reduceat(tf[s:e], part)), pa.array(np.minimum.reduceat(dl[doc[s:e]], part)),
+                ],
+                names=["block", "term", "doc_ids", "tfs", "dls", "n", "occurrences", "max_tf", "min_dl"],
+            )
+            at = to
+
+
+def block_lists(corpus: DataFrame, blocks: int, buckets: int) -> DataFrame:
+    """The rows of ``lists``. Texts move once, by block; each task lists its blocks one after the other.
+
+    A task holds the postings of one block as numbers: 16 bytes each, and the block's terms.
+    """
+    title = F.col("title") if "title" in corpus.columns else None
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
+    texts = corpus.select(block, "doc_id", doc_text(title, F.col("text")).alias("t")).repartition(buckets, "block").sortWithinPartitions("block")
+
+    def listed(batches):
+        current = None
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if s == e:
+                    continue
+                if current is not None and current.block != block[s]:
+                    yield from current.lists()
+                    current = None
+                current = current or _Block(int(block[s]))
+                current.add(batch.column("doc_id").slice(s, e - s), batch.column("tokens").slice(s, e - s))
+        if current is not None:
+            yield from current.lists()
+
+    kind = corpus.schema["doc_id"].dataType.simpleString()
+    schema = f"block int, term string, doc_ids array<{kind}>, tfs array<int>, dls array<int>, n int, occurrences long, max_tf int, min_dl int"
+    return texts.select("block", "doc_id", tokens(F.col("t")).alias("tokens")).mapInArrow(listed, schema)
+
+
+def write_index(corpus: DataFrame, path: str, block_docs: int = BLOCK_DOCS) -> CorpusStats:
+    """Write ``lists`` and ``terms`` of ``corpus(doc_id, [title], text)`` under ``path``: texts are tokenised once.
+
+    The corpus is scanned once more for its row count and fingerprint.
+    """
+    require(corpus, ("doc_id", "text"), "corpus")
+    spark = corpus.sparkSession
+    n_docs, print_ = fingerprint(corpus)
+    wanted = -(-n_docs // block_docs)
+    buckets = min(MAX_BUCKETS, max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    blocks = max(buckets, wanted)
+    write_bucketed(block_lists(corpus, blocks, buckets), f"{path}/lists", "block", buckets)
+    lists = read_bucketed(spark, f"{path}/lists", "block", buckets)
+    words = lists.filter(F.col("term") != EVERY)
+    words.groupBy("term").agg(F.sum("n").cast("long").alias("df"), F.sum("occurrences").alias("occurrences")).write.parquet(f"{path}/terms")
+    # the mean over the whole vocabulary, before negative values are replaced
+    raw = raw_idf(F.lit(n_docs), F.col("df"))
+    mean, n_tokens = spark.read.parquet(f"{path}/terms").agg(F.avg(raw), F.sum("occurrences")).first()
+    return CorpusStats(n_docs, n_tokens or 0, mean or 0.0, blocks, buckets, print_)
 
-    idf = ln(N - df + 0.5) - ln(df + 0.5); a negative idf is replaced by epsilon * mean(idf), the mean
-    being taken over the whole vocabulary before replacement. N comes from a row count of the corpus
-    (no text read); the token total comes from the postings, so the corpus is tokenised once.
 
-    ``materialize=True`` writes postings, terms and stats once to the shared checkpoint folder, so
-    every later search reads the index instead of re-tokenising the corpus.
+def open_index(spark, path: str, constants: CorpusStats, params: BM25Params) -> SparseIndex:
+    return SparseIndex(read_bucketed(spark, f"{path}/lists", "block", constants.buckets), spark.read.parquet(f"{path}/terms"), constants, params)
+
+
+def build_index(corpus: DataFrame, params: BM25Params = BM25Params(), block_docs: int = BLOCK_DOCS) -> SparseIndex:
+    """BM25 index over ``corpus(doc_id, [title], text)``, written once to the shared checkpoint folder.
+
+    idf = ln(N - df + 0.5) - ln(df + 0.5); a negative idf is replaced by epsilon * mean(idf), the mean
+    being taken over the whole vocabulary before replacement. ``index_store.sparse_index`` keeps an index
+    at a path of its own.
     """
-    post = postings(corpus)
-    if materialize:
-        # by document: partial scores of a search are summed, and its best k found, inside a bucket
-        post = materialize_bucketed(post, "doc_id")
-    dfs = post.groupBy("term").agg(F.count(F.lit(1)).cast("long").alias("df"))
-    if materialize:
-        dfs = _materialize(dfs)
-    n_docs = corpus.agg(F.count(F.lit(1)).cast("long")).scalar()
-    avgdl = post.agg(F.sum("tf").cast("double")).scalar() / n_docs
-    # project first, then average a plain column: a scalar subquery may not sit inside an aggregate's
-    # argument when its plan is non-deterministic (e.g. a corpus de-duplicated by read position)
-    mean_idf = dfs.select(raw_idf(n_docs, F.col("df")).alias("raw")).agg(F.avg("raw")).scalar()
-    stats = corpus.sparkSession.range(1).select(
-        n_docs.alias("n_docs"), avgdl.alias("avgdl"), mean_idf.alias("mean_idf")
-    )
-    if materialize:
-        stats = _materialize(stats)
-    n = stats.select("n_docs").scalar()
-    mean = stats.select("mean_idf").scalar()
-    raw = raw_idf(n, F.col("df"))
-    terms = dfs.select(
-        "term", "df", F.when(raw < 0, F.lit(params.epsilon) * mean).otherwise(raw).alias("idf")
-    )
-    return SparseIndex(post, terms, stats, params, docs=corpus.select("doc_id"))
+    spark = corpus.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    return open_index(spark, path, write_index(corpus, path, block_docs), params)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -128,40 +265,104 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def _term_hits(index: SparseIndex, queries: DataFrame, docs: DataFrame | None = None) -> DataFrame:
-    """``(query_id, doc_id, contrib)``: one row per matching (query term, posting), of ``docs(doc_id)`` only if given.
-
-    Whether the query terms are broadcast is left to the planner, which goes by bytes.
-    """
-    p = index.params
-    qti = query_terms(queries).join(index.terms.select("term", "idf"), "term")  # unknown terms drop out here
-    keys = ["term"]
-    post = index.postings if docs is None else index.postings.join(docs, "doc_id", "left_semi")
-    if index.term_buckets:
-        # Stored index: postings are partitioned by term_bucket. The buckets the query terms fall in
-        # (at most term_buckets small ints, from a scalar subquery) become a partition filter, so
-        # the scan lists and reads only those folders.
-        qti = qti.withColumn("term_bucket", term_bucket_of(F.col("term"), index.term_buckets))
-        wanted = qti.agg(F.collect_set("term_bucket")).scalar()
-        post = post.filter(F.array_contains(wanted, F.col("term_bucket")))
-        keys = ["term_bucket", "term"]
-    avgdl = index.scalar("avgdl")
-    tf = F.col("tf").cast("double")
-    norm = F.lit(p.k1) * (F.lit(1.0 - p.b) + F.lit(p.b) * F.col("dl") / avgdl)
-    contrib = F.col("qtf") * F.col("idf") * tf * F.lit(p.k1 + 1.0) / (tf + norm)
-    return post.join(qti, keys).select("query_id", "doc_id", contrib.alias("contrib"))
+def weighted_terms(index: SparseIndex, queries: DataFrame) -> DataFrame:
+    """``(query_id, term, w)`` with w = times in the query x idf; terms that the index lacks drop out."""
+    known = query_terms(queries).join(index.terms.select("term", "idf"), "term")
+    return known.select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
 
 
-def scores(index: SparseIndex, queries: DataFrame) -> DataFrame:
-    """BM25 score of every document sharing at least one term with the query.
+def _ranked_in_block(k: int, params: BM25Params, avgdl: float):
+    """Best k documents of a block for each query that asks for one of its terms.
 
-    Rounded to 12 places, so that sums taken in another order (another plan) give the same scores.
+    Lists are read in order of what they can add at most, large ones first. Once what is left can't
+    lift an unseen document to the k-th score so far, the remaining (common) terms are looked up for
+    those documents only that can still reach it.
     """
-    return (
-        _term_hits(index, queries)
-        .groupBy("query_id", "doc_id")
-        .agg(F.round(F.sum("contrib"), SCORE_DIGITS).alias("score"))
-    )
+    slack = 10.0**-RANK_DIGITS
+
+    def rank(table: pa.Table) -> pa.Table:
+        column = lambda name: table.column(name).combine_chunks()
+        lists, asked = column("doc_ids"), column("asked")
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+        starts = np.concatenate([[0], ends[:-1]])
+        coded = pc.list_flatten(lists).dictionary_encode()
+        order = pc.sort_indices(coded.dictionary)
+        docs = coded.dictionary.take(order)
+        place = np.empty(len(docs), np.int64)
+        place[order.to_numpy()] = np.arange(len(docs))
+        doc = place[coded.indices.to_numpy(zero_copy_only=False)]
+        tf = pc.list_flatten(column("tfs")).to_numpy().astype(np.float64)
+        dl = pc.list_flatten(column("dls")).to_numpy()
+        impact = lambda tf, dl: tf * (params.k1 + 1.0) / (tf + params.k1 * (1.0 - params.b + params.b * dl / avgdl))
+        adds = impact(tf, dl)
+        most = impact(column("max_tf").to_numpy().astype(np.float64), column("min_dl").to_numpy())
+        pairs = pc.list_flatten(asked)
+        query = pc.struct_field(pairs, "query_id").dictionary_encode()
+        weight = pc.struct_field(pairs, "w").to_numpy()
+        of_list = np.repeat(np.arange(len(lists)), pc.list_value_length(asked).to_numpy(zero_copy_only=False))
+        which = query.indices.to_numpy(zero_copy_only=False)
+        by_query = np.argsort(which, kind="stable")
+        cuts = np.searchsorted(which[by_query], np.arange(len(query.dictionary) + 1))
+        out_query, out_doc, out_score = [], [], []
+        for q in range(len(query.dictionary)):
+            rows = by_query[cuts[q] : cuts[q + 1]]
+            bound = weight[rows] * most[of_list[rows]]
+            # negative weights first, in full: what is left then only adds
+            rows, bound = (x[np.lexsort((-bound, weight[rows] >= 0))] for x in (rows, bound))
+            left = np.concatenate([np.cumsum(np.maximum(bound, 0.0)[::-1])[::-1], [0.0]])
+            score, seen, kth, at, check = np.zeros(len(docs)), np.zeros(len(docs), bool), -np.inf, 0, 1
+            while at < len(rows) and (left[at] >= kth - slack or weight[rows[at]] < 0):
+                s, e = starts[of_list[rows[at]]], ends[of_list[rows[at]]]
+                score[doc[s:e]] += weight[rows[at]] * adds[s:e]
+                seen[doc[s:e]] = True
+                at += 1
+                if at == check and at < len(rows) and weight[rows[at]] >= 0:
+                    check = min(2 * at, at + 16)
+                    so_far = score[seen]
+                    kth = np.partition(so_far, len(so_far) - k)[len(so_far) - k] if len(so_far) >= k else -np.inf
+            found = np.flatnonzero(seen & (score + left[at] >= kth - slack))
+            total = score[found]
+            for n, at in enumerate(range(at, len(rows))):
+                s, e = starts[of_list[rows[at]]], ends[of_list[rows[at]]]
+                own = doc[s:e]
+                hit = np.minimum(np.searchsorted(own, found), len(own) - 1)
+                ok = own[hit] == found
+                total[ok] += weight[rows[at]] * adds[s:e][hit[ok]]
+                if n % 8 == 7:
+                    kth = max(kth, np.partition(total, len(total) - k)[len(total) - k])
+                    keep = total + left[at + 1] >= kth - slack
+                    found, total = found[keep], total[keep]
+            best = np.lexsort((found, -np.round(total, RANK_DIGITS)))[:k]
+            out_query.append(np.full(len(best), q))
+            out_doc.append(found[best])
+            out_score.append(total[best])
+        take = lambda values, parts: values.take(pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
+        return pa.table({"query_id": take(query.dictionary, out_query), "doc_id": take(docs, out_doc), "score": np.concatenate([np.zeros(0), *out_score])})
+
+    return rank
+
+
+def block_candidates(index: SparseIndex, queries: DataFrame, k: int, pass_terms: int = PASS_TERMS) -> DataFrame:
+    """``(query_id, doc_id, score)``: the best k documents of every block for each query.
+
+    The query terms are counted; up to ``pass_terms`` rows are broadcast to the posting lists, more
+    queries are dealt to several passes over the index. Lists stay where their bucket is read: nothing is
+    shuffled by term, nor by (query, document).
+    """
+    asked = materialize(weighted_terms(index, queries))
+    n = asked.count()
+    passes = max(1, -(-n // pass_terms))
+    types = {f.name: f.dataType.simpleString() for f in asked.select("query_id").schema.fields}
+    doc_type = index.lists.schema["doc_ids"].dataType.elementType.simpleString()
+    rank = _ranked_in_block(k, index.params, index.constants.avgdl)
+    out = None
+    for i in range(passes):
+        own = asked if passes == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
+        by_term = own.groupBy("term").agg(F.collect_list(F.struct("query_id", "w")).alias("asked"))
+        hits = index.lists.join(F.broadcast(by_term), "term").select("block", "doc_ids", "tfs", "dls", "max_tf", "min_dl", "asked")
+        part = hits.groupBy("block").applyInArrow(rank, f"query_id {types['query_id']}, doc_id {doc_type}, score double")
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("score", F.round("score", SCORE_DIGITS))
 
 
 def search(
@@ -170,26 +371,22 @@ def search(
     k: int = 10,
     expert: str | None = "sparse",
     pad: bool = False,
+    pass_terms: int = PASS_TERMS,
 ) -> DataFrame:
-    """Top-k BM25 run ``(query_id, [expert], doc_id, rank, score)``; ties: doc_id ascending.
+    """Top-k BM25 run ``(query_id, [expert], doc_id, rank, score)``, exact; ties: doc_id ascending.
 
     By default only documents with at least one matching term are returned. ``pad=True`` fills a
-    short list with score-0 documents in ascending id order, as a scan over all scores would: when
-    a query has fewer than k hits, the 2k smallest ids hold at least k non-hits, so they are the only
-    candidates (one array from a scalar subquery, exploded per query — no join of all pairs).
+    short list with score-0 documents in ascending id order, as a scan over all scores would: the 2k
+    smallest ids are scored for every query and ranked with the others.
     """
-    hits = scores(index, queries)
+    found = block_candidates(index, queries, k, pass_terms)
     if pad:
-        known = index.docs if index.docs is not None else index.postings.select("doc_id")
-        ids = known.distinct().orderBy("doc_id").limit(2 * k)
-        cand = ids.agg(F.collect_list("doc_id")).scalar()
-        zero = (
-            queries.select("query_id", F.explode(cand).alias("doc_id"))
-            .join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-            .withColumn("score", F.lit(0.0))
-        )
-        hits = hits.unionByName(zero)
-    ranked = top_k(hits, k)
+        ids = index.docs.select("doc_id").distinct().orderBy("doc_id").limit(2 * k)
+        smallest = ids.agg(F.collect_list("doc_id")).scalar()
+        pairs = queries.select("query_id", F.explode(smallest).alias("doc_id"))
+        scored = score_pairs(index, queries, pairs).select("query_id", "doc_id", F.round("score", SCORE_DIGITS).alias("score"))
+        found = found.unionByName(scored).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    ranked = top_k(found, k)
     cols = ["query_id", "doc_id", "rank", "score"]
     if expert is not None:
         ranked = ranked.withColumn("expert", F.lit(expert))
@@ -197,15 +394,19 @@ def search(
     return ranked.select(*cols)
 
 
-def score_pairs(
-    index: SparseIndex,
-    queries: DataFrame,
-    pairs: DataFrame,
-) -> DataFrame:
-    """BM25 score of given ``pairs(query_id, doc_id)``; unknown documents and no-match pairs score 0.0."""
+def score_pairs(index: SparseIndex, queries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """BM25 score of given ``pairs(query_id, doc_id)``; unknown documents and no-match pairs score 0.0.
+
+    Postings are cut to the documents of the pairs before they meet the query terms.
+    """
     require(pairs, ("query_id", "doc_id"), "pairs")
-    wanted = queries.join(pairs.select("query_id").distinct(), "query_id", "left_semi")
-    hits = _term_hits(index, wanted, pairs.select("doc_id").distinct()).join(
+    p, avgdl = index.params, index.constants.avgdl
+    wanted = weighted_terms(index, queries.join(pairs.select("query_id").distinct(), "query_id", "left_semi"))
+    post = index.postings.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    tf = F.col("tf").cast("double")
+    norm = F.lit(p.k1) * (F.lit(1.0 - p.b) + F.lit(p.b) * F.col("dl") / F.lit(avgdl))
+    contrib = F.col("w") * tf * F.lit(p.k1 + 1.0) / (tf + norm)
+    hits = post.join(wanted, "term").select("query_id", "doc_id", contrib.alias("contrib")).join(
         pairs.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi"
     )
     s = hits.groupBy("query_id", "doc_id").agg(F.sum("contrib").alias("score"))

@@ -41,12 +41,12 @@ def r6(c: str, alias: str | None = None):
 # ---------------------------------------------------------------- shared building blocks
 
 def _index(spark, sf_dir):
-    return sparse.build_index(td.corpus(spark, sf_dir), materialize=True)
+    return sparse.build_index(td.corpus(spark, sf_dir))
 
 
 def _qrels(spark, sf_dir, index=None):
     corpus = td.corpus(spark, sf_dir)
-    index = index or sparse.build_index(corpus, materialize=True)
+    index = index or sparse.build_index(corpus)
     m = judgments.containing_documents(corpus, td.queries(spark, sf_dir), index)
     return judgments.graded_qrels(m, td.labels(spark, sf_dir))
 
@@ -156,7 +156,7 @@ FROM qrels r LEFT JOIN bm25 s ON s.query_id = r.query_id AND s.doc_id = r.doc_id
 )
 def bm25_pairs(spark, sf_dir):
     corpus = td.corpus(spark, sf_dir)
-    idx = sparse.build_index(corpus, materialize=True)
+    idx = sparse.build_index(corpus)
     pairs = _qrels(spark, sf_dir, idx).select("query_id", "doc_id")
     out = sparse.score_pairs(idx, td.queries(spark, sf_dir), pairs)
     return out.select("query_id", "doc_id", r6("score"))
@@ -219,7 +219,7 @@ class Inputs:
 
     @property
     def index(self):
-        return self._get("index", lambda: sparse.build_index(self.corpus, materialize=True))
+        return self._get("index", lambda: sparse.build_index(self.corpus))
 
     @property
     def sparse_run(self):
@@ -228,18 +228,7 @@ class Inputs:
     @property
     def dense_run(self):
         def build():
-            if "index" in self._cache:  # reuse the materialised postings: no second tokenisation
-                docs = embed.embed_postings(self.index.postings, self.index.terms, self.corpus.select("doc_id"), DIM)
-            else:
-                docs = embed.embed_corpus(self.corpus, DIM)
-            run = dense.knn(
-                embed.embed_queries(self.queries, DIM),
-                docs,
-                k=K,
-                expert="dense",
-                n_queries=self.queries.count(),
-                n_docs=self.corpus.count(),
-            )
+            run = dense.knn(embed.embed_queries(self.queries, DIM), embed.embed_corpus(self.corpus, DIM), k=K, expert="dense")
             return materialize(run)
 
         return self._get("dense", build)
@@ -305,6 +294,17 @@ def dense_hashed_topk(spark, sf_dir):
     return run.select("query_id", "doc_id", F.col("rank").cast("int"), r6("score"))
 
 
+@register(
+    "dense_hashed_topk_pruned",
+    "WITH" + SQL_DENSE_CTE + "SELECT query_id, doc_id, rank::INTEGER AS rank, round(score, 6) AS score FROM dense_run",
+)
+def dense_hashed_topk_pruned(spark, sf_dir):
+    """The same run through cells and bounds."""
+    i = Inputs(spark, sf_dir)
+    run = dense.knn_pruned(embed.embed_queries(i.queries, DIM), embed.embed_corpus(i.corpus, DIM), k=K, expert=None, centres=32)
+    return run.select("query_id", "doc_id", F.col("rank").cast("int"), r6("score"))
+
+
 @register(
     "dense_pairs",
     "WITH"

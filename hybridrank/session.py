@@ -61,15 +61,21 @@ def materialize(df):
     return spark.read.schema(df.schema).parquet(path)
 
 
-def materialize_bucketed(df, key: str):
-    """As :func:`materialize`, in one bucket of ``key`` per shuffle partition.
+def write_bucketed(df, path: str, key: str, buckets: int) -> None:
+    """Write ``df`` as Parquet at ``path``, a file per bucket of ``key`` when it is partitioned by it.
 
-    Aggregations and joins on ``key`` (and on more columns besides) read the buckets without a
-    shuffle. The bucket count travels in the session's catalog, under a name of its own.
+    The bucketing goes through a table name of its own, which is dropped again; the files stay.
     """
-    spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")
+
+
+def read_bucketed(spark: SparkSession, path: str, key: str, buckets: int):
+    """Files of :func:`write_bucketed` as a DataFrame that needs no shuffle to group by ``key``."""
     name = f"bucketed_{uuid.uuid4().hex}"
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
-    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
-    return spark.table(name)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'")
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the DataFrame keeps the files and their bucketing
+    return table

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import os
+import time
+import uuid
+from dataclasses import asdict
 
 from pyspark.ml.classification import LogisticRegressionModel, MultilayerPerceptronClassificationModel
 from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..operators.sparse import BM25Params, SparseIndex, build_index, term_bucket_of
-
-from .paths import path_exists
-
-DEFAULT_TERM_BUCKETS = 256
+from ..operators import sparse
+from ..operators.sparse import BM25Params, CorpusStats, SparseIndex
+from .paths import delete, folders, path_exists
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -21,55 +22,68 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return path_exists(spark, path.rstrip("/") + "/_SUCCESS")
 
 
-def save_sparse_index(index: SparseIndex, path: str, mode: str = "errorifexists", partitions: int | None = None,
-                      term_buckets: int = DEFAULT_TERM_BUCKETS) -> None:
-    """Write the index as Parquet.
+class IndexMismatch(ValueError):
+    """A stored index belongs to another corpus or other BM25 constants."""
+
+
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str, dict]]:
+    """Completed versions of a stored index, oldest first: when, folder, manifest."""
+    out = []
+    for folder in folders(spark, f"{path.rstrip('/')}/versions"):
+        if _exists(spark, f"{folder}/manifest"):
+            manifest = json.loads(spark.read.text(f"{folder}/manifest").first()[0])
+            out.append((manifest["created"], folder, manifest))
+    return sorted(out, key=lambda v: v[:2])
+
 
-    ``postings`` carry ``term_bucket = pmod(xxhash64(term), term_buckets)`` as a directory
-    partition: a search joins on (term_bucket, term) against the broadcast query terms, and dynamic
-    partition pruning skips every bucket no query term falls in. Inside, rows are range-partitioned
-    on (term_bucket, term, doc_id) — so a very frequent term is split over several writer tasks
-    instead of one — and sorted, so Parquet min/max statistics narrow a term to few row groups.
+def save_sparse_index(corpus: DataFrame, path: str, params: BM25Params = BM25Params()) -> SparseIndex:
+    """Build an index of ``corpus`` as a new version under ``path`` and open it.
+
+    The version's manifest is written last and is what makes it count: a build that is interrupted, or
+    runs beside another, leaves the earlier version as it is. Of several the newest is read.
     """
-    post = index.postings.withColumn("term_bucket", term_bucket_of(F.col("term"), term_buckets))
-    keys = ["term_bucket", "term", "doc_id"]
-    post = post.repartitionByRange(partitions, *keys) if partitions else post.repartitionByRange(*keys)
-    post.sortWithinPartitions(*keys).write.mode(mode).partitionBy("term_bucket").parquet(os.path.join(path, "postings"))
-    index.terms.write.mode(mode).parquet(os.path.join(path, "terms"))
-    p = index.params
-    stats = index.stats.select(
-        "*",
-        F.lit(float(p.k1)).alias("k1"),
-        F.lit(float(p.b)).alias("b"),
-        F.lit(float(p.epsilon)).alias("epsilon"),
-        F.lit(int(term_buckets)).alias("term_buckets"),
-    )
-    stats.coalesce(1).write.mode(mode).parquet(os.path.join(path, "stats"))
+    spark = corpus.sparkSession
+    folder = f"{path.rstrip('/')}/versions/{uuid.uuid4().hex}"
+    constants = sparse.write_index(corpus, folder)
+    manifest = {"created": time.time_ns(), "constants": asdict(constants), "params": asdict(params)}
+    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.text(f"{folder}/manifest")
+    return sparse.open_index(spark, folder, constants, params)
 
 
 def load_sparse_index(spark: SparkSession, path: str) -> SparseIndex:
-    stats = spark.read.parquet(os.path.join(path, "stats"))
-    row = stats.select("k1", "b", "epsilon", "term_buckets").first()  # constants of the stored index
-    return SparseIndex(
-        spark.read.parquet(os.path.join(path, "postings")),
-        spark.read.parquet(os.path.join(path, "terms")),
-        stats.drop("k1", "b", "epsilon", "term_buckets"),
-        BM25Params(float(row.k1), float(row.b), float(row.epsilon)),
-        term_buckets=int(row.term_buckets),
-    )
+    """The newest completed version under ``path``."""
+    versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(f"{path} holds no completed index")
+    _, folder, manifest = versions[-1]
+    return sparse.open_index(spark, folder, CorpusStats(**manifest["constants"]), BM25Params(**manifest["params"]))
 
 
 def sparse_index(corpus: DataFrame, path: str | None = None, force: bool = False, save: bool = True,
-                 params: BM25Params = BM25Params()) -> SparseIndex:
-    """Build-or-load: reuse a stored index at ``path`` unless ``force``; otherwise build (and save)."""
+                 params: BM25Params = BM25Params(), verify: bool = True) -> SparseIndex:
+    """Build-or-load: reuse a stored index at ``path`` unless ``force``; otherwise build (and save).
+
+    A stored index of other BM25 constants raises, and so does one of another corpus: its fingerprint is
+    compared, one scan of the corpus without a shuffle. ``verify=False`` leaves that scan out.
+    """
     spark = corpus.sparkSession
-    if path and not force and _exists(spark, os.path.join(path, "stats")):
-        return load_sparse_index(spark, path)
-    idx = build_index(corpus, params, materialize=not (path and save))
-    if path and save:
-        save_sparse_index(idx, path, mode="overwrite" if force else "errorifexists")
-        return load_sparse_index(spark, path)
-    return idx
+    if path and not force and _versions(spark, path):
+        index = load_sparse_index(spark, path)
+        if index.params != params:
+            raise IndexMismatch(f"the index at {path} has {index.params}, not {params}")
+        if verify and sparse.fingerprint(corpus)[1] != index.constants.fingerprint:
+            raise IndexMismatch(f"the index at {path} is of another corpus")
+        return index
+    return save_sparse_index(corpus, path, params) if path and save else sparse.build_index(corpus, params)
+
+
+def drop_old_versions(spark: SparkSession, path: str) -> int:
+    """Delete all versions but the newest completed one (nobody may be reading or writing them); how many."""
+    versions = _versions(spark, path)
+    old = [f for f in folders(spark, f"{path.rstrip('/')}/versions") if versions and f != versions[-1][1]]
+    for folder in old:
+        delete(spark, folder)
+    return len(old)
 
 
 def save_vectors(vectors: DataFrame, path: str, mode: str = "errorifexists") -> None:

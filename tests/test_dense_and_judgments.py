@@ -22,8 +22,8 @@ def brute_knn(ids, mat, k, exclude_self):
     return out
 
 
-@pytest.mark.parametrize("blocks", [(50_000, 20_000), (37, 11)])
-def test_knn_matches_brute_force(spark, sf_small, blocks):
+@pytest.mark.parametrize("sizes", [{}, {"pass_queries": 200, "tile": 37, "chunk": 7}])
+def test_knn_matches_brute_force(spark, sf_small, sizes):
     v = td.vectors(spark, sf_small)
     rows = v.orderBy("id").collect()
     ids = [r.id for r in rows]
@@ -33,9 +33,7 @@ def test_knn_matches_brute_force(spark, sf_small, blocks):
         v.select(F.col("id").alias("doc_id"), "embedding"),
         k=5,
         exclude_self=True,
-        corpus_block_rows=blocks[0],
-        query_block_rows=blocks[1],
-        query_chunk=7,
+        **sizes,
     ).collect()
     got = {}
     for r in sorted(run, key=lambda r: (r.query_id, r["rank"])):
