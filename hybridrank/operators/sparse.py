@@ -55,6 +55,7 @@ class CorpusStats:
     blocks: int
     buckets: int
     fingerprint: str
+    id_type: str
 
     @property
     def avgdl(self) -> float:
@@ -133,6 +134,14 @@ def fingerprint(corpus: DataFrame) -> tuple[int, str]:
     return n, f"{n}-{int(total or 0) % 2**64:016x}"
 
 
+def id_type(corpus: DataFrame) -> str:
+    return corpus.schema["doc_id"].dataType.simpleString()
+
+
+def lists_schema(kind: str) -> str:
+    return f"block int, term string, doc_ids array<{kind}>, tfs array<int>, dls array<int>, n int, occurrences bigint, max_tf int, min_dl int"
+
+
 class _Block:
     """Postings of one block, gathered batch by batch: numbers of terms and documents, not strings."""
 
@@ -213,9 +222,7 @@ def block_lists(corpus: DataFrame, blocks: int, buckets: int) -> DataFrame:
         if current is not None:
             yield from current.lists()
 
-    kind = corpus.schema["doc_id"].dataType.simpleString()
-    schema = f"block int, term string, doc_ids array<{kind}>, tfs array<int>, dls array<int>, n int, occurrences long, max_tf int, min_dl int"
-    return texts.select("block", "doc_id", tokens(F.col("t")).alias("tokens")).mapInArrow(listed, schema)
+    return texts.select("block", "doc_id", tokens(F.col("t")).alias("tokens")).mapInArrow(listed, lists_schema(id_type(corpus)))
 
 
 def write_index(corpus: DataFrame, path: str, block_docs: int = BLOCK_DOCS) -> CorpusStats:
@@ -230,17 +237,17 @@ def write_index(corpus: DataFrame, path: str, block_docs: int = BLOCK_DOCS) -> C
     buckets = min(MAX_BUCKETS, max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     blocks = max(buckets, wanted)
     write_bucketed(block_lists(corpus, blocks, buckets), f"{path}/lists", "block", buckets)
-    lists = read_bucketed(spark, f"{path}/lists", "block", buckets)
+    lists = read_bucketed(spark, f"{path}/lists", lists_schema(id_type(corpus)), "block", buckets)
     words = lists.filter(F.col("term") != EVERY)
     words.groupBy("term").agg(F.sum("n").cast("long").alias("df"), F.sum("occurrences").alias("occurrences")).write.parquet(f"{path}/terms")
     # the mean over the whole vocabulary, before negative values are replaced
     raw = raw_idf(F.lit(n_docs), F.col("df"))
     mean, n_tokens = spark.read.parquet(f"{path}/terms").agg(F.avg(raw), F.sum("occurrences")).first()
-    return CorpusStats(n_docs, n_tokens or 0, mean or 0.0, blocks, buckets, print_)
+    return CorpusStats(n_docs, n_tokens or 0, mean or 0.0, blocks, buckets, print_, id_type(corpus))
 
 
 def open_index(spark, path: str, constants: CorpusStats, params: BM25Params) -> SparseIndex:
-    return SparseIndex(read_bucketed(spark, f"{path}/lists", "block", constants.buckets), spark.read.parquet(f"{path}/terms"), constants, params)
+    return SparseIndex(read_bucketed(spark, f"{path}/lists", lists_schema(constants.id_type), "block", constants.buckets), spark.read.parquet(f"{path}/terms"), constants, params)
 
 
 def build_index(corpus: DataFrame, params: BM25Params = BM25Params(), block_docs: int = BLOCK_DOCS) -> SparseIndex:

@@ -71,10 +71,9 @@ def write_bucketed(df, path: str, key: str, buckets: int) -> None:
     spark.sql(f"DROP TABLE {name}")
 
 
-def read_bucketed(spark: SparkSession, path: str, key: str, buckets: int):
+def read_bucketed(spark: SparkSession, path: str, columns: str, key: str, buckets: int):
     """Files of :func:`write_bucketed` as a DataFrame that needs no shuffle to group by ``key``."""
     name = f"bucketed_{uuid.uuid4().hex}"
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
     spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'")
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the DataFrame keeps the files and their bucketing
