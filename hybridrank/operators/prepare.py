@@ -72,7 +72,17 @@ def smallest_by_hash(df: DataFrame, n: Column | int, h: Column, tie: str, group:
 
 def split_exact(df: DataFrame, fraction: float = 0.8, seed: int = 42, key: str = "query_id") -> tuple[DataFrame, DataFrame]:
     """(train, test) with exactly ``round(fraction · n)`` train rows, chosen by hash order."""
-    n_train = F.round(df.agg(F.count(F.lit(1))).scalar() * F.lit(fraction)).cast("long")
+    n = df.agg(F.count(F.lit(1))).scalar()
+    return _split_at(df, F.round(n * F.lit(fraction)).cast("long"), seed, key)
+
+
+def split_validation(df: DataFrame, fraction: float = 0.1, seed: int = 42, key: str = "query_id") -> tuple[DataFrame, DataFrame]:
+    """(train, validation) with exactly ``fraction · n``, cut to a whole number, validation rows."""
+    n = df.agg(F.count(F.lit(1))).scalar()
+    return _split_at(df, n - F.floor(n * F.lit(fraction)).cast("long"), seed, key)
+
+
+def _split_at(df: DataFrame, n_train: Column, seed: int, key: str) -> tuple[DataFrame, DataFrame]:
     train = smallest_by_hash(df, n_train, split_hash(seed, key), key)
     test = df.join(train.select(key), key, "left_anti")
     return train, test

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Scores are compared after rounding so that float sums taken in a different order
 # (different partitioning, different engine) rank identically.
 RANK_DIGITS = 9
@@ -51,3 +53,17 @@ def rank_matrix(runs: DataFrame, experts: Sequence[str], k: int | None = None, s
         wide = wide.withColumnRenamed(e, f"{e}_rank")
     wide = wide.fillna(0, subset=[f"{e}_rank" for e in experts])
     return wide.orderBy("query_id", "doc_id") if sort else wide
+
+
+def with_position(df: DataFrame, order: Sequence[str], position: str = "position") -> DataFrame:
+    """``df`` with each row's place, from 0, in the order of ``order`` columns (which should tell rows apart).
+
+    A range exchange deals the rows to tasks in order and each task numbers its own; the rows before a
+    task's first come from a count per task, the only thing that is put in one place.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = df.repartitionByRange(n, *order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("_at"), F.struct(*df.columns).alias("_row"))
+    part, own = F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_own")
+    placed = materialize(at.select(part, own, "_row"))
+    before = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").select((F.col("_before") + F.col("_own")).alias(position), "_row.*")  # a row per task

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import require
+from . import soft_router
 
 # numpy.isclose defaults (fixed values)
 RTOL = 1e-5
@@ -115,6 +116,8 @@ def predict(model: LogisticRegressionModel, df: DataFrame, experts: Sequence[str
     """Long ``(query_id, expert, weight)``; weights of a query sum to 1."""
     if model.numClasses != len(experts):
         raise ValueError(f"the router has {model.numClasses} outputs for {len(experts)} experts")
+    if isinstance(model, soft_router.SoftRouter):
+        return soft_router.predict(model, df, experts, features)
     names = F.array(*[F.lit(e) for e in experts])
     scored = model.transform(df.select("query_id", array_to_vector(F.col(features)).alias("features")))
     return scored.select("query_id", F.posexplode(vector_to_array("probability")).alias("pos", "weight")).select(
@@ -191,14 +194,29 @@ def select_model(
     norm: str = "l1",
     reg_params: Sequence[float] = (1e-4, 1e-3, 1e-2, 1e-1),
     max_iter: int = 100,
-) -> tuple[LogisticRegressionModel, float]:
-    """Fit one model per ``reg_param`` (each fit distributed) and keep the lowest validation KL."""
-    best, best_loss = None, float("inf")
-    for rp in reg_params:
-        m = fit(train, experts, norm, rp, max_iter)
+    patience: int = 2,
+    hidden: Sequence[int] | None = None,
+):
+    """``(model, history)``: the model of the lowest validation KL along a path of penalties, strongest first.
+
+    The path ends when ``patience`` penalties in a row have not improved the loss. ``history`` has a row
+    per penalty tried: ``reg_param, val_loss``; with ``hidden`` layers (which start from the model before)
+    also its ``steps``.
+    """
+    best, best_loss, since, history, last = None, float("inf"), 0, [], None
+    for rp in sorted(reg_params, reverse=True):
+        if hidden:
+            m = last = soft_router.fit(train, validation, experts, norm, hidden, rp, max_iter, start=last)
+        else:
+            m = fit(train, experts, norm, rp, max_iter)
         ev = evaluate(predict(m, validation, experts), validation, experts, norm)
         loss = ev.agg(F.avg("kl")).first()[0]
         loss = float("inf") if loss is None else loss
+        history.append({"reg_param": rp, "val_loss": loss, **({"steps": m.history} if hidden else {})})
         if best is None or loss < best_loss:
-            best, best_loss = m, loss
-    return best, best_loss
+            best, best_loss, since = m, loss, 0
+        else:
+            since += 1
+            if since >= patience:
+                break
+    return best, history

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dense, embed, fusion, judgments, labels, metrics, prepare, ranking, router, sparse
+from ..operators import dense, embed, fusion, judgments, labels, metrics, prepare, ranking, router, soft_router, sparse
 from ..session import materialize
 from ..sources import readers
 from ..sources import testdata as td
@@ -617,7 +617,7 @@ def _router_data(spark, sf_dir):
     corpus, queries, judged, runs, sr, dr, q = _label_inputs(spark, sf_dir)
     table = prepare.clean(labels.score_table(runs, q, queries, EXPERTS, K), EXPERTS)
     feats = embed.embed_queries(queries, DIM).withColumnRenamed("embedding", "features")
-    data = table.join(feats, "query_id")
+    data = materialize(table.join(feats, "query_id"))  # every step of a fit reads it
     return data, queries, judged, runs, sr, dr, q
 
 
@@ -884,6 +884,85 @@ def router_fit_mean(spark, sf_dir):
     return w.select(*[F.round(F.col("w")[i], 3).alias(e) for i, e in enumerate(EXPERTS)])
 
 
+# A router of one hidden layer with given weights (2 features, 2 hidden units, 2 experts).
+HIDDEN_WEIGHTS = (((0.5, -0.5), (-0.25, 0.75)), ((0.75, -0.5), (-0.25, 0.5)))
+HIDDEN_BIASES = ((0.125, -0.25), (0.25, -0.125))
+
+
+def _sql_layer(layer: int, out: int, inputs: tuple[str, str]) -> str:
+    w, b = HIDDEN_WEIGHTS[layer], HIDDEN_BIASES[layer]
+    return f"({w[0][out]}::DOUBLE * {inputs[0]} + {w[1][out]}::DOUBLE * {inputs[1]} + {b[out]}::DOUBLE)"
+
+
+def _sql_gradient() -> str:
+    """Mean gradient in the order of the parameters: weights row by row, then biases, layer after layer."""
+    cells = [f"avg(f{i} * d{j})" for i in range(2) for j in range(2)] + [f"avg(d{j})" for j in range(2)]
+    cells += [f"avg(h{i} * e{j})" for i in range(2) for j in range(2)] + [f"avg(e{j})" for j in range(2)]
+    return " UNION ALL ".join(f"SELECT {n}::INTEGER AS parameter, round({c}, 6) AS gradient FROM back" for n, c in enumerate(cells))
+
+
+SQL_HIDDEN = SQL_FIXED.split("pred AS (")[0] + f"""
+hid AS (SELECT *, greatest({_sql_layer(0, 0, ('f0', 'f1'))}, 0) AS h0, greatest({_sql_layer(0, 1, ('f0', 'f1'))}, 0) AS h1 FROM feats),
+logit AS (SELECT *, exp({_sql_layer(1, 0, ('h0', 'h1'))}) AS x0, exp({_sql_layer(1, 1, ('h0', 'h1'))}) AS x1 FROM hid),
+net AS (SELECT *, x0 / (x0 + x1) AS p0, x1 / (x0 + x1) AS p1 FROM logit),
+err AS (SELECT *, p0 * (sparse_l1 + dense_l1) - sparse_l1 AS e0, p1 * (sparse_l1 + dense_l1) - dense_l1 AS e1 FROM net),
+back AS (SELECT *, (CASE WHEN h0 > 0 THEN {HIDDEN_WEIGHTS[1][0][0]} * e0 + {HIDDEN_WEIGHTS[1][0][1]} * e1 ELSE 0 END)::DOUBLE AS d0,
+         (CASE WHEN h1 > 0 THEN {HIDDEN_WEIGHTS[1][1][0]} * e0 + {HIDDEN_WEIGHTS[1][1][1]} * e1 ELSE 0 END)::DOUBLE AS d1 FROM err)
+"""
+
+
+def _hidden_inputs(spark, sf_dir):
+    import numpy as np
+
+    t = _labelled_clean(spark, sf_dir)
+    feats = t.withColumn("features", F.array(*[(F.length("query") % m).cast("double") for m in (3, 4)]))
+    return feats, soft_router.SoftRouter([np.array(w) for w in HIDDEN_WEIGHTS], [np.array(b) for b in HIDDEN_BIASES])
+
+
+@register("soft_router_predict_fixed", SQL_HIDDEN + "SELECT query_id, round(p0, 6) AS sparse, round(p1, 6) AS dense FROM net")
+def soft_router_predict_fixed(spark, sf_dir):
+    """Weights of a hidden-layer router with given layers."""
+    feats, model = _hidden_inputs(spark, sf_dir)
+    wide = router.wide_weights(router.predict(model, feats, EXPERTS), EXPERTS)
+    return wide.select("query_id", *[F.round(F.col("w")[i], 6).alias(e) for i, e in enumerate(EXPERTS)])
+
+
+@register("soft_router_gradient_fixed", SQL_HIDDEN + _sql_gradient())
+def soft_router_gradient_fixed(spark, sf_dir):
+    """The mean gradient of its KL loss on the soft labels, a row per parameter."""
+    feats, model = _hidden_inputs(spark, sf_dir)
+    data = soft_router.training_table(feats, EXPERTS, "l1", False)
+    _, n, _, _, g = soft_router.sums(data, model.flat(), model.sizes)
+    return spark.createDataFrame([(i, float(v) / n) for i, v in enumerate(g)], "parameter int, gradient double").select("parameter", r6("gradient"))
+
+
+# A router over the hashed features whose weights depend on one dimension, so that SQL can route too.
+SQL_ROUTED = SQL_ALL_CTE + """,
+rf AS (SELECT j.query_id, coalesce(h.value, 0.0) AS x FROM judged j LEFT JOIN hq h ON h.id = j.query_id AND h.dim = 0),
+rw AS (SELECT query_id, 'sparse' AS expert, exp(4 * x + 0.5) / (exp(4 * x + 0.5) + exp(-2 * x)) AS weight FROM rf
+       UNION ALL SELECT query_id, 'dense', exp(-2 * x) / (exp(4 * x + 0.5) + exp(-2 * x)) FROM rf),
+rscored AS (
+  SELECT r.query_id, r.doc_id, sum(w.weight / r.rank) AS score, min(CASE WHEN r.expert = 'sparse' THEN 0 ELSE 1 END * 1000000 + r.rank) AS first_seen
+  FROM runs r JOIN rw w ON w.query_id = r.query_id AND w.expert = r.expert GROUP BY 1, 2),
+rfused AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, first_seen, doc_id) AS rank
+           FROM rscored QUALIFY rank <= 25)
+"""
+
+
+@register("routed_search_fixed", SQL_ROUTED + "SELECT query_id, doc_id, rank::INTEGER AS rank, round(score, 6) AS score FROM rfused")
+def routed_search_fixed(spark, sf_dir):
+    """``jobs.routed_search`` of the judged queries with a router of given coefficients."""
+    from . import jobs
+
+    i = Inputs(spark, sf_dir)
+    judged = materialize(judgments.judged_queries(i.queries, i.qrels))
+    zeros = [0.0] * (DIM - 1)
+    model = router.from_coefficients(spark, [[4.0, *zeros], [-2.0, *zeros]], [0.5, 0.0])
+    experts = jobs.Experts(sparse=jobs.SparseExpert(i.corpus), dense=jobs.DenseExpert(i.corpus))
+    run = jobs.routed_search(experts, model, judged, K)
+    return run.select("query_id", "doc_id", F.col("rank").cast("int"), r6("score"))
+
+
 SQL_TWO_TABLES = SQL_LABELLED + """, tables AS (
   SELECT 'even' AS source, (query_id // 2)::VARCHAR AS query_id, * EXCLUDE (query_id) FROM normed WHERE query_id % 2 = 0
   UNION ALL SELECT 'odd', (query_id // 2)::VARCHAR, * EXCLUDE (query_id) FROM normed WHERE query_id % 2 = 1)
@@ -913,6 +992,12 @@ def score_table_union(spark, sf_dir):
     return _two_tables(spark, sf_dir).select("source", "query_id", F.length("query").alias("n_chars"), *[r6(c) for c in SCORE_COLS])
 
 
+@register("score_table_positions", SQL_LABELLED + "SELECT query_id, (row_number() OVER (ORDER BY query_id) - 1)::BIGINT AS query_idx FROM normed")
+def score_table_positions(spark, sf_dir):
+    """Each row's place in the score table, as its CSV has it."""
+    return ranking.with_position(_labelled(spark, sf_dir), ["query_id"], "query_idx").select("query_id", "query_idx")
+
+
 @register(
     "router_training_rows",
     SQL_TWO_TABLES + """SELECT source, query_id, label, round(weight, 6) AS weight FROM (

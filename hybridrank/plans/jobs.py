@@ -12,7 +12,7 @@ them can be registered by name.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from typing import Protocol
+from typing import NamedTuple, Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -155,10 +155,22 @@ def prepare_router_data(train: DataFrame, test: DataFrame | None = None, same_so
     return tr, prepare.clean(test, experts)
 
 
+class Trained(NamedTuple):
+    """A fitted router; its test results; one row of accuracy; the chosen penalty and the losses on the way."""
+
+    model: object
+    results: DataFrame
+    accuracy: DataFrame
+    selection: dict
+
+
 def train_router(train: DataFrame, test: DataFrame, experts: Sequence[str] = ("sparse", "dense"), norm: str = "l1",
                  reg_params: Sequence[float] = (1e-4, 1e-3, 1e-2, 1e-1), validation_fraction: float = 0.1,
-                 dim: int = embed.DEFAULT_DIM):
-    """Fit with model selection on an exact validation share; return ``(model, results, accuracy)``.
+                 dim: int = embed.DEFAULT_DIM, hidden: Sequence[int] | None = None) -> Trained:
+    """Fit with model selection on an exact validation share (0.1 n rows, cut to a whole number).
+
+    ``hidden`` layer sizes, such as ``soft_router.HIDDEN``, fit the hidden-layer router on the soft labels
+    with early stopping; without them the router is a multinomial regression on the same loss.
 
     Queries are told apart by source and id (a table without ``source`` is one source); a NULL id or
     a repeated query raises. ``results`` is ``([source], query_id, query, true_labels,
@@ -169,8 +181,8 @@ def train_router(train: DataFrame, test: DataFrame, experts: Sequence[str] = ("s
         return keyed.join(query_features(keyed.select("query_id", F.col("query").alias("text")), dim), "query_id")
 
     tr = materialize(with_features(train))
-    fit_part, val_part = (materialize(part) for part in prepare.split_exact(tr, 1.0 - validation_fraction, 4242, "query_id"))
-    model, _ = router.select_model(fit_part, val_part, experts, norm, reg_params)
+    fit_part, val_part = (materialize(part) for part in prepare.split_validation(tr, validation_fraction, 4242, "query_id"))
+    model, history = router.select_model(fit_part, val_part, experts, norm, reg_params, hidden=hidden)
     te = with_features(test)
     pred = router.predict(model, te, experts)
     ev = router.evaluate(pred, te, experts, norm)
@@ -182,7 +194,8 @@ def train_router(train: DataFrame, test: DataFrame, experts: Sequence[str] = ("s
         F.array(*[F.col(f"true_{e}") for e in experts]).alias("true_labels"),
         F.array(*[F.col(f"pred_{e}") for e in experts]).alias("predicted_weights"),
     )
-    return model, results, router.accuracy(ev)
+    best = min(history, key=lambda h: h["val_loss"])
+    return Trained(model, results, router.accuracy(ev), {"reg_param": best["reg_param"], "val_loss": best["val_loss"], "path": history})
 
 
 # ---------------------------------------------------------------- job 3: routed search and benchmark

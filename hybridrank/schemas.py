@@ -38,11 +38,21 @@ def score_table_schema(experts=("sparse", "dense")) -> T.StructType:
     return T.StructType(fields)
 
 
+_NUMBER = (T.NumericType,)
+#: Types that columns of these names must have; ids may be of any type.
+KINDS = {"text": (T.StringType,), "title": (T.StringType, T.NullType), "rank": _NUMBER, "score": _NUMBER, "weight": _NUMBER, "relevance": _NUMBER}
+
+
 def require(df: DataFrame, columns, what: str = "input") -> DataFrame:
-    """Raise ``ValueError`` unless ``df`` is a DataFrame holding every column in ``columns``."""
+    """Raise ``ValueError`` unless ``df`` is a DataFrame holding every column in ``columns``, of its type."""
     if not isinstance(df, DataFrame):
         raise ValueError(f"{what} must be a Spark DataFrame, got {type(df).__name__}")
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"{what} lacks column(s) {missing}; has {df.columns}")
+    for c in columns:
+        kind = df.schema[c].dataType
+        vector = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType)
+        if c in KINDS and not isinstance(kind, KINDS[c]) or c == "embedding" and not vector:
+            raise ValueError(f"column {c} of {what} has the type {kind.simpleString()}")
     return df

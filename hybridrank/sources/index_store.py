@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import json
-import os
 import time
 import uuid
 from dataclasses import asdict
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegressionModel, MultilayerPerceptronClassificationModel
 from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import sparse
+from ..operators.soft_router import SoftRouter
 from ..operators.sparse import BM25Params, CorpusStats, SparseIndex
 from .paths import delete, folders, path_exists
 
@@ -104,15 +105,26 @@ def dense_vectors(vectors: DataFrame, path: str | None = None, force: bool = Fal
 
 def save_router(model, folder: str, norm: str) -> str:
     """Save under ``{folder}/router_{norm}`` (the label normalisation is part of the name)."""
-    path = os.path.join(folder, f"router_{norm}")
-    model.write().overwrite().save(path)
+    path = f"{folder.rstrip('/')}/router_{norm}"
+    if isinstance(model, SoftRouter):
+        spark = SparkSession.getActiveSession()
+        layers = [(i, w.tolist(), b.tolist()) for i, (w, b) in enumerate(zip(model.weights, model.biases, strict=True))]
+        spark.createDataFrame(layers, LAYERS).coalesce(1).write.mode("overwrite").parquet(path)
+    else:
+        model.write().overwrite().save(path)
     return path
 
 
+LAYERS = "layer int, weights array<array<double>>, biases array<double>"
+
+
 def load_router(folder: str, norm: str):
-    """The saved router, a logistic regression or a perceptron, whichever its metadata name."""
-    path = os.path.join(folder, f"router_{norm}")
-    kind = DefaultParamsReader.loadMetadata(path, SparkSession.getActiveSession())["class"].rsplit(".", 1)[1]
+    """The saved router: a logistic regression or perceptron, whichever its metadata name, or one of hidden layers."""
+    spark, path = SparkSession.getActiveSession(), f"{folder.rstrip('/')}/router_{norm}"
+    if not path_exists(spark, f"{path}/metadata"):
+        rows = spark.read.schema(LAYERS).parquet(path).orderBy("layer").collect()  # a row per layer
+        return SoftRouter([np.array(r.weights) for r in rows], [np.array(r.biases) for r in rows])
+    kind = DefaultParamsReader.loadMetadata(path, spark)["class"].rsplit(".", 1)[1]
     kinds = {k.__name__: k for k in (LogisticRegressionModel, MultilayerPerceptronClassificationModel)}
     if kind not in kinds:
         raise ValueError(f"{path} holds a {kind}, not a router")

@@ -7,16 +7,17 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranking import with_position
 
-def write_score_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+
+def write_score_table(df: DataFrame, path: str, mode: str = "overwrite", positions: bool = False) -> None:
     """CSV with header and every field quoted (quotes doubled), first column ``query_idx``.
 
-    The row position of the reference's table is not a key in Spark; ``query_idx`` carries the
-    query id.
+    ``query_idx`` carries the query id, or with ``positions`` the row's place, from 0, in order of the id.
     """
     cols = [c for c in df.columns if c not in ("query_id", "query_idx")]
-    out = df.select(F.col("query_id").alias("query_idx"), *cols)
-    out.write.mode(mode).option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    out = with_position(df, ["query_id"], "query_idx") if positions else df.withColumn("query_idx", F.col("query_id"))
+    out.select("query_idx", *cols).write.mode(mode).option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
 def write_qrels(qrels: DataFrame, path: str, mode: str = "overwrite", partition_by_split: bool = False) -> None:

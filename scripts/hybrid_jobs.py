@@ -53,16 +53,18 @@ def cmd_train(spark, a) -> None:
     same = sorted(a.train) == sorted(a.test or [])
     test = readers.read_score_tables(spark, a.test) if a.test else None
     tr, te = jobs.prepare_router_data(train, test, same_source=same, fraction=a.fraction)
-    model, results, acc = jobs.train_router(tr, te, norm=a.norm)
+    model, results, acc, selection = jobs.train_router(tr, te, norm=a.norm, hidden=a.hidden)
     index_store.save_router(model, a.run_dir, a.norm)
     writers.write_router_results(results, os.path.join(a.run_dir, "test_results"))
     row = acc.first()  # one row: the run's accuracy for the config file
+    # fixed values: the names of the run config's entries
     config = {
         "train_score_paths": a.train,
         "test_score_paths": a.test or [],
         "score_norm": a.norm,
         "train_val_split": a.fraction,
         "total_accuracy_on_weights_prediction": row.accuracy,
+        "model_selection": selection,
     }
     writers.write_run_config(spark, config, os.path.join(a.run_dir, "config"))
 
@@ -92,6 +94,7 @@ def main(argv=None) -> None:
     tr.add_argument("--test", nargs="*")
     tr.add_argument("--norm", default="l1", choices=["l1", "softmax"])
     tr.add_argument("--fraction", type=float, default=0.8)
+    tr.add_argument("--hidden", nargs="*", type=int, help="sizes of hidden layers, e.g. 128 64")
     tr.add_argument("--run-dir", required=True)
     be = sub.add_parser("benchmark")
     be.add_argument("--collection", nargs="+", required=True)

@@ -88,7 +88,8 @@ def test_jobs_end_to_end(spark, sf_small, tmp_path):
     assert back.count() == n_judged
     tr, te = jobs.prepare_router_data(table)
     if tr.count() >= 1 and te.count() >= 1:
-        model, results, acc = jobs.train_router(tr, te, reg_params=(1e-2,))
+        model, results, acc, selection = jobs.train_router(tr, te, reg_params=(1e-2,))
+        assert selection["reg_param"] == 1e-2 and len(selection["path"]) == 1
         assert results.count() == te.count()
         assert 0.0 <= acc.first().accuracy <= 1.0
         path = index_store.save_router(model, str(tmp_path / "run"), "l1")
