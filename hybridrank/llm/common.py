@@ -58,6 +58,11 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def whole_rows(df: DataFrame) -> Column:
+    """All columns of ``df`` in one, so that none can clash with an operator's own; ``select("row.*")`` brings them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row, however often ``body`` names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -14,11 +14,13 @@ those between different components, are verified. No link between different sets
 A shingle's hub is the group that meets most others over its whole prefix: among near copies of one text
 that is the text itself, or a copy with few changes, to which the others link.
 
-Sets and shingles are told apart by 64-bit hashes.
+Sets and shingles are told apart by 64-bit hashes. Those of words are polynomials, which long words of a
+regular build make equal; so words beyond ``PLAIN`` bytes get a cryptographic hash.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -26,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_or_last, id_or_null, text_or_empty, written
+from .common import id_or_last, id_or_null, text_or_empty, whole_rows, written
 from .components import components
 from .files import slices
 from .kernels import PrefixHash, blocks, byte_codes, is_word_byte, lower_table, mix64, powers, runs_of
 
 #: Cells of the sketch of shingle counts (two to this power), and of the blocks it is added up in.
 SKETCH, SKETCH_BLOCK = 21, 16
+#: Bytes of the longest word with a polynomial hash; of a text read at once, about.
+PLAIN, PIECE = 256, 1 << 22
 
 
 class Shingles:
@@ -45,17 +49,37 @@ class Shingles:
         with np.errstate(over="ignore"):
             self.place = mix64(np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
+    def _words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words, and where each text's begin and end among them."""
+        data = self.lower[data]
+        if len(data) >= len(self.up):
+            self.up, self.down = powers(2 * len(data))
+        with np.errstate(over="ignore"):
+            starts, ends = runs_of(self.word[data], offsets)
+            words = mix64(PrefixHash(data, self.codes, self.up, self.down).of(starts, ends) + (ends - starts).astype(np.uint64))
+        for k in np.flatnonzero(ends - starts > PLAIN):
+            words[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+        return words, np.searchsorted(starts, offsets)
+
+    def _long(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of one long text, read in pieces that end at white space."""
+        words, at = [], 0
+        while at < len(data):
+            end = min(len(data), at + PIECE)
+            while end < len(data) and self.word[data[end]]:
+                gap = np.flatnonzero(~self.word[data[end : end + PIECE]])
+                end = end + int(gap[0]) if len(gap) else min(len(data), end + PIECE)
+            words.append(self._words(data[at:end], np.array([0, end - at]))[0])
+            at = end
+        words = np.concatenate(words)
+        return words, np.array([0, len(words)])
+
     def of(self, texts: pa.Array):
         """Row and set of each text."""
         width = self.width
         for row, data, offsets in blocks(texts):
-            data = self.lower[data]
-            if len(data) >= len(self.up):
-                self.up, self.down = powers(2 * len(data))
+            words, of_text = self._long(data) if len(offsets) == 2 and len(data) > PIECE else self._words(data, offsets)
             with np.errstate(over="ignore"):
-                starts, ends = runs_of(self.word[data], offsets)
-                words = mix64(PrefixHash(data, self.codes, self.up, self.down).of(starts, ends) + (ends - starts).astype(np.uint64))
-                of_text = np.searchsorted(starts, offsets)
                 sums = np.zeros(max(len(words) - width + 1, 0), np.uint64)
                 for k in range(width):
                     sums += words[k : k + len(sums)] * self.place[k]
@@ -324,6 +348,6 @@ def one_of_each(docs: DataFrame, width: int = 5, t: float = 0.8, id_col: str = "
     placed = _placed(docs, width, t, id_col, text_col)
     alone = placed.filter("n = 0").select("doc", "twin")
     first = placed.filter("n > 0").groupBy("component").agg(F.min(F.struct("doc", "twin")).alias("first")).select("first.doc", "first.twin")
-    stay = alone.union(first).select(F.col("doc").alias("__doc"), F.col("twin").alias("__twin")).distinct()
-    keyed = docs.withColumns({"__doc": id_or_last(id_col), "__twin": F.xxhash64(text_or_empty(text_col))})
-    return keyed.join(stay, ["__doc", "__twin"], "left_semi").dropDuplicates(["__doc", "__twin"]).drop("__doc", "__twin")
+    stay = alone.union(first).distinct()
+    keyed = docs.select(whole_rows(docs), id_or_last(id_col).alias("doc"), F.xxhash64(text_or_empty(text_col)).alias("twin"))
+    return keyed.join(stay, ["doc", "twin"], "left_semi").dropDuplicates(["doc", "twin"]).select("row.*")
