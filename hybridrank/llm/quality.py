@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, whole_rows
 from .kernels import PrefixHash, blocks, byte_codes, is_word_byte, powers, runs_of
 
 #: Columns for byte pairs and for word shapes; weight of the latter.
 PAIRS, SHAPES, SHAPE_WEIGHT = 2048, 256, 2.0
 FEATURES = PAIRS + SHAPES
+#: Places to which cosines are compared: single floats of one value may differ beyond.
+COSINE_DIGITS = 6
 
 
 @dataclass(frozen=True)
@@ -136,23 +138,33 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2048, dimensions: i
 
 
 def vote(model: Model, vectors: np.ndarray) -> np.ndarray:
-    """Share of label 1 among the nearest labelled vectors, weighted by a power of the cosine; ties go to the earlier."""
+    """Share of label 1 among the nearest labelled vectors, weighted by a power of the cosine.
+
+    Cosines are compared to six places; of equal ones at the edge, those that come first are taken.
+    """
     if not len(model.labels):
         return np.full(len(vectors), 0.5)
     cosines = vectors @ model.vectors.T
     k = min(model.neighbours, len(model.labels))
-    near = np.argpartition(-cosines, k - 1, axis=1)[:, :k] if k < len(model.labels) else np.tile(np.arange(k), (len(vectors), 1))
+    if k < len(model.labels):
+        rounded = np.round(cosines, COSINE_DIGITS)
+        edge = np.partition(rounded, -k, axis=1)[:, -k][:, None]
+        tied, above = rounded == edge, rounded > edge
+        near = np.nonzero(above | (tied & (np.cumsum(tied, axis=1) <= k - above.sum(axis=1, keepdims=True))))[1].reshape(-1, k)
+    else:
+        near = np.tile(np.arange(k), (len(vectors), 1))
     weight = np.maximum(np.take_along_axis(cosines, near, 1), 1e-6).astype(np.float64) ** model.power
     return np.clip((weight * model.labels[near]).sum(1) / weight.sum(1), 0.0, 1.0)
 
 
 def scorer(spark, model: Model):
     """A column function: text to score in [0, 1]. A null text counts as empty. The model's size is fixed by :func:`fit`'s bounds."""
-    sent = spark.sparkContext.broadcast(model)
+    # plain values: workers need no copy of this package to read them
+    sent = spark.sparkContext.broadcast((model.axes, model.vectors, model.labels, model.neighbours, model.power))
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        kernel, own, out = Features(), sent.value, np.zeros(len(texts))
+        kernel, own, out = Features(), Model(*sent.value), np.zeros(len(texts))
         for row, x in kernel.of(texts):
             out[row : row + len(x)] = vote(own, _unit_rows(x @ own.axes))
         return pa.array(out)
@@ -180,5 +192,5 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: in
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **settings) -> DataFrame:
     """``docs`` without rows scored below ``threshold``, all columns as they are."""
     model = fit(docs, labels.filter(~held_out(F.col(id_col), folds)), id_col=id_col, text_col=text_col, label_col=label_col, **settings)
-    marked = docs.withColumn("__score", scorer(docs.sparkSession, model)(F.col(text_col)))
-    return marked.filter(F.col("__score") >= threshold).drop("__score")
+    marked = docs.select(whole_rows(docs), scorer(docs.sparkSession, model)(F.col(text_col)).alias("score"))
+    return marked.filter(F.col("score") >= threshold).select("row.*")
