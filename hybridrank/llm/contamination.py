@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import text_or_empty, whole_rows, written
 
-#: Item words in one automaton at most; more items are taken in several rounds.
-AUTOMATON_WORDS = 2_000_000
+#: Item words in one automaton at most (about 130 MB in a process); more items are taken in several rounds.
+AUTOMATON_WORDS = 200_000
 RESULT = "n_words long, hits binary, items array<string>, cleaned string"
 
 
@@ -151,11 +151,12 @@ def without_hits(text: bytes, marks: bytes) -> str:
 
 def scanner(spark, automaton: Automaton):
     """A column function from text to ``RESULT``; the automaton's size is bounded by ``AUTOMATON_WORDS``."""
-    sent = spark.sparkContext.broadcast(automaton)
+    sent = spark.sparkContext.broadcast(vars(automaton))  # plain values: workers need no copy of this package to read them
 
     @F.arrow_udf(RESULT)
     def scan(texts: pa.Array) -> pa.Array:
-        own, out = sent.value, []
+        own, out = Automaton.__new__(Automaton), []
+        own.__dict__ = sent.value
         for text in texts.cast(pa.binary()).to_pylist():
             split = words(text)
             marks, items = own.scan(split)
@@ -234,6 +235,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``docs`` without contaminated rows, all columns as they are; other rows keep their texts."""
-    found = _found(docs, benchmark, window, text_col, item_col, item_text_col).withColumns(_columns(share))
-    return found.filter(~F.col("__contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without contaminated rows. Of the others' texts each run of hit words is cut out; all else is as it was."""
+    rows = docs.select(whole_rows(docs), F.col(text_col).cast("string").alias("text"))
+    found = _found(rows, benchmark, window, "text", item_col, item_text_col).withColumns(_columns(share)).filter(~F.col("__contaminated"))
+    text = F.coalesce(F.col("__r.cleaned"), F.col(f"row.`{text_col}`")).alias(text_col)
+    return found.select(*[text if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
