@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, text_or_empty, written
+from .common import WORD, text_or_empty, whole_rows, written
 
 #: Documents in a group of the tree's first level, and groups that meet in one of the next.
 GROUP, FAN_IN = 1024, 64
@@ -158,12 +158,14 @@ def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id",
     Of rows that repeat id, source and text, those that come first where they are numbered get the larger
     number of copies; such rows are written once, numbered ``DEALT`` at a time and told of the counts before.
     """
-    keyed = docs.withColumns({"__size": words(text_col), "__crc": F.crc32(text_or_empty(text_col).cast("binary")), "__own": F.col(id_col).cast("long"), "__from": F.col(source_col).cast("string")})
+    keyed = docs.select(
+        whole_rows(docs), words(text_col).alias("__size"), F.crc32(text_or_empty(text_col).cast("binary")).alias("__crc"), F.col(id_col).cast("long").alias("__own"), F.col(source_col).cast("string").alias("__from")
+    )
     plan = mixed.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__n"), F.col("crc").alias("__c")).agg(
         F.min("copies").alias("__low"), F.max("copies").alias("__high"), F.max_by("m", "copies").alias("__more")
     ).filter("__high > 0")
     on = keyed["__own"].eqNullSafe(plan["__id"]) & keyed["__from"].eqNullSafe(plan["__source"]) & (keyed["__size"] == plan["__n"]) & (keyed["__crc"] == plan["__c"])
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    columns = [F.col("row")]
     out = keyed.join(plan.filter("__low = __high"), on).select(*columns, F.col("__high").alias("__copies"))
     uneven = written(plan.filter("__low < __high"), "mix-uneven")
     if uneven.limit(1).count():
@@ -179,4 +181,4 @@ def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id",
         number = F.row_number().over(Window.partitionBy(*key, "__lot").orderBy("__row")) + F.col("__before")
         dealt = rows.join(lots, same).withColumn("__number", number)
         out = out.unionByName(dealt.select(*columns, F.when(F.col("__number") <= F.col("__more"), F.col("__high")).otherwise(F.col("__low")).alias("__copies")).filter("__copies > 0"))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("row.*")

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, partitions, text_or_empty, written
+from .common import let, partitions, text_or_empty, whole_rows, written
 
 #: Bytes a row takes besides its text.
 ROW_BYTES = 16
@@ -106,6 +106,15 @@ def shard(docs: DataFrame, n_shards: int, dims: list[Dimension], bits: int = 5,
     A range exchange of (curve, id, size, checksum) orders the rows: one cell or source with a third
     of them is split by id. Only the row count of each partition is gathered.
     """
+    ranked = _ranked(docs, n_shards, dims, bits, id_col, text_col, [])
+    return ranked.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "curve",
+    )
+
+
+def _ranked(docs: DataFrame, n_shards: int, dims: list[Dimension], bits: int, id_col: str, text_col: str, also: list[Column]) -> DataFrame:
+    """``doc_id, size, text_crc32, curve, rank, shard, slot`` and the columns ``also`` of each row, in files along the curve."""
     spark = docs.sparkSession
     text = text_or_empty(text_col)
     rows = docs.select(
@@ -113,6 +122,7 @@ def shard(docs: DataFrame, n_shards: int, dims: list[Dimension], bits: int = 5,
         (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         hilbert_index(quantised(docs, dims, bits), bits).alias("curve"),
+        *also,
     )
     order = ["curve", "doc_id", "text_crc32", "size"]
     ordered = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
@@ -124,26 +134,22 @@ def shard(docs: DataFrame, n_shards: int, dims: list[Dimension], bits: int = 5,
     rank, s = F.col("before") + F.col("pos"), F.lit(n_shards).cast("long")
     return (
         saved.join(F.broadcast(starts), "part")  # a row for each partition of the exchange
-        .select("doc_id", "size", "text_crc32", "curve", rank.alias("rank"), "total", F.floor(rank * s / F.col("total")).alias("shard0"))
+        .withColumns({"rank": rank, "shard0": F.floor(rank * s / F.col("total"))})
         # the quotient of two longs may be rounded up to the next shard
         .withColumn("shard", F.col("shard0") - F.when(F.col("shard0") * F.col("total") > F.col("rank") * s, 1).otherwise(0))
-        .select(
-            "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
-            (F.col("rank") - F.expr(f"(shard * total + {n_shards - 1}) div {n_shards}")).alias("slot"),
-            F.lit(None).cast("int").alias("grown_shard"), "curve",
-        )
+        .withColumn("slot", F.col("rank") - F.expr(f"(shard * total + {n_shards - 1}) div {n_shards}"))
+        .drop("part", "pos", "before", "total", "shard0")
     )
 
 
-def write_shards(docs: DataFrame, shards: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_shards(docs: DataFrame, n_shards: int, dims: list[Dimension], path: str, bits: int = 5, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write ``docs`` to ``path/shard=N/`` along the curve; each file holds one run of its shard.
 
-    ``shards`` is the result of :func:`shard`; rows are matched by id, size and checksum.
+    Every row has a slot of its own, so the files keep the law of :func:`shard`, repeated rows too. Where
+    ``docs`` has a column ``shard``, the folders' name gets underscores in front. All columns are as they were.
     """
-    spark, text = docs.sparkSession, text_or_empty(text_col)
-    place = shards.groupBy("doc_id", "size", "text_crc32").agg(F.min(F.struct("shard", "slot")).alias("__place"))
-    keyed = docs.withColumns({"__size": (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long"), "__crc": F.crc32(text.cast("binary"))})
-    on = keyed[id_col].cast("long").eqNullSafe(place["doc_id"]) & (keyed["__size"] == place["size"]) & (keyed["__crc"] == place["text_crc32"])
-    out = keyed.join(place, on).select(*[keyed[c] for c in docs.columns], F.col("__place.shard").alias("__shard"), F.col("__place.slot").alias("__slot"))
-    out = out.repartitionByRange(partitions(spark), "__shard", "__slot").sortWithinPartitions("__shard", "__slot").drop("__slot")
-    out.write.partitionBy("__shard").parquet(path)
+    name = "shard"
+    while name in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    ranked = _ranked(docs, n_shards, dims, bits, id_col, text_col, [whole_rows(docs)])
+    ranked.sortWithinPartitions("rank").select("row.*", F.col("shard").cast("int").alias(name)).write.partitionBy(name).parquet(path)
