@@ -7,6 +7,7 @@ Nothing else is kept: no lattice, no back pointers, no pieces.
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 
@@ -14,39 +15,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Fixed values of the tokenizer: how much an unknown character scores below the worst piece, the mark
-# for a space, and the names of the pieces for single bytes.
+# Fixed values of the tokenizer: how much an unknown character scores below the worst piece, and the mark
+# for a space.
 UNKNOWN_PENALTY = 10.0
 MARK = "▁"
-BYTE_PIECE = "<0x{:02X}>"
 
 #: Words a worker remembers, and the length of the longest that it does.
 MEMORY_WORDS, MEMORY_LENGTH = 1 << 19, 64
 
 
 class Counter:
-    """Counts pieces of words.
+    """Counts pieces of texts.
+
+    A text is cut before a mark that follows another character, where no piece goes on from one to the
+    other: such parts are independent, and their counts are remembered. With a vocabulary that has pieces
+    across (or no piece for the mark alone) texts are not cut.
 
     Of equal scores for the same place the piece that begins first stays, an unknown character comes
     last. Unknown characters next to each other are one token, or a token for each byte when the
     vocabulary has pieces for all bytes.
     """
 
-    def __init__(self, pieces: list[tuple[str, float]]) -> None:
+    def __init__(self, pieces: list[tuple[str, float]], by_bytes: bool = False) -> None:
         import ahocorasick
 
-        self.vocabulary = dict(pieces)
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
             if piece:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
-        self.by_bytes = all(BYTE_PIECE.format(b) in self.vocabulary for b in range(256))
+        self.by_bytes = by_bytes
+        across = re.compile(f"[^{MARK}]{MARK}")
+        self.part = None if any(across.search(p) for p, _ in pieces) or MARK not in dict(pieces) else re.compile(f"{MARK}+[^{MARK}]*")
         self.memory: dict[str, int] = {}
 
     def word(self, text: str) -> int:
-        """Pieces of ``text``, which the tokenizer doesn't split before."""
+        """Pieces of ``text``, marks included."""
         n = len(text)
         found: list[list] = [[] for _ in range(n)]
         if len(self.automaton):
@@ -72,14 +77,13 @@ class Counter:
         """Pieces of a whole text whose spaces are marks in front of words (the text's start is one too)."""
         if not text:
             return 0
-        words = text.replace(MARK, " ").split(" ")
-        if not words[0]:
-            del words[0]
+        text = text.replace(" ", MARK)
+        text = text if text.startswith(MARK) else MARK + text
         memory, total = self.memory, 0
-        for w in words:
+        for w in self.part.findall(text) if self.part else [text]:
             n = memory.get(w)
             if n is None:
-                n = self.word(MARK + w)
+                n = self.word(w)
                 if len(w) <= MEMORY_LENGTH:
                     if len(memory) >= MEMORY_WORDS:
                         memory.clear()
@@ -88,12 +92,14 @@ class Counter:
         return total
 
 
-def pieces_of(path: str) -> list[tuple[str, float]]:
-    """Pieces and scores of a sentencepiece model file, in the order of their ids."""
+def pieces_of(path: str) -> tuple[list[tuple[str, float]], bool]:
+    """Pieces that texts can hold, with their scores, of a sentencepiece model file, and whether it has a piece for every byte."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+    ids = range(model.get_piece_size())
+    plain = [i for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i))]
+    return [(model.id_to_piece(i), model.get_score(i)) for i in plain], sum(model.is_byte(i) for i in ids) == 256
 
 
 def counted(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,7 +116,7 @@ def counted(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
         kept = sys.modules.setdefault("_hybridrank_llm_kept", types.ModuleType("_hybridrank_llm_kept"))
         counter = kept.__dict__.get(("counter", vocabulary))
         if counter is None:
-            counter = kept.__dict__[("counter", vocabulary)] = Counter(pieces_of(vocabulary))
+            counter = kept.__dict__[("counter", vocabulary)] = Counter(*pieces_of(vocabulary))
         return pa.array([counter.text(t) for t in texts.to_pylist()], pa.int64())
 
     return docs.select(F.col(id_col).alias("doc_id"), count(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("n_tokens"))
