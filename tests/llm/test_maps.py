@@ -96,8 +96,15 @@ def test_counts_against_tokenizer(spark, cases, case_rows, nothing):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
     path = _tokenizer("piece_bpe_32k.model")
-    tokenizer = Tokenizer(models.Unigram(token_counts.pieces_of(path), unk_id=0, byte_fallback=True))
-    tokenizer.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    pieces, by_bytes = token_counts.pieces_of(path)
+    assert by_bytes and any("▁" in p[1:] for p, _ in pieces)
+    every_byte = [(f"<0x{b:02X}>", 0.0) for b in range(256)]
+    tokenizer = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces, *every_byte], unk_id=0, byte_fallback=True))
+    tokenizer.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
+    counter = token_counts.Counter(pieces, by_bytes)
+    for text in ("a   b", "x    y  z", "  lead", "trail  ", "▁▁ ▁", " ", "a\u3000b \n c", "<s> </s>"):
+        assert counter.text(text) == len(tokenizer.encode(text, add_special_tokens=False).ids), text
+    assert counter.text("a<0x41>b") == counter.text("a<0x42>b") > 3  # pieces for bytes are never read from a text
     got = [tuple(r) for r in token_counts.counted(cases, path).collect()]
     assert ordered(got) == ordered((i, len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for i, t, _ in case_rows)
     assert token_counts.counted(nothing, path).collect() == []
@@ -108,9 +115,10 @@ def test_counts_ties_and_unknowns():
 
     rng = np.random.default_rng(1)
     for _ in range(80):
-        pieces = [("<unk>", 0.0)] + [(p, -float(rng.integers(1, 4))) for p in {"".join(rng.choice(list("ab▁"), rng.integers(1, 4))) for _ in range(6)} if "▁" not in p[1:]]
+        words = {"".join(rng.choice(list("ab▁"), rng.integers(1, 4))) for _ in range(6)}
+        pieces = [("<unk>", 0.0)] + [(p, -float(rng.integers(1, 4))) for p in sorted(words | ({"▁"} if rng.random() < 0.6 else set()))]
         tokenizer = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=False))
-        tokenizer.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+        tokenizer.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
         counter = token_counts.Counter(pieces)
         for _ in range(10):
             text = "".join(rng.choice(list("abc é"), rng.integers(0, 12)))
@@ -158,3 +166,53 @@ def test_quality_of_cases(spark, cases, case_rows, nothing, labelled):
     assert len({r.score for r in rows if r.doc_id == 3}) == 1
     assert quality.scored(nothing, labels).collect() == []
     assert quality.accepted(cases, labels, neighbours=2).columns == cases.columns
+
+
+def test_votes_and_axes_by_brute_force():
+    """Ties at the edge go to the earlier labelled vector; the axes are the main directions."""
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        kinds = quality._unit_rows(rng.normal(size=(5, 6))).astype(np.float32)
+        vectors, labels = kinds[rng.integers(0, 5, 60)], rng.integers(0, 2, 60).astype(np.float32)
+        asked = quality._unit_rows(rng.normal(size=(8, 6))).astype(np.float32)
+        got = quality.vote(quality.Model(np.eye(6, dtype=np.float32), vectors, labels, 7, 8.0), asked)
+        for q, score in zip(asked, got, strict=True):
+            near = sorted(range(60), key=lambda j: (-round(float(q @ vectors[j]), 6), j))[:7]
+            weight = np.array([max(float(q @ vectors[j]), 1e-6) ** 8 for j in near])
+            assert score == pytest.approx(float((weight * labels[near]).sum() / weight.sum()), abs=1e-4)
+    alike, first = np.tile(np.array([[1.0, 0.0]], np.float32), (3000, 1)), np.repeat([1.0, 0.0], [16, 2984]).astype(np.float32)
+    assert quality.vote(quality.Model(np.eye(2), alike, first, 16, 8.0), alike[:1])[0] == 1.0
+    x = (rng.normal(size=(300, 40)) * np.linspace(5, 0.1, 40)).astype(np.float16)
+    axes = quality._axes(x, 5, spare=10)
+    _, _, exact = np.linalg.svd(x.astype(np.float64), full_matrices=False)
+    assert np.allclose(np.abs(np.diag(axes.T @ exact[:5].T)), 1, atol=1e-3)
+
+
+def test_stages_keep_columns_of_any_name(spark, case_rows, benchmark):
+    """Columns named like an operator's own come back as they were; empty tables too."""
+    from hybridrank.llm import mixing, near_join
+
+    names = ["row", "score", "doc", "twin", "__score", "__doc", "__twin", "__r", "__n_hit", "__next", "__contaminated", "__size", "__copy", "__copies", "__id", "__crc", "__own", "__from"]
+    docs = spark.createDataFrame([(i, t, s) for i, t, s in case_rows], "doc_id long, text string, source string")
+    docs = docs.withColumns({n: F.concat(F.lit(f"{n} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for n in names})
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 40)], "doc_id long, quality int")
+    stages = {
+        "quality": lambda d: quality.accepted(d, labels, threshold=0.0),
+        "near": near_join.one_of_each,
+        "clean": lambda d: contamination.clean_documents(d, benchmark),
+        "mix": lambda d: mixing.repeat_documents(d, mixing.mix(d, [5, 2, 1], 1.5, 2.0)),
+    }
+    for stage in stages.values():
+        rows = stage(docs).collect()
+        assert rows and all(r[n] == f"{n} {'-' if r.doc_id is None else r.doc_id}" for r in rows for n in names)
+        assert stage(docs).columns == docs.columns
+        assert stage(docs.limit(0)).collect() == []
+
+
+def test_decontaminated_texts_lose_their_spans(spark):
+    passage = " ".join(f"bench{i}" for i in range(13))
+    long = " ".join(f"w{i}" for i in range(400))
+    docs = spark.createDataFrame([(1, f"{long} {passage.upper()}. {long}"), (2, f"short {passage}"), (3, long), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    got = {r.doc_id: r.text for r in contamination.clean_documents(docs, items).collect()}
+    assert got == {1: f"{long} . {long}", 3: long, 4: None}

@@ -1,12 +1,14 @@
 """Operators that order or pair rows: shards, mix, content sort, suffix sort, near duplicates; the pipeline."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hybridrank.llm import components, content_sort, kernels, mixing, near_join, sharding, suffixes
@@ -52,9 +54,36 @@ def test_shards(cases, case_rows, n_shards):
 
 def test_shards_of_nothing_and_files(spark, cases, nothing, tmp_path):
     assert sharding.shard(nothing, 40, CURVE).collect() == []
-    sharding.write_shards(cases, sharding.shard(cases, 5, CURVE), str(tmp_path / "out"))
+    sharding.write_shards(cases, 5, CURVE, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert ordered(back.select(*cases.columns).collect()) == ordered(cases.collect())
+    equal = spark.createDataFrame([(1, "same", 4)] * 50 + [(i, f"t{i}", i) for i in range(2, 52)], "doc_id long, text string, n_chars long").withColumns({"source": F.lit("s"), "lang": F.lit("l")})
+    sharding.write_shards(equal, 10, CURVE, str(tmp_path / "equal"))
+    assert [r["count"] for r in spark.read.parquet(str(tmp_path / "equal")).groupBy("shard").count().collect()] == [10] * 10
+    sharding.write_shards(nothing, 5, CURVE, str(tmp_path / "nothing"))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Thue-Morse words and their complements have equal hashes modulo a power of two, whatever the base."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    tail = " one two three four"
+    rows = near_join.near_duplicates(spark.createDataFrame([(1, word + tail), (2, other + tail), (3, word + tail)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {1: 1, 2: 2, 3: 1}
+
+
+def test_a_long_text_is_read_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 400 if rng.random() < 0.02 else 9))) for _ in range(3000)) + " \t"
+    whole = [s.tolist() for _, s in near_join.Shingles(5).of(pa.array([text, "x"]))]
+    for piece in (64, 1000, 5000):
+        monkeypatch.setattr(near_join, "PIECE", piece)
+        assert [s.tolist() for _, s in near_join.Shingles(5).of(pa.array([text]))] == whole[:1]
+        assert [s.tolist() for _, s in near_join.Shingles(5).of(pa.array(["z" * 9000]))][0]
 
 
 # --- mix
