@@ -165,7 +165,8 @@ def scanner(spark, automaton: Automaton):
         columns = list(zip(*out, strict=True)) or [[]] * 4
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["n_words", "hits", "items", "cleaned"])
 
-    return lambda column: scan(F.coalesce(column.cast("string"), F.lit("")))
+    once = scan.asNondeterministic()  # else a filter on its result would scan the text a second time
+    return lambda column: once(F.coalesce(column.cast("string"), F.lit("")))
 
 
 def automata(benchmark: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text", most: int = AUTOMATON_WORDS):
