@@ -36,7 +36,7 @@ def _place(term: str, dim: int) -> tuple[int, float]:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its files are too few to keep them busy; else as it is read."""
+    """A table as read from files, over all cores where these are too few to keep them busy."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -66,7 +66,7 @@ def hashed_embedding(df: DataFrame, id_col: str, text: F.Column, dim: int = DEFA
             offsets = pa.array(np.arange(n + 1) * dim, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel()))], names=[id_col, "embedding"])
 
-    texts = spread(df.select(F.col(id_col).alias("id"), text.alias("text"))).select("id", F.coalesce(tokens(F.col("text")), F.array()).alias("tokens"))
+    texts = df.select(F.col(id_col).alias("id"), text.alias("text")).select("id", F.coalesce(tokens(F.col("text")), F.array()).alias("tokens"))
     out = texts.mapInArrow(encode, f"`{id_col}` {kind}, embedding array<double>")
     return out.withColumnRenamed(id_col, out_id) if out_id else out
 

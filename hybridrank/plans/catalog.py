@@ -228,7 +228,7 @@ class Inputs:
     @property
     def dense_run(self):
         def build():
-            run = dense.knn(embed.embed_queries(self.queries, DIM), embed.embed_corpus(self.corpus, DIM), k=K, expert="dense")
+            run = dense.knn(embed.embed_queries(self.queries, DIM), embed.embed_corpus(embed.spread(self.corpus), DIM), k=K, expert="dense")
             return materialize(run)
 
         return self._get("dense", build)
@@ -253,7 +253,7 @@ def _experts(spark, sf_dir):
     "WITH" + sql_hashed("hd", SQL_DOC_TERMS) + "\nSELECT id AS doc_id, dim, round(value, 6) AS value FROM hd",
 )
 def hashed_embedding(spark, sf_dir):
-    corpus = td.corpus(spark, sf_dir)
+    corpus = embed.spread(td.corpus(spark, sf_dir))
     long = embed.hashed_terms(corpus.select("doc_id", F.concat(F.lit(" "), F.col("text")).alias("t")), "doc_id", F.col("t"), DIM)
     return long.select(F.col("id").alias("doc_id"), "dim", r6("value"))
 
@@ -301,7 +301,7 @@ def dense_hashed_topk(spark, sf_dir):
 def dense_hashed_topk_pruned(spark, sf_dir):
     """The same run through cells and bounds."""
     i = Inputs(spark, sf_dir)
-    run = dense.knn_pruned(embed.embed_queries(i.queries, DIM), embed.embed_corpus(i.corpus, DIM), k=K, expert=None, centres=32)
+    run = dense.knn_pruned(embed.embed_queries(i.queries, DIM), embed.embed_corpus(embed.spread(i.corpus), DIM), k=K, expert=None, centres=32)
     return run.select("query_id", "doc_id", F.col("rank").cast("int"), r6("score"))
 
 

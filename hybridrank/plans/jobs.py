@@ -125,7 +125,7 @@ def generate_labels(experts: Experts, queries: DataFrame, qrels: DataFrame, k: i
 
     Unjudged queries are removed before searching (semi join), and the runs are materialised once.
     """
-    judged = judgments.judged_queries(queries, qrels)
+    judged = materialize(judgments.judged_queries(queries, qrels))  # every expert reads them
     runs = materialize(experts.search(judged, k))
     table = labels.score_table(runs, qrels, judged, experts.names, k)
     if out_path:
@@ -213,7 +213,7 @@ def benchmark(experts: Experts, queries: DataFrame, qrels: DataFrame, model=None
               weights: dict | None = None, dim: int = embed.DEFAULT_DIM) -> DataFrame:
     """Mean precision/recall at 1, 5, 10, 25 for each expert and the fused list, over all judged
     queries (expert runs computed once and reused for the fusion)."""
-    judged = judgments.judged_queries(queries, qrels)
+    judged = materialize(judgments.judged_queries(queries, qrels))  # every expert reads them
     runs = materialize(experts.search(judged, k))
     if model is not None:
         w = router.predict(model, query_features(judged, dim), experts.names)

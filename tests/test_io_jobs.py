@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hybridrank.operators import judgments, sparse
 from hybridrank.plans import jobs
+from hybridrank.session import materialize
 from hybridrank.sources import index_store, readers, testdata as td, writers
 
 
@@ -80,7 +81,7 @@ def test_jobs_end_to_end(spark, sf_small, tmp_path):
     corpus, queries = td.corpus(spark, sf_small), td.queries(spark, sf_small)
     ex = jobs.Experts(sparse=jobs.SparseExpert(corpus), dense=jobs.DenseExpert(corpus))
     idx = ex.experts["sparse"].index
-    qrels = judgments.graded_qrels(judgments.containing_documents(corpus, queries, idx), td.labels(spark, sf_small))
+    qrels = materialize(judgments.graded_qrels(judgments.containing_documents(corpus, queries, idx), td.labels(spark, sf_small)))
     table = jobs.generate_labels(ex, queries, qrels, k=10, out_path=str(tmp_path / "labels"))
     n_judged = qrels.select("query_id").distinct().count()
     assert table.count() == n_judged
