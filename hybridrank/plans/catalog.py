@@ -7,15 +7,17 @@ are rounded to 6 places in the output, and ranks are taken on scores rounded to
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dense, embed, fusion, judgments, labels, metrics, prepare, ranking, router, soft_router, sparse
-from ..session import materialize
+from ..session import ensure_checkpoint_dir, materialize
 from ..sources import readers
 from ..sources import testdata as td
+from ..sources.vector_store import VectorStore
 
 K = 25  # list depth used by label generation and the benchmark
 OUT_DIGITS = 6
@@ -305,6 +307,43 @@ def dense_hashed_topk_pruned(spark, sf_dir):
     return run.select("query_id", "doc_id", F.col("rank").cast("int"), r6("score"))
 
 
+@register(
+    "dense_store_topk",
+    "WITH" + SQL_DENSE_CTE + "SELECT query_id, doc_id, rank::INTEGER AS rank, round(score, 6) AS score FROM dense_run",
+)
+def dense_store_topk(spark, sf_dir):
+    """The same run from a vector store that held the passages before the documents came."""
+    i = Inputs(spark, sf_dir)
+    store = _vector_store(spark)
+    store.add(i.queries)
+    documents = store.vectors(embed.spread(i.corpus), "doc_id")
+    run = dense.knn(store.vectors(i.queries, "query_id"), documents, k=K, expert=None)
+    return run.select("query_id", "doc_id", F.col("rank").cast("int"), r6("score"))
+
+
+def _vector_store(spark):
+    from .jobs import hashed_encoder
+
+    return VectorStore(spark, f"{ensure_checkpoint_dir(spark)}/vectors-{uuid.uuid4().hex}", "hashed-256", hashed_encoder(DIM))
+
+
+@register(
+    "vector_store_runs",
+    """
+WITH d AS (SELECT coalesce(text, '') AS t FROM documents), q AS (SELECT coalesce(text, '') AS t FROM benchmark)
+SELECT 1 AS run, (SELECT count(*) FROM d) AS n_rows, (SELECT count(DISTINCT t) FROM d) AS n_encoded
+UNION ALL SELECT 2, (SELECT count(*) FROM d), 0
+UNION ALL SELECT 3, (SELECT count(*) FROM q), (SELECT count(DISTINCT t) FROM q WHERE t NOT IN (SELECT t FROM d))
+""",
+)
+def vector_store_runs(spark, sf_dir):
+    """Texts that a vector store encodes for the documents, for the same again, and for the passages."""
+    corpus, passages = embed.spread(td.corpus(spark, sf_dir)), td.queries(spark, sf_dir)
+    store = _vector_store(spark)
+    runs = [(n, df.count(), store.add(df)) for n, df in enumerate((corpus, corpus, passages), 1)]
+    return spark.createDataFrame(runs, "run int, n_rows long, n_encoded long")
+
+
 @register(
     "dense_pairs",
     "WITH"

@@ -11,7 +11,7 @@ them can be registered by name.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from typing import NamedTuple, Protocol
 
 from pyspark.sql import DataFrame
@@ -21,6 +21,7 @@ from ..operators import dense, embed, fusion, judgments, labels, metrics, prepar
 from ..session import materialize
 from ..sources import index_store
 from ..sources.readers import with_query_key
+from ..sources.vector_store import Encoder, VectorStore
 
 DEFAULT_K = 25
 
@@ -47,7 +48,7 @@ class SparseExpert:
         return sparse.score_pairs(self.index, queries, pairs)
 
 
-def hashed_encoder(dim: int = embed.DEFAULT_DIM) -> Callable[[DataFrame, str], DataFrame]:
+def hashed_encoder(dim: int = embed.DEFAULT_DIM) -> Encoder:
     """Default text encoder: ``(df, id_col) → (id_col, embedding)`` from ``text`` (and ``title``)."""
 
     def encode(df: DataFrame, id_col: str) -> DataFrame:
@@ -61,26 +62,31 @@ def hashed_encoder(dim: int = embed.DEFAULT_DIM) -> Callable[[DataFrame, str], D
 
 
 class DenseExpert:
-    """Inner-product search over document vectors (computed once by ``encoder``, or given)."""
+    """Inner-product search over document vectors (computed once by ``encoder``, kept in ``store``, or given).
 
-    def __init__(self, corpus: DataFrame | None = None, vectors: DataFrame | None = None,
-                 encoder: Callable[[DataFrame, str], DataFrame] | None = None, path: str | None = None,
-                 force: bool = False):
-        self.encoder = encoder or hashed_encoder()
+    Queries have an encoder of their own where a model tells both roles apart; without ``query_encoder``
+    they take that of the documents. Both must give vectors of one length.
+    """
+
+    def __init__(self, corpus: DataFrame | None = None, vectors: DataFrame | None = None, encoder: Encoder | None = None,
+                 path: str | None = None, force: bool = False, query_encoder: Encoder | None = None,
+                 store: VectorStore | None = None):
+        self.encoder = encoder or (store.encode if store else hashed_encoder())
+        self.query_encoder = query_encoder or self.encoder
         if vectors is None:
             if corpus is None:
                 raise ValueError("DenseExpert needs a corpus or vectors")
-            vectors = self.encoder(corpus, "doc_id")
+            vectors = store.vectors(corpus, "doc_id") if store else self.encoder(corpus, "doc_id")
         self.vectors = index_store.dense_vectors(vectors, path, force=force, save=path is not None)
         if path is None:
             self.vectors = materialize(self.vectors)
 
     def search(self, queries, k):
-        qv = self.encoder(queries, "query_id")
+        qv = self.query_encoder(queries, "query_id")
         return dense.knn(qv, self.vectors, k, expert=None)
 
     def score_pairs(self, queries, pairs):
-        return dense.score_pairs(self.encoder(queries, "query_id"), self.vectors, pairs)
+        return dense.score_pairs(self.query_encoder(queries, "query_id"), self.vectors, pairs)
 
 
 class Experts:
@@ -137,9 +143,10 @@ def generate_labels(experts: Experts, queries: DataFrame, qrels: DataFrame, k: i
 
 # ---------------------------------------------------------------- job 2: router training
 
-def query_features(queries: DataFrame, dim: int = embed.DEFAULT_DIM) -> DataFrame:
-    """``(query_id, features)``: hashed text vector of the query (the router's input)."""
-    return embed.embed_queries(queries, dim).withColumnRenamed("embedding", "features")
+def query_features(queries: DataFrame, dim: int = embed.DEFAULT_DIM, encoder: Encoder | None = None) -> DataFrame:
+    """``(query_id, features)``: the router's input, by its own encoder or as hashed text vector of ``dim``."""
+    vectors = encoder(queries, "query_id") if encoder else embed.embed_queries(queries, dim)
+    return vectors.withColumnRenamed("embedding", "features")
 
 
 def prepare_router_data(train: DataFrame, test: DataFrame | None = None, same_source: bool = False,
@@ -166,11 +173,12 @@ class Trained(NamedTuple):
 
 def train_router(train: DataFrame, test: DataFrame, experts: Sequence[str] = ("sparse", "dense"), norm: str = "l1",
                  reg_params: Sequence[float] = (1e-4, 1e-3, 1e-2, 1e-1), validation_fraction: float = 0.1,
-                 dim: int = embed.DEFAULT_DIM, hidden: Sequence[int] | None = None) -> Trained:
+                 dim: int = embed.DEFAULT_DIM, hidden: Sequence[int] | None = None, encoder: Encoder | None = None) -> Trained:
     """Fit with model selection on an exact validation share (0.1 n rows, cut to a whole number).
 
     ``hidden`` layer sizes, such as ``soft_router.HIDDEN``, fit the hidden-layer router on the soft labels
-    with early stopping; without them the router is a multinomial regression on the same loss.
+    with early stopping; without them the router is a multinomial regression on the same loss. ``encoder``
+    makes the router's features; the same one must be given when the router is used.
 
     Queries are told apart by source and id (a table without ``source`` is one source); a NULL id or
     a repeated query raises. ``results`` is ``([source], query_id, query, true_labels,
@@ -178,7 +186,7 @@ def train_router(train: DataFrame, test: DataFrame, experts: Sequence[str] = ("s
     """
     def with_features(df):
         keyed = with_query_key(df).withColumnRenamed("query_id", "own_id").withColumnRenamed("query_key", "query_id")
-        return keyed.join(query_features(keyed.select("query_id", F.col("query").alias("text")), dim), "query_id")
+        return keyed.join(query_features(keyed.select("query_id", F.col("query").alias("text")), dim, encoder), "query_id")
 
     tr = materialize(with_features(train))
     fit_part, val_part = (materialize(part) for part in prepare.split_validation(tr, validation_fraction, 4242, "query_id"))
@@ -201,22 +209,22 @@ def train_router(train: DataFrame, test: DataFrame, experts: Sequence[str] = ("s
 # ---------------------------------------------------------------- job 3: routed search and benchmark
 
 def routed_search(experts: Experts, model, queries: DataFrame, k: int = DEFAULT_K, runs: DataFrame | None = None,
-                  dim: int = embed.DEFAULT_DIM) -> DataFrame:
+                  dim: int = embed.DEFAULT_DIM, encoder: Encoder | None = None) -> DataFrame:
     """Fused top-k ``(query_id, doc_id, rank, score)`` with per-query weights from the router."""
     runs = runs if runs is not None else experts.search(queries, k)
-    w = router.predict(model, query_features(queries, dim), experts.names)
+    w = router.predict(model, query_features(queries, dim, encoder), experts.names)
     return fusion.fuse(runs, w, experts.names, k)
 
 
 def benchmark(experts: Experts, queries: DataFrame, qrels: DataFrame, model=None, k: int = DEFAULT_K,
               corpus_name: str | None = None, fused_name: str = "fused",
-              weights: dict | None = None, dim: int = embed.DEFAULT_DIM) -> DataFrame:
+              weights: dict | None = None, dim: int = embed.DEFAULT_DIM, encoder: Encoder | None = None) -> DataFrame:
     """Mean precision/recall at 1, 5, 10, 25 for each expert and the fused list, over all judged
     queries (expert runs computed once and reused for the fusion)."""
     judged = materialize(judgments.judged_queries(queries, qrels))  # every expert reads them
     runs = materialize(experts.search(judged, k))
     if model is not None:
-        w = router.predict(model, query_features(judged, dim), experts.names)
+        w = router.predict(model, query_features(judged, dim, encoder), experts.names)
     else:
         w = fusion.fixed_weights(judged, weights or {n: 1.0 / len(experts.names) for n in experts.names})
     fused = fusion.fuse(runs, w, experts.names, k)
