@@ -69,9 +69,10 @@ def summary(per_query_metrics: DataFrame) -> DataFrame:
 
 
 def to_named(summary_df: DataFrame, ks: Sequence[int] = DEFAULT_KS) -> DataFrame:
-    """Wide ``precision@k`` / ``recall@k`` columns per model (the reference's report layout)."""
-    wide = summary_df.groupBy("model").pivot("k", list(ks)).agg(F.first("precision").alias("p"), F.first("recall").alias("r"))
-    cols = [F.col("model")]
+    """Wide ``precision@k`` / ``recall@k`` columns, a row per model (and corpus, where there is such a column)."""
+    keys = [c for c in ("corpus", "model") if c in summary_df.columns]
+    wide = summary_df.groupBy(*keys).pivot("k", list(ks)).agg(F.first("precision").alias("p"), F.first("recall").alias("r"))
+    cols = [F.col(c) for c in keys]
     for k in ks:
         cols += [F.col(f"{k}_p").alias(f"precision@{k}"), F.col(f"{k}_r").alias(f"recall@{k}")]
     return wide.select(*cols)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.metrics import DEFAULT_KS, to_named
 from ..operators.ranking import with_position
 
 
@@ -44,3 +46,8 @@ def write_benchmark(metrics: DataFrame, path: str, mode: str = "overwrite") -> N
     if "corpus" in metrics.columns:
         w = w.partitionBy("corpus")
     w.json(path)
+
+
+def write_report(metrics: DataFrame, path: str, ks: Sequence[int] = DEFAULT_KS, mode: str = "overwrite") -> None:
+    """Benchmark summary as JSON lines, one for each corpus and model, with ``precision@k`` and ``recall@k``."""
+    to_named(metrics, ks).write.mode(mode).json(path)

@@ -79,6 +79,8 @@ def cmd_benchmark(spark, a) -> None:
         s = jobs.benchmark(ex, queries, qrels, model=model, k=a.k, corpus_name=name)
         out = s if out is None else out.unionByName(s)
     writers.write_benchmark(out, a.out)
+    if a.report:  # from the files, so that nothing is searched twice
+        writers.write_report(spark.read.json(a.out), a.report)
 
 
 def main(argv=None) -> None:
@@ -98,6 +100,7 @@ def main(argv=None) -> None:
     tr.add_argument("--run-dir", required=True)
     be = sub.add_parser("benchmark")
     be.add_argument("--collection", nargs="+", required=True)
+    be.add_argument("--report", help="folder for a line per corpus and model, with precision@k and recall@k")
     be.add_argument("--split", default="test")
     be.add_argument("--run-dir")
     be.add_argument("--norm", default="l1", choices=["l1", "softmax"])

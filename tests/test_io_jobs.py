@@ -105,6 +105,17 @@ def test_jobs_end_to_end(spark, sf_small, tmp_path):
     assert spark.read.json(str(tmp_path / "bench")).count() == 12
 
 
+def test_report_has_a_row_for_each_corpus_and_model(spark, tmp_path):
+    rows = [(c, m, k, 1.0 / k, k / 25.0, 3) for c in ("left", "right") for m in ("sparse", "fused") for k in (1, 5, 10, 25)]
+    summary = spark.createDataFrame(rows, "corpus string, model string, k int, precision double, recall double, n_queries long")
+    writers.write_report(summary, str(tmp_path / "report"))
+    back = spark.read.json(str(tmp_path / "report")).collect()
+    assert {(r.corpus, r.model) for r in back} == {(c, m) for c in ("left", "right") for m in ("sparse", "fused")}
+    assert all(r["precision@5"] == 0.2 and r["recall@10"] == 0.4 and r["precision@25"] == 0.04 for r in back)
+    writers.write_report(summary.drop("corpus").limit(0), str(tmp_path / "none"))
+    assert spark.read.text(str(tmp_path / "none")).count() == 0
+
+
 def test_build_experts_reuses_stored_indices(spark, sf_small, tmp_path):
     corpus, queries = td.corpus(spark, sf_small), td.queries(spark, sf_small)
     root = str(tmp_path / "indices")
@@ -120,13 +131,13 @@ def test_build_experts_reuses_stored_indices(spark, sf_small, tmp_path):
 def test_index_over_jsonl_corpus_with_dedup(spark, tmp_path):
     # the last-wins read is non-deterministic for Spark; corpus constants must still resolve
     p = tmp_path / "corpus.jsonl"
-    docs = [{"_id": "d1", "title": "The cat", "text": "A story about a cat."},
-            {"_id": "d2", "title": "Green eggs", "text": "A story about eggs."},
-            {"_id": "d1", "title": "The cat in the hat", "text": "A story about a cat."}]
+    docs = [{"_id": "d1", "title": "Pier", "text": "No boat today."},
+            {"_id": "d2", "title": "Nets", "text": "The harbour smells of tar."},
+            {"_id": "d1", "title": "Ferry at the pier", "text": "The harbour wakes when the ferry calls."}]
     p.write_text("\n".join(json.dumps(d) for d in docs))
     corpus = readers.read_corpus(spark, str(p))
     idx = sparse.build_index(corpus)
-    q = readers.queries_from_list(spark, ["cat story"])
+    q = readers.queries_from_list(spark, ["ferry harbour"])
     run = sparse.search(idx, q, k=2).collect()
     assert [r.doc_id for r in sorted(run, key=lambda r: r["rank"])][0] == "d1"
     assert idx.stats.first().n_docs == 2
