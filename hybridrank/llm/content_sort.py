@@ -1,9 +1,9 @@
 """Exact de-duplication by sorting contents.
 
-Sampled splitters cut the order of the normalised texts into ranges, each range is sorted on disk if
-need be, equal texts come to stand next to each other, and each text is compared in full with the one
-before it. Runs of equal texts that cross from one range into the next are joined by comparing the last
-text of the one with the first text of the other.
+Sampled splitters cut the rows into ranges of normalised texts, each range is sorted by the whole texts'
+bytes (on disk if need be), equal texts come to stand next to each other, and each text is compared in
+full with the one before it. Only the splitters are bounded in length. A text can have rows on both sides
+of a splitter only if the splitter was made from it; the runs of such texts are compared in full once more.
 
 Built from DataFrame functions only; each text moves once.
 """
@@ -15,22 +15,28 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, partitions, text_or_empty, written
 
-#: Leading characters of a text in the sort key, and sampled keys per range.
-HEAD, SAMPLED = 32, 24
+#: Leading characters of a text in a splitter, and sampled keys per range.
+HEAD, SAMPLED = 128, 24
+#: Characters of a key that rows of equal texts share: the leading ones and the digest.
+SHARED = HEAD + 64
 
 
 def normalised(text_col: str) -> Column:
     return F.regexp_replace(text_or_empty(text_col), SPACES, " ")
 
 
-def sort_key(norm: Column, digest: Column, doc_id: Column) -> Column:
-    """Leading characters, digest of the whole text, id: bounded in length, and equal texts are neighbours.
+def in_order(doc_id: Column) -> Column:
+    """The id written so that strings sort as the numbers do, a null id last."""
+    return F.coalesce(F.lpad(F.hex(doc_id.bitwiseXOR(F.lit(-(2**63)))), 16, "0"), F.lit("~"))
 
-    The id is written so that strings sort as the numbers do, a null id last. The digest only brings
-    equal texts together; that they are equal is found by comparing them in full.
+
+def range_key(norm: Column, digest: Column, doc_id: Column, place: Column) -> Column:
+    """What ranges are cut by: leading characters, digest of the whole text, id, place in the table.
+
+    Bounded in length, and different for each row, so that any group of equal texts can be cut. Rows of
+    equal texts are neighbours in its order, by id; that they are equal is found from whole texts alone.
     """
-    number = F.lpad(F.hex(doc_id.bitwiseXOR(F.lit(-(2**63)))), 16, "0")
-    return F.concat(F.rpad(F.substring(norm, 1, HEAD), HEAD, " "), digest, F.coalesce(number, F.lit("~")))
+    return F.concat(F.rpad(F.substring(norm, 1, HEAD), HEAD, " "), digest, in_order(doc_id), F.lpad(F.hex(place), 16, "0"))
 
 
 def splitters(keys: DataFrame, n: int) -> list[str]:
@@ -63,53 +69,52 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     others, and of rows that repeat the smallest id one stays. An empty table gives no rows. Other
     columns are not read.
 
-    Copies are split over ranges by id, so a text that a third of all rows share is the work of a
-    third of all tasks. What is gathered: the splitters, one bounded key per range.
+    Copies are split over ranges by id and place, so a text that a third of all rows share is the work of
+    a third of all tasks, with or without ids. What is gathered: the splitters, one bounded key per range.
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("raw"))
-    rows = raw.select("doc_id", F.regexp_replace("raw", SPACES, " ").alias("norm")).withColumn("sha", F.sha2("norm", 256))
-    rows = rows.withColumn("key", sort_key(F.col("norm"), F.col("sha"), F.col("doc_id")))
+    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("raw"), F.monotonically_increasing_id().alias("place"))
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        rows = rows.select("doc_id", "place", F.regexp_replace("raw", SPACES, " ").alias("norm")).withColumn("sha", F.sha2("norm", 256))
+        return rows.withColumn("key", range_key(F.col("norm"), F.col("sha"), F.col("doc_id"), F.col("place")))
+
     every = max(1, docs.count() // (n * SAMPLED))
-    sample = sampled(raw, every).withColumn("norm", F.regexp_replace("raw", SPACES, " "))
-    cuts = splitters(sample.select(sort_key(F.col("norm"), F.sha2("norm", 256), F.col("doc_id")).alias("key")), n)
+    cuts = splitters(keyed(sampled(raw, every)).select("key"), n)
+    ends = F.array(*[F.lit(c[:SHARED]) for c in cuts]).cast("array<string>")
 
-    in_range = Window.partitionBy("part").orderBy("key")
+    in_range = Window.partitionBy("part").orderBy("norm", "number", "place")
+    shared = F.substring("key", 1, SHARED)
     compared = (
-        rows.withColumn("part", range_of(F.col("key"), cuts))
+        keyed(raw)
+        .withColumn("part", range_of(F.col("key"), cuts))
+        # whether rows with this text may lie beyond an end of the range
+        .withColumn("crosses", F.coalesce(F.get(ends, F.col("part") - 1) == shared, F.lit(False)) | F.coalesce(F.get(ends, F.col("part")) == shared, F.lit(False)))
+        .select("part", "crosses", "doc_id", "place", "norm", "sha")
         .repartitionById(n, "part")
-        .withColumns({
-            "at": F.row_number().over(in_range),
-            "same": F.coalesce(F.col("norm") == F.lag("norm").over(in_range), F.lit(False)),
-            "end": F.lead("key").over(in_range).isNull(),
-        })
-        .select(
-            "part", "key", "doc_id", "sha", "same",
-            F.when(F.col("at") == 1, F.col("norm")).alias("first_text"), F.when(F.col("end"), F.col("norm")).alias("last_text"),
-        )
+        .withColumn("number", in_order(F.col("doc_id")))
+        .withColumn("same", F.coalesce(F.col("norm") == F.lag("norm").over(in_range), F.lit(False)))
         .withColumn("run", F.sum(F.when(F.col("same"), 0).otherwise(1)).over(in_range))
-        .drop("key")
+        .select("part", "run", "doc_id", "sha", "same", F.when(F.col("crosses") & ~F.col("same"), F.col("norm")).alias("end_text"))
     )
     saved = written(compared, "content-sort")
 
-    by_part = Window.orderBy("part")
-    earlier = by_part.rowsBetween(Window.unboundedPreceding, -1)
-    ends = (
-        saved.groupBy("part").agg(F.max("run").alias("runs"), F.max("first_text").alias("first_text"), F.max("last_text").alias("last_text"))
-        .withColumn("goes_on", F.coalesce(F.col("first_text") == F.lag("last_text").over(by_part), F.lit(False)))
-        .withColumn("begins", F.when(~F.col("goes_on") | (F.col("runs") > 1), F.struct("part", "runs")))
-        .withColumn("head", F.last("begins", ignorenulls=True).over(earlier))
-        .filter("goes_on")
-        .select("part", F.lit(1).cast("long").alias("run"), F.col("head.part").alias("head_part"), F.col("head.runs").alias("head_run"))
+    # of a text's runs in several ranges the first has its smallest id; at most two runs of a range are compared
+    by_text = Window.partitionBy("end_text").orderBy("part")
+    first = F.first(F.struct("part", "run")).over(by_text)
+    goes_on = (
+        saved.filter("end_text is not null").select("part", "run", first.alias("head"))
+        .filter(F.col("head.part") < F.col("part"))
+        .select("part", "run", F.col("head.part").alias("head_part"), F.col("head.run").alias("head_run"))
     )
     group = Window.partitionBy("group_part", "group_run")
     runs = (
         saved.groupBy("part", "run").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-        .join(F.broadcast(ends), ["part", "run"], "left")  # at most a row for each range
+        .join(F.broadcast(goes_on), ["part", "run"], "left")  # at most a row for each splitter
         .withColumns({"group_part": F.coalesce("head_part", "part"), "group_run": F.coalesce("head_run", "run")})
         .select("part", "run", F.min("least").over(group).alias("keep_id"), F.sum("n").over(group).alias("group_size"), F.col("head_part").isNull().alias("starts"))
     )
-    return saved.drop("first_text", "last_text").join(runs, ["part", "run"]).select(
+    return saved.drop("end_text").join(runs, ["part", "run"]).select(
         "doc_id", "keep_id", "group_size", (~F.col("same") & F.col("starts")).alias("kept"), F.col("sha").alias("text_sha256")
     )

@@ -202,6 +202,20 @@ def test_content_sort_cuts_evenly(spark):
     assert 1500 < content_sort.sampled(alike, 10).count() < 2500
 
 
+def test_content_sort_cuts_hot_groups(spark, monkeypatch):
+    """Rows without id that share a text are cut into ranges, and so are texts whose beginnings are longer than a splitter."""
+    start = "a beginning that many texts share " * 20
+    texts = ["one text of a great many rows"] * 3000 + [f"{start}{k % 500:03d}" for k in range(1000)]
+    docs = spark.createDataFrame([(None if k < 3000 else k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    saved = []
+    monkeypatch.setattr(content_sort, "written", lambda df, name: saved.append(df.cache()) or saved[-1])
+    rows = content_sort.exact_duplicates(docs).collect()
+    assert Counter((r.keep_id, r.group_size) for r in rows) == Counter({(None, 3000): 3000, **{(3000 + k, 2): 2 for k in range(500)}})
+    assert sum(r.kept for r in rows) == 501
+    sizes = Counter(r.part for r in saved[0].collect())
+    assert len(sizes) == 8 and max(sizes.values()) < 1000
+
+
 # --- repeated strings
 
 
