@@ -76,31 +76,36 @@ class Best:
         self.query, self.score, self.ids = query[order], score[order], pool.take(pa.array(used))
 
 
-def _stream(query_ids: pa.Array, q: np.ndarray, k: int, exclude_self: bool, tile: int, chunk: int):
-    def run(batches):
-        best = None
-        for batch in batches:
-            for at in range(0, batch.num_rows, tile):
-                part = batch.slice(at, tile)
-                part = part.take(pc.sort_indices(part.column("doc_id")))  # ties go to the smaller id
-                ids, vectors = part.column("doc_id"), unit_rows(part.column("vec"))
-                own = pc.index_in(ids, query_ids).to_numpy(zero_copy_only=False) if exclude_self else None
-                best = best or Best(len(q), k, ids.type)
-                found = []
-                if not len(q):
-                    continue
-                for start in range(0, len(q), chunk):
-                    s = q[start : start + chunk] @ vectors.T
-                    if exclude_self:
-                        mine = np.flatnonzero((own >= start) & (own < start + len(s)))
-                        s[own[mine].astype(np.int64) - start, mine] = -np.inf
-                    qi, ci = tile_topk(s, k)
-                    found.append((qi + start, ci, s[qi, ci]))
-                best.add(np.concatenate([f[0] for f in found]), ids, np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found]))
-        if best is not None:
-            yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(best.query)), best.ids.take(pa.array(best.at)), pa.array(best.score)], names=["query_id", "doc_id", "score"])
-
-    return run
+class Stream:
+    """Best documents so far of some queries, as batches of vectors pass."""
+
+    def __init__(self, query_ids: pa.Array, q: np.ndarray, k: int, exclude_self: bool, tile: int, chunk: int) -> None:
+        self.query_ids, self.q, self.k, self.exclude_self, self.tile, self.chunk = query_ids, q, k, exclude_self, tile, chunk
+        self.best = None
+
+    def add(self, batch) -> None:
+        q, k, chunk = self.q, self.k, self.chunk
+        for at in range(0, batch.num_rows, self.tile):
+            part = batch.slice(at, self.tile)
+            part = part.take(pc.sort_indices(part.column("doc_id")))  # ties go to the smaller id
+            ids, vectors = part.column("doc_id"), unit_rows(part.column("vec"))
+            own = pc.index_in(ids, self.query_ids).to_numpy(zero_copy_only=False) if self.exclude_self else None
+            self.best = self.best or Best(len(q), k, ids.type)
+            found = []
+            if not len(q):
+                continue
+            for start in range(0, len(q), chunk):
+                s = q[start : start + chunk] @ vectors.T
+                if self.exclude_self:
+                    mine = np.flatnonzero((own >= start) & (own < start + len(s)))
+                    s[own[mine].astype(np.int64) - start, mine] = -np.inf
+                qi, ci = tile_topk(s, k)
+                found.append((qi + start, ci, s[qi, ci]))
+            self.best.add(np.concatenate([f[0] for f in found]), ids, np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found]))
+
+    def found(self):
+        if (best := self.best) is not None:
+            yield pa.RecordBatch.from_arrays([self.query_ids.take(pa.array(best.query)), best.ids.take(pa.array(best.at)), pa.array(best.score)], names=["query_id", "doc_id", "score"])
 
 
 def _inputs(queries: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame, str]:
@@ -152,7 +157,10 @@ def knn(
         sent = q.sparkSession.sparkContext.broadcast((ids, vectors))
 
         def search(batches, sent=sent):
-            yield from _stream(*sent.value, k, exclude_self, tile, chunk)(batches)
+            stream = Stream(*sent.value, k, exclude_self, tile, chunk)
+            for batch in batches:
+                stream.add(batch)
+            yield from stream.found()
 
         part = c.mapInArrow(search, schema)
         part = part if passes == 1 else materialize(part)

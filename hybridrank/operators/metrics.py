@@ -59,9 +59,9 @@ def per_query(
     )
 
 
-def summary(per_query_metrics: DataFrame) -> DataFrame:
-    """``(model, k, precision, recall, n_queries)``: means over all judged queries."""
-    return per_query_metrics.groupBy("model", "k").agg(
+def summary(per_query_metrics: DataFrame, by: Sequence[str] = ("model", "k")) -> DataFrame:
+    """``(model, k, precision, recall, n_queries)``: means over all judged queries (of each value of ``by``)."""
+    return per_query_metrics.groupBy(*by).agg(
         F.avg("precision").alias("precision"),
         F.avg("recall").alias("recall"),
         F.count(F.lit(1)).alias("n_queries"),

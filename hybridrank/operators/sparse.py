@@ -197,13 +197,14 @@ class _Block:
             at = to
 
 
-def block_lists(corpus: DataFrame, blocks: int, buckets: int) -> DataFrame:
-    """The rows of ``lists``. Texts move once, by block; each task lists its blocks one after the other.
+def block_lists(corpus: DataFrame, blocks: int, buckets: int, block: Column | None = None) -> DataFrame:
+    """The rows of ``lists``. Texts move once, by block (a hash of the id, if not given); each task lists its blocks one after the other.
 
     A task holds the postings of one block as numbers: 16 bytes each, and the block's terms.
     """
     title = F.col("title") if "title" in corpus.columns else None
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) if block is None else block
+    block = block.cast("int").alias("block")
     texts = corpus.select(block, "doc_id", doc_text(title, F.col("text")).alias("t")).repartition(buckets, "block").sortWithinPartitions("block")
 
     def listed(batches):

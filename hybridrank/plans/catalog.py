@@ -7,17 +7,19 @@ are rounded to 6 places in the output, and ranks are taken on scores rounded to
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dense, embed, fusion, judgments, labels, metrics, prepare, ranking, router, soft_router, sparse
+from ..operators import corpora, dense, embed, fusion, judgments, labels, metrics, prepare, ranking, router, soft_router, sparse
 from ..session import ensure_checkpoint_dir, materialize
 from ..sources import readers
 from ..sources import testdata as td
 from ..sources.vector_store import VectorStore
+from . import jobs
 
 K = 25  # list depth used by label generation and the benchmark
 OUT_DIGITS = 6
@@ -507,6 +509,47 @@ def metrics_summary(spark, sf_dir):
     return s.select("model", "k", r6("precision"), r6("recall"), "n_queries")
 
 
+#: Two corpora of all documents: those in English, and the others.
+SQL_CORPORA = {"en": "lang IS NOT DISTINCT FROM 'en'", "other": "lang IS DISTINCT FROM 'en'"}
+
+
+def _sql_by_corpus(sql: str) -> str:
+    """``sql`` run for each corpus by itself, with its name."""
+    own = lambda test: re.sub(r"\b(FROM|JOIN) documents\b", rf"\1 (SELECT * FROM documents WHERE {test})", sql)
+    return "\nUNION ALL\n".join(f"SELECT '{name}' AS corpus, * FROM ({own(test)})" for name, test in SQL_CORPORA.items())
+
+
+def _corpora(spark, sf_dir):
+    """Documents and queries of both corpora; every query is asked of both."""
+    name = F.when(F.col("lang") == "en", "en").otherwise("other").alias("corpus")
+    docs = td.table(spark, sf_dir, "documents").select(name, "doc_id", "text")
+    queries = td.queries(spark, sf_dir).withColumn("corpus", F.explode(F.array(*[F.lit(c) for c in SQL_CORPORA])))
+    return docs, queries
+
+
+@register(
+    "metrics_by_corpus",
+    _sql_by_corpus(ORACLE["metrics_summary"]),
+)
+def metrics_by_corpus(spark, sf_dir):
+    """``metrics_summary`` of two corpora in one plan: one index, search, fusion and summary, keyed by corpus."""
+    docs, queries = _corpora(spark, sf_dir)
+    own = _qrels(spark, sf_dir).join(docs.select("corpus", "doc_id"), "doc_id")
+    s = jobs.benchmark_corpora(docs, queries, own, k=K)
+    return s.select("corpus", "model", "k", r6("precision"), r6("recall"), "n_queries")
+
+
+@register(
+    "bm25_topk_by_corpus",
+    _sql_by_corpus("WITH" + SQL_BM25_CTE + "SELECT query_id, doc_id, rank::INTEGER AS rank, round(score, 6) AS score FROM sparse_run"),
+)
+def bm25_topk_by_corpus(spark, sf_dir):
+    """Each corpus's own BM25 ranking of every query, from one index with each corpus's frequencies and lengths."""
+    docs, queries = _corpora(spark, sf_dir)
+    run = corpora.search(corpora.build_index(docs), queries, K)
+    return run.select("query_id.corpus", "query_id.query_id", "doc_id", F.col("rank").cast("int").alias("rank"), r6("score"))
+
+
 # ---------------------------------------------------------------- judgements look-up
 
 @register(

@@ -17,7 +17,7 @@ from typing import NamedTuple, Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import dense, embed, fusion, judgments, labels, metrics, prepare, router, sparse
+from ..operators import corpora, dense, embed, fusion, judgments, labels, metrics, prepare, router, sparse
 from ..session import materialize
 from ..sources import index_store
 from ..sources.readers import with_query_key
@@ -233,3 +233,37 @@ def benchmark(experts: Experts, queries: DataFrame, qrels: DataFrame, model=None
     )
     s = metrics.summary(metrics.per_query(per_model, qrels, [*experts.names, fused_name]))
     return s.withColumn("corpus", F.lit(corpus_name)) if corpus_name else s
+
+
+def benchmark_corpora(docs: DataFrame, queries: DataFrame, qrels: DataFrame, model=None, k: int = DEFAULT_K, fused_name: str = "fused",
+                      weights: dict | None = None, dim: int = embed.DEFAULT_DIM, encoder: Encoder | None = None) -> DataFrame:
+    """Benchmark of several corpora in one plan: ``(corpus, model, k, precision, recall, n_queries)``.
+
+    ``docs(corpus, doc_id, [title], text)``, ``queries(corpus, query_id, text)`` and ``qrels(corpus, query_id,
+    doc_id, relevance)``; ids need only be unique within their corpus. One index, one search per expert,
+    one fusion and one pass over the metrics serve all corpora, and each gets the figures of a
+    :func:`benchmark` of its own with sparse and hashed dense experts. ``model``, ``weights`` and ``encoder``
+    are as there.
+    """
+    names = ("sparse", "dense")
+    asked = queries.join(qrels.select("corpus", "query_id"), ["corpus", "query_id"], "left_semi").select("corpus", "query_id", "text")
+    asked, judged = materialize(asked), corpora.keyed(qrels.select("corpus", "query_id", "doc_id", "relevance"))
+    title = [F.col("title")] if "title" in docs.columns else []
+    vectors = embed.embed_corpus(docs.select(F.struct("corpus", "doc_id").alias("doc_id"), *title, "text"), dim)
+    sent = embed.embed_queries(corpora.keyed(asked), dim)
+    runs = {
+        "sparse": corpora.search(corpora.build_index(docs), asked, k),
+        "dense": corpora.knn(sent.select("query_id.*", "embedding"), vectors.select("doc_id.*", "embedding"), k),
+    }
+    long = [runs[n].select("query_id", F.lit(n).alias("expert"), "doc_id", "rank", "score") for n in names]
+    long = materialize(long[0].unionByName(long[1]))
+    if model is not None:
+        w = router.predict(model, query_features(corpora.keyed(asked), dim, encoder), names)
+    else:
+        w = fusion.fixed_weights(corpora.keyed(asked), weights or {n: 1.0 / len(names) for n in names})
+    fused = fusion.fuse(long, w, names, k)
+    per_model = long.select("query_id", F.col("expert").alias("model"), "doc_id", "rank").unionByName(
+        fused.select("query_id", F.lit(fused_name).alias("model"), "doc_id", "rank")
+    )
+    each = metrics.per_query(per_model, judged, [*names, fused_name]).withColumn("corpus", F.col("query_id.corpus"))
+    return metrics.summary(each, ("corpus", "model", "k"))

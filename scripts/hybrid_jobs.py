@@ -16,12 +16,14 @@ usage:
 from __future__ import annotations
 
 import argparse
+import functools
 import os
 import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from pyspark.sql import SparkSession  # noqa: E402
+from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 from hybridrank.plans import jobs  # noqa: E402
 from hybridrank.session import ensure_checkpoint_dir  # noqa: E402
@@ -71,13 +73,21 @@ def cmd_train(spark, a) -> None:
 
 def cmd_benchmark(spark, a) -> None:
     model = index_store.load_router(a.run_dir, a.norm) if a.run_dir else None
-    out = None
-    for folder in a.collection:
-        corpus, queries, qrels = load_collection(spark, folder, a.split)
-        ex = experts_for(corpus, folder, a.index_root, a.force)
-        name = os.path.basename(os.path.normpath(folder))
-        s = jobs.benchmark(ex, queries, qrels, model=model, k=a.k, corpus_name=name)
-        out = s if out is None else out.unionByName(s)
+    names = [os.path.basename(os.path.normpath(folder)) for folder in a.collection]
+    if len(set(names)) < len(names):
+        raise SystemExit("two collection folders of the same name")
+    loaded = [(name, folder, *load_collection(spark, folder, a.split)) for name, folder in zip(names, a.collection, strict=True)]
+    if a.index_root:  # an index of its own for each collection, kept for the next run
+        each = [
+            jobs.benchmark(experts_for(corpus, folder, a.index_root, a.force), queries, qrels, model=model, k=a.k, corpus_name=name)
+            for name, folder, corpus, queries, qrels in loaded
+        ]
+        out = functools.reduce(DataFrame.unionByName, each)
+    else:  # all collections in one plan
+        all_of = lambda at: functools.reduce(
+            lambda x, y: x.unionByName(y, allowMissingColumns=True), [c[at].withColumn("corpus", F.lit(c[0])) for c in loaded]
+        )
+        out = jobs.benchmark_corpora(all_of(2), all_of(3), all_of(4), model=model, k=a.k)
     writers.write_benchmark(out, a.out)
     if a.report:  # from the files, so that nothing is searched twice
         writers.write_report(spark.read.json(a.out), a.report)
