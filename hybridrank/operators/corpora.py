@@ -80,7 +80,7 @@ def corpus_of_block(collections: tuple[Collection, ...]) -> Column:
 def build_index(docs: DataFrame, params: sparse.BM25Params = sparse.BM25Params(), block_docs: int = sparse.BLOCK_DOCS) -> CorporaIndex:
     """BM25 index over ``docs(corpus, doc_id, [title], text)``, written once to the shared checkpoint folder.
 
-    Texts are tokenised once and move once, by block. Gathered on the driver are a few constants per
+    Texts are tokenised once and move once, by block; blocks follow from the documents alone. Gathered on the driver are a few constants per
     corpus. A document without a corpus raises.
     """
     require(docs, ("corpus", "doc_id", "text"), "docs")
@@ -89,14 +89,11 @@ def build_index(docs: DataFrame, params: sparse.BM25Params = sparse.BM25Params()
     counts = {r["corpus"]: r["n"] for r in docs.groupBy("corpus").agg(F.count(F.lit(1)).alias("n")).collect()}
     if None in counts:
         raise ValueError(f"{counts[None]} documents without a corpus")
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = sum(counts.values())
-    # as many blocks as their size asks for; small corpora share out what keeps all tasks busy
-    own = {c: max(-(-n // block_docs), -(-n * least // total)) for c, n in sorted(counts.items())}
+    own = {c: -(-n // block_docs) for c, n in sorted(counts.items())}
     first, at = {}, 0
     for c, n in own.items():
         first[c], at = at, at + n
-    buckets = min(sparse.MAX_BUCKETS, max(at, least))
+    buckets = min(sparse.MAX_BUCKETS, max(at, 1))
     block = _of(own, lambda n: n)
     block = _of(first, lambda n: n) + F.pmod(F.xxhash64("doc_id"), block)
     write_bucketed(sparse.block_lists(docs, max(at, 1), buckets, block), f"{path}/lists", "block", buckets)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +12,17 @@ from ..schemas import require
 from .sparse import SparseIndex
 
 
+class Listed(NamedTuple):
+    """What containment needs of an index: ``lists(term, doc_ids)`` and ``terms(term, df)``."""
+
+    lists: DataFrame
+    terms: DataFrame
+
+
 def containing_documents(
     corpus: DataFrame,
     passages: DataFrame,
-    index: SparseIndex,
+    index: SparseIndex | Listed,
 ) -> DataFrame:
     """``(query_id, doc_id)`` for every document whose text contains the passage verbatim.
 

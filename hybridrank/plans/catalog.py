@@ -534,8 +534,12 @@ def _corpora(spark, sf_dir):
 def metrics_by_corpus(spark, sf_dir):
     """``metrics_summary`` of two corpora in one plan: one index, search, fusion and summary, keyed by corpus."""
     docs, queries = _corpora(spark, sf_dir)
-    own = _qrels(spark, sf_dir).join(docs.select("corpus", "doc_id"), "doc_id")
-    s = jobs.benchmark_corpora(docs, queries, own, k=K)
+    index = corpora.build_index(docs)
+    # ids differ between these corpora, so that one index also finds the documents that hold a passage
+    listed = judgments.Listed(index.lists, index.dfs.groupBy("term").agg(F.sum("df").alias("df")))
+    found = judgments.containing_documents(docs.drop("corpus"), td.queries(spark, sf_dir), listed)
+    own = materialize(judgments.graded_qrels(found, td.labels(spark, sf_dir)).join(docs.select("corpus", "doc_id"), "doc_id"))
+    s = jobs.benchmark_corpora(docs, queries, own, k=K, index=index)
     return s.select("corpus", "model", "k", r6("precision"), r6("recall"), "n_queries")
 
 

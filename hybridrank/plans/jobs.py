@@ -236,14 +236,15 @@ def benchmark(experts: Experts, queries: DataFrame, qrels: DataFrame, model=None
 
 
 def benchmark_corpora(docs: DataFrame, queries: DataFrame, qrels: DataFrame, model=None, k: int = DEFAULT_K, fused_name: str = "fused",
-                      weights: dict | None = None, dim: int = embed.DEFAULT_DIM, encoder: Encoder | None = None) -> DataFrame:
+                      weights: dict | None = None, dim: int = embed.DEFAULT_DIM, encoder: Encoder | None = None,
+                      index: corpora.CorporaIndex | None = None) -> DataFrame:
     """Benchmark of several corpora in one plan: ``(corpus, model, k, precision, recall, n_queries)``.
 
     ``docs(corpus, doc_id, [title], text)``, ``queries(corpus, query_id, text)`` and ``qrels(corpus, query_id,
     doc_id, relevance)``; ids need only be unique within their corpus. One index, one search per expert,
     one fusion and one pass over the metrics serve all corpora, and each gets the figures of a
     :func:`benchmark` of its own with sparse and hashed dense experts. ``model``, ``weights`` and ``encoder``
-    are as there.
+    are as there; ``index`` is one of ``docs`` that exists already.
     """
     names = ("sparse", "dense")
     asked = queries.join(qrels.select("corpus", "query_id"), ["corpus", "query_id"], "left_semi").select("corpus", "query_id", "text")
@@ -252,7 +253,7 @@ def benchmark_corpora(docs: DataFrame, queries: DataFrame, qrels: DataFrame, mod
     vectors = embed.embed_corpus(docs.select(F.struct("corpus", "doc_id").alias("doc_id"), *title, "text"), dim)
     sent = embed.embed_queries(corpora.keyed(asked), dim)
     runs = {
-        "sparse": corpora.search(corpora.build_index(docs), asked, k),
+        "sparse": corpora.search(index or corpora.build_index(docs), asked, k),
         "dense": corpora.knn(sent.select("query_id.*", "embedding"), vectors.select("doc_id.*", "embedding"), k),
     }
     long = [runs[n].select("query_id", F.lit(n).alias("expert"), "doc_id", "rank", "score") for n in names]
