@@ -25,7 +25,7 @@ from .ranking import RANK_DIGITS, top_k
 #: Query vectors sent to the tasks at once; more queries take more passes over the corpus.
 PASS_QUERIES = 16_384
 #: Corpus vectors and queries of one matrix product.
-TILE, CHUNK = 4096, 256
+TILE, CHUNK = 4096, 64
 
 
 def unit_rows(vectors: pa.Array) -> np.ndarray:
@@ -38,7 +38,8 @@ def unit_rows(vectors: pa.Array) -> np.ndarray:
     m = pc.list_flatten(vectors).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), -1)
     n = np.sqrt(np.einsum("ij,ij->i", m, m))
     n[n == 0] = 1.0
-    return m / n[:, None]
+    m /= n[:, None]  # a copy of its own, see above
+    return m
 
 
 def tile_topk(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

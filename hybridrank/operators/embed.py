@@ -20,19 +20,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import term_bucket, term_sign
-from ..functions.text import doc_text, tokens
+from ..functions.text import doc_text, token_pieces
 
 DEFAULT_DIM = 256
 
 
-#: Terms whose dimension and sign a task remembers.
-KNOWN_TERMS = 1 << 19
+#: Terms whose dimension and sign a task remembers; texts whose vectors it makes at once.
+KNOWN_TERMS, TEXTS = 1 << 17, 1024
 
 
-def _place(term: str, dim: int) -> tuple[int, float]:
-    """Dimension and sign of a term, as ``functions.hashing`` has them in SQL."""
+def _place(term: str, dim: int) -> int:
+    """Dimension and sign of a term, as ``functions.hashing`` has them in SQL: twice the dimension, and one more if negative."""
     digest = hashlib.md5(term.encode("utf-8")).hexdigest()
-    return int(digest[:8], 16) % dim, 1.0 if int(digest[8], 16) % 2 == 0 else -1.0
+    return 2 * (int(digest[:8], 16) % dim) + int(digest[8], 16) % 2
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -44,30 +44,50 @@ def spread(df: DataFrame) -> DataFrame:
 def hashed_embedding(df: DataFrame, id_col: str, text: F.Column, dim: int = DEFAULT_DIM, out_id: str | None = None) -> DataFrame:
     """``(id, embedding array<double>)``: dense, L2-normalised hashed vector of each row's text.
 
-    Nothing is shuffled: a batch of texts becomes a matrix of sums, and a task looks each term it
-    meets up once. Rows without any token get a zero vector.
+    Nothing is shuffled: a task adds up the pieces of its texts, ``TEXTS`` vectors at a time, and looks
+    most terms up once. A batch holds pieces of bounded length, so a task's memory doesn't follow from the
+    length of its texts. Rows without any token get a zero vector.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
+    def vectors(ids, sums):
+        norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        sums /= np.where(norm > 0, norm, 1.0)
+        offsets = pa.array(np.arange(len(sums) + 1) * dim, pa.int32())
+        return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, pa.array(sums.ravel()))], names=[id_col, "embedding"])
+
     def encode(batches):
-        known: dict[str, tuple[int, float]] = {}
+        codes = list(range(2 * dim))  # one object for each code, however many terms have it
+        known: dict[str, int] = {}
+        open_id, open_sums = None, np.zeros((0, dim))  # the last text so far, which may go on
         for batch in batches:
-            tokens_, n = batch.column("tokens"), batch.num_rows
-            coded = pc.list_flatten(tokens_).dictionary_encode()
-            if len(known) > KNOWN_TERMS:
-                known.clear()
-            places = [known.get(t) or known.setdefault(t, _place(t, dim)) for t in coded.dictionary.to_pylist()]
-            where, sign = np.array([p[0] for p in places], np.int64), np.array([p[1] for p in places])
-            codes = coded.indices.to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(n), pc.list_value_length(tokens_).to_numpy(zero_copy_only=False))
-            sums = np.bincount(row * dim + where[codes], sign[codes], n * dim).reshape(n, dim) if len(codes) else np.zeros((n, dim))
-            norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
-            vectors = sums / np.where(norm > 0, norm, 1.0)
-            offsets = pa.array(np.arange(n + 1) * dim, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel()))], names=[id_col, "embedding"])
-
-    texts = df.select(F.col(id_col).alias("id"), text.alias("text")).select("id", F.coalesce(tokens(F.col("text")), F.array()).alias("tokens"))
-    out = texts.mapInArrow(encode, f"`{id_col}` {kind}, embedding array<double>")
+            begins = np.flatnonzero(batch.column("piece").to_numpy() == 0)
+            # pieces before the first beginning go on with the open text, in the first round
+            cuts = np.unique([0, *begins[TEXTS::TEXTS].tolist(), batch.num_rows])
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(s, e - s)
+                first = part.column("piece").to_numpy() == 0
+                texts = part.filter(pa.array(first)).column("id")
+                held = len(open_sums)
+                pieces = part.column("tokens")
+                coded = pc.list_flatten(pieces).dictionary_encode()
+                if len(known) > KNOWN_TERMS:
+                    known.clear()
+                places = np.fromiter((known[t] if t in known else known.setdefault(t, codes[_place(t, dim)]) for t in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+                n = held + len(texts)
+                row = np.repeat(np.cumsum(first) - 1 + held, pc.list_value_length(pieces).to_numpy(zero_copy_only=False))
+                place = places[coded.indices.to_numpy(zero_copy_only=False)]
+                sums = np.bincount(row * dim + (place >> 1), 1.0 - 2.0 * (place & 1), n * dim).astype(np.float64, copy=False).reshape(n, dim)
+                sums[:held] += open_sums
+                ids = pa.concat_arrays([open_id, texts]) if held else texts
+                if n > 1:
+                    yield vectors(ids.slice(0, n - 1), sums[:-1])
+                open_id, open_sums = ids.take(pa.array([n - 1])), sums[n - 1 :].copy()
+        if len(open_sums):
+            yield vectors(open_id, open_sums)
+
+    pieces = df.select(F.col(id_col).alias("id"), F.posexplode(token_pieces(F.coalesce(text, F.lit("")))).alias("piece", "tokens"))
+    out = pieces.mapInArrow(encode, f"`{id_col}` {kind}, embedding array<double>")
     return out.withColumnRenamed(id_col, out_id) if out_id else out
 
 

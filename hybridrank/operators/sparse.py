@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import doc_text, tokens
+from ..functions.text import doc_text, token_pieces, tokens
 from ..schemas import require
 from ..session import ensure_checkpoint_dir, materialize, read_bucketed, write_bucketed
 from .ranking import RANK_DIGITS, top_k
@@ -148,34 +148,54 @@ class _Block:
     def __init__(self, block: int) -> None:
         self.block, self.codes, self.parts, self.docs, self.dls, self.n = block, {}, [], [], [], 0
 
-    def add(self, docs: pa.Array, tokens: pa.ListArray) -> None:
+    def add(self, begins: np.ndarray, docs: pa.Array, tokens: pa.ListArray) -> None:
+        """Pieces of texts, each of the last document or, where it ``begins`` one, of the next of ``docs``.
+
+        A term that several additions find in the same document is counted in each; ``lists`` adds them up.
+        """
         sizes = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = pc.list_flatten(tokens).dictionary_encode()
         codes = self.codes
         own = np.array([codes.setdefault(t, len(codes)) for t in coded.dictionary.to_pylist()], np.int64)
-        key = own[coded.indices.to_numpy(zero_copy_only=False)] * len(docs) + np.repeat(np.arange(len(docs)), sizes)
-        key, tf = np.unique(key, return_counts=True)
-        self.parts.append((key // len(docs), key % len(docs) + self.n, tf))
-        self.docs.append(docs)
-        self.dls.append(sizes)
+        first, of = max(self.n - 1, 0), np.cumsum(begins) - 1 + self.n
         self.n += len(docs)
-
-    def lists(self, most: int = 1 << 20):
-        """The block's lists, terms and documents in order, in batches of about ``most`` postings."""
-        term, doc, tf = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        n = self.n - first
+        key, tf = np.unique(own[coded.indices.to_numpy(zero_copy_only=False)] * n + np.repeat(of - first, sizes), return_counts=True)
+        self.parts.append(((key // n).astype(np.int32), (key % n + first).astype(np.int32), tf.astype(np.int32)))
+        dls = np.bincount(of - first, sizes, n).astype(np.int64)
+        if first < self.n - len(docs):  # the last document so far went on
+            self.dls[-1][-1] += dls[0]
+            dls = dls[1:]
+        if len(docs):
+            self.docs.append(docs)
+            self.dls.append(dls)
+
+    def lists(self, most: int = 1 << 17):
+        """The block's lists, terms and documents in order, in batches of about ``most`` postings. The block is then used up."""
         docs, dl = pa.concat_arrays(self.docs), np.concatenate(self.dls)
         by_id = pc.sort_indices(docs).to_numpy()
         place = np.empty(self.n, np.int64)
         place[by_id] = np.arange(self.n)
         docs, dl = docs.take(pa.array(by_id)), dl[by_id].astype(np.int32)
         names = pa.array(list(self.codes), pa.string())
+        self.codes = {}
         by_name = pc.sort_indices(names).to_numpy()
         rank = np.empty(len(names), np.int64)
         rank[by_name] = np.arange(len(names))
-        order = np.lexsort((place[doc], rank[term]))
-        term, doc, tf = rank[term[order]], place[doc[order]], tf[order].astype(np.int32)
+        key = np.concatenate([rank[term] * self.n + place[doc] for term, doc, _ in self.parts])
+        tf = np.concatenate([x[2] for x in self.parts])
+        self.parts = []
+        order = np.argsort(key, kind="stable")
+        key, tf = key[order], tf[order]
+        del order
+        starts = np.flatnonzero(np.diff(key, prepend=-1))  # a document's pieces may have been added one by one
+        key, tf = key[starts], np.add.reduceat(tf, starts, dtype=np.int32) if len(starts) else tf
+        term, doc = (key // self.n).astype(np.int32), (key % self.n).astype(np.int32)
+        del key
         # every document under the empty term, which comes first
-        term, doc, tf = np.concatenate([np.full(self.n, -1), term]), np.concatenate([np.arange(self.n), doc]), np.concatenate([np.ones(self.n, np.int32), tf])
+        term = np.concatenate([np.full(self.n, -1, np.int32), term])
+        doc = np.concatenate([np.arange(self.n, dtype=np.int32), doc])
+        tf = np.concatenate([np.ones(self.n, np.int32), tf])
         names = pa.concat_arrays([pa.array([EVERY]), names.take(pa.array(by_name))])
         starts = np.flatnonzero(np.diff(term, prepend=-2))
         ends = np.append(starts[1:], len(term))
@@ -200,7 +220,8 @@ class _Block:
 def block_lists(corpus: DataFrame, blocks: int, buckets: int, block: Column | None = None) -> DataFrame:
     """The rows of ``lists``. Texts move once, by block (a hash of the id, if not given); each task lists its blocks one after the other.
 
-    A task holds the postings of one block as numbers: 16 bytes each, and the block's terms.
+    A task holds the postings of one block as numbers: 12 bytes each while they are gathered, and the
+    block's terms. Texts come in pieces, so that a batch stays small however long they are.
     """
     title = F.col("title") if "title" in corpus.columns else None
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) if block is None else block
@@ -211,6 +232,7 @@ def block_lists(corpus: DataFrame, blocks: int, buckets: int, block: Column | No
         current = None
         for batch in batches:
             block = batch.column("block").to_numpy()
+            begins = batch.column("piece").to_numpy() == 0
             cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
             for s, e in zip(cuts, cuts[1:], strict=False):
                 if s == e:
@@ -219,11 +241,13 @@ def block_lists(corpus: DataFrame, blocks: int, buckets: int, block: Column | No
                     yield from current.lists()
                     current = None
                 current = current or _Block(int(block[s]))
-                current.add(batch.column("doc_id").slice(s, e - s), batch.column("tokens").slice(s, e - s))
+                part = batch.slice(s, e - s)
+                current.add(begins[s:e], part.column("doc_id").filter(pa.array(begins[s:e])), part.column("tokens"))
         if current is not None:
             yield from current.lists()
 
-    return texts.select("block", "doc_id", tokens(F.col("t")).alias("tokens")).mapInArrow(listed, lists_schema(id_type(corpus)))
+    pieces = texts.select("block", "doc_id", F.posexplode(token_pieces(F.col("t"))).alias("piece", "tokens"))
+    return pieces.mapInArrow(listed, lists_schema(id_type(corpus)))
 
 
 def write_index(corpus: DataFrame, path: str, block_docs: int = BLOCK_DOCS) -> CorpusStats:
