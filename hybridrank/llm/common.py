@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +41,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Within it, a query's shuffle files go as soon as the query ends, not when the driver happens to collect its garbage.
+
+    For jobs of many ``written`` steps: later steps read only what was written.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def id_or_last(col: str) -> Column:
     """The id as a long; a missing id counts as the largest."""
     return F.coalesce(F.col(col).cast("long"), F.lit(NO_ID))

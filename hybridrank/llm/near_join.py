@@ -6,7 +6,9 @@ first. Two sets with Jaccard similarity of at least ``t`` share a shingle within
 
 1. Documents with equal sets are one set. Sets with equal prefixes and sizes are one group.
 2. Groups meet at shingles of their prefixes; sizes and places in the prefix rule most meetings out.
-3. Group pairs expand to pairs of members, and these are verified over their whole sets.
+3. Group pairs expand to pairs of members. Those whose parities (which cells of hashes hold an odd number
+   of a set's shingles) differ in more cells than linked sets can differ in shingles are ruled out, the
+   others are verified over their whole sets.
 
 Only components are asked for, so pairs whose ends are already linked through others needn't be verified:
 first each group meets its neighbours (by size) and the hub at each shingle; then all pairs that are left,
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_or_last, id_or_null, text_or_empty, whole_rows, written
+from .common import id_or_last, id_or_null, shuffles_dropped, text_or_empty, whole_rows, written
 from .components import components
 from .files import slices
 from .kernels import PrefixHash, blocks, byte_codes, is_word_byte, lower_table, mix64, powers, runs_of
@@ -118,7 +120,25 @@ def _batch(schema: str, columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-SETS = "doc long, twin long, n long, id long, cell int, counts binary"
+def parities(shingles: np.ndarray) -> bytes:
+    """For each cell of hashes whether an odd number of the set's shingles fall into it; a cell for each shingle at least."""
+    size = max(64, 1 << (len(shingles) - 1).bit_length())
+    counts = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_apart(a: bytes, b: bytes) -> int:
+    """Of two sets, by their parities: how many shingles at least only one of them holds."""
+    x, y, most, least = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(a), 8 * len(b)
+    if most < least:
+        x, y, most, least = y, x, least, most
+    while most > least:  # the parities of half as many cells
+        most //= 2
+        x = (x >> most) ^ (x & ((1 << most) - 1))
+    return (x ^ y).bit_count()
+
+
+SETS = "doc long, twin long, n long, id long, parities binary, cell int, counts binary"
 
 
 def _sets(width: int):
@@ -131,12 +151,13 @@ def _sets(width: int):
             cells = np.concatenate([np.zeros(0, np.uint64), *found]) & np.uint64((1 << SKETCH) - 1)
             np.add.at(counts, cells.astype(np.int64), np.uint32(1))
             none = [None] * len(found)
-            yield _batch(SETS, [batch.column("doc"), batch.column("twin"), [len(s) for s in found], [digest(s) for s in found], none, none])
+            odd = [parities(s) if len(s) else None for s in found]
+            yield _batch(SETS, [batch.column("doc"), batch.column("twin"), [len(s) for s in found], [digest(s) for s in found], odd, none, none])
         size = 1 << SKETCH_BLOCK
         for k in range(1 << (SKETCH - SKETCH_BLOCK)):
             part = counts[k * size : (k + 1) * size]
             if part.any():
-                yield _batch(SETS, [[None], [None], [None], [None], [k], [part.astype("<u4").tobytes()]])
+                yield _batch(SETS, [[None], [None], [None], [None], [None], [k], [part.astype("<u4").tobytes()]])
 
     return find
 
@@ -225,6 +246,20 @@ def _possible(n1: Column, pos1: Column, n2: Column, pos2: Column, t: float) -> C
     return close & (F.least(n1 - pos1, n2 - pos2) * (part + whole) >= (n1 + n2) * part)
 
 
+def _close(t: float):
+    """Rows (a, b, n_a, n_b, odd_a, odd_b) to those pairs whose sets, by their sizes and parities, may reach ``t``."""
+    part, whole = _share(t)
+
+    def close(batches):
+        for batch in slices(batches, 2048):
+            a, b, n_a, n_b, odd_a, odd_b = (batch.column(c).to_pylist() for c in ("a", "b", "n_a", "n_b", "odd_a", "odd_b"))
+            keep = [k for k in range(len(a)) if least_apart(odd_a[k], odd_b[k]) * (whole + part) <= (n_a[k] + n_b[k]) * (whole - part)]
+            if keep:
+                yield _batch("a long, b long", [[a[k] for k in keep], [b[k] for k in keep]])
+
+    return close
+
+
 def _verify(width: int, t: float):
     """Rows (a, b, text_a, text_b) sorted by a to those pairs whose sets reach ``t``."""
     part, whole = _share(t)
@@ -250,8 +285,14 @@ def _verify(width: int, t: float):
 
 
 def _linked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, t: float) -> DataFrame:
-    """Those of ``pairs`` (``a, b``, digests) that verify over the whole texts of their representatives."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct().join(reps, "id")
+    """Those of ``pairs`` (``a, b``, digests) that verify over the whole texts of their representatives.
+
+    Pairs grow faster than the input, and few of them are links; so texts move only for those that the
+    parities of their sets, some bits a shingle, don't rule out.
+    """
+    side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("parities").alias(f"odd_{x}"))
+    pairs = written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "odd_a", "odd_b").mapInArrow(_close(t), "a long, b long"), "close-pairs")
+    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct().join(reps.select("id", "rep", "twin"), "id")
     # rows that repeat id and text are one, so that each set meets its own text once
     own = texts.join(needed.select("id", F.col("rep").alias("doc"), "twin"), ["doc", "twin"]).groupBy("id").agg(F.first("text").alias("text"))
     left = own.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
@@ -261,12 +302,19 @@ def _linked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, t:
 
 def _placed(docs: DataFrame, width: int, t: float, id_col: str, text_col: str) -> DataFrame:
     """For each row its id, a hash of its text, its set's size and hash, and its component (a set's hash) with the smallest id in it."""
+    with shuffles_dropped(docs.sparkSession):
+        return _found(docs, width, t, id_col, text_col)
+
+
+def _found(docs: DataFrame, width: int, t: float, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(id_or_last(id_col).alias("doc"), text_or_empty(text_col).alias("text")).withColumn("twin", F.xxhash64("text"))
     found = written(rows.mapInArrow(_sets(width), SETS), "sets")
     sent = spark.sparkContext.broadcast(_ranks(found))
     sets = found.filter("cell is null").select("doc", "twin", "n", "id")
-    reps = sets.filter("n > 0").groupBy("id").agg(F.min(F.struct("doc", "twin")).alias("first")).select("id", F.col("first.doc").alias("rep"), "first.twin")
+    first = F.min(F.struct("doc", "twin", "n", "parities")).alias("first")
+    reps = found.filter("cell is null and n > 0").groupBy("id").agg(first).select("id", F.col("first.doc").alias("rep"), "first.twin", "first.n", "first.parities")
+    reps = written(reps, "set-firsts")
     members = written(rows.select("text").mapInArrow(_members(width, t, sent), MEMBERS).distinct(), "members")
 
     at_token = Window.partitionBy("token").orderBy("n", "grp")
@@ -314,7 +362,7 @@ def _placed(docs: DataFrame, width: int, t: float, id_col: str, text_col: str) -
     if more.limit(1).count():
         stars = written(components(links.union(more)), "components")
 
-    placed = reps.join(stars.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = reps.select("id", "rep").join(stars.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = placed.join(placed.groupBy("component").agg(F.min("rep").alias("least")), "component").select("id", "component", "least")
     return sets.join(least, "id", "left")
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -386,6 +387,47 @@ def test_near_duplicates_that_share_ids(spark):
     assert ordered(got) == ordered(brute_components(rows))
 
 
+def test_parities_rule_out_no_link():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 63, 64, 65, 300, 2500):
+        for changed in (0, 1, n // 20, n // 8, n):
+            for longer in (0, n // 4):
+                a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+                b = np.unique(np.concatenate([a[changed:], rng.integers(0, 2**64, changed + longer, dtype=np.uint64)]))
+                apart = near_join.least_apart(near_join.parities(a), near_join.parities(b))
+                assert apart == near_join.least_apart(near_join.parities(b), near_join.parities(a)) <= len(np.setxor1d(a, b))
+                if n >= 300 and changed == n:  # sets without a common shingle are told apart
+                    assert apart * 180 > (len(a) + len(b)) * 20
+
+
+def test_texts_move_for_few_of_the_pairs(spark, monkeypatch):
+    """Texts that share a passage and no link are many pairs; their texts don't go through a join, and no step's shuffle files stay."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = " ".join(word() for _ in range(60))
+    rows = [(i, f"{passage} {' '.join(word() for _ in range(60))}") for i in range(60)]
+    rows += [(100 + i, f"{t} end") for i, t in rows[:3]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    steps, held = {}, near_join.written
+    monkeypatch.setattr(near_join, "written", lambda df, name: steps.setdefault(name, []).append(out := held(df, name)) or out)
+    # all shingles are as rare as any other, so that the passage's stay in the prefixes
+    monkeypatch.setattr(near_join, "_ranks", lambda sets: np.zeros(1 << near_join.SKETCH, np.uint8))
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+", disk.getAllFiles().mkString(" ")))
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", files()
+    was = spark.conf.get(key)
+    out = near_join.near_duplicates(docs)
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(key) == was
+    moved = sum(p.count() for p in steps["close-pairs"])
+    assert sum(p.count() for p in steps["pairs"]) > 300 and 3 <= moved < 20
+    got = out.select("doc_id", "n_shingles", "component_id").collect()
+    assert ordered(got) == ordered(brute_components([(i, t, "") for i, t in rows]))
+
+
 def test_components(spark):
     rng = np.random.default_rng(9)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(k, k + 1) for k in range(100, 160)] + [(5, 5), (None, 3)]
